@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablesmith.llm.packing import op5_packing
+from tablesmith.llm.quality import op1_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_packing": op5_packing}
+    return {"op1_quality": op1_quality, "op5_packing": op5_packing}
 
 
 def oracle_sql() -> dict[str, str]:
