@@ -10,9 +10,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,10 +25,12 @@ FILTER_BITS = 1 << 23
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.sparkContext.master.startswith("local"):  # Python workers of a local session find the package beside its own path
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -100,6 +102,8 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, the same in every worker."""
+        import pandas as pd
+
         names = self.vocabulary.to_numpy(zero_copy_only=False)
         if not len(names):
             return np.zeros(0, np.uint64)
@@ -152,19 +156,20 @@ def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
 # -- membership filter -------------------------------------------------------
 
 
-def member_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> Column | None:
+def member_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> Column:
     """A condition on a column of the same name: false only where no row of
     `keys` has the value. It is a bitmap of fixed size with one hash function,
     built on the executors and read as a scalar subquery, so it thins out a scan
     before a shuffle at any input size; the exact join must still follow."""
     words = bits // 64
     at = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
-    hit = keys.select(at.alias("_at")).select((F.col("_at") / 64).cast("int").alias("_word"), F.shiftleft(F.lit(1).cast("long"), F.pmod(F.col("_at"), F.lit(64)).cast("int")).alias("_bit"))
-    hit = hit.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    word, place = (at / 64).cast("int"), F.pmod(at, F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    hit = keys.select(word.alias("_word"), one.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     every = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("_word"))
-    packed = every.join(hit, "_word", "left").agg(F.sort_array(F.collect_list(F.struct("_word", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits")))).getField("_bits").alias("b"))
-    row = saved(packed, "filter")
-    return F.expr("true") & (F.getbit(F.get(row.scalar(), (at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1)
+    filled = every.join(hit, "_word", "left").select("_word", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits"))
+    packed = saved(filled.agg(F.sort_array(F.collect_list(F.struct("_word", "_bits"))).getField("_bits").alias("bitmap")), "filter")
+    return F.getbit(F.get(packed.scalar(), word), place) == 1
 
 
 # -- connected components ----------------------------------------------------

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablesmith.llm.neardup import op4_near_duplicates
 from tablesmith.llm.packing import op5_packing
 from tablesmith.llm.quality import op1_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op5_packing": op5_packing}
+    return {"op1_quality": op1_quality, "op4_near_duplicates": op4_near_duplicates, "op5_packing": op5_packing}
 
 
 def oracle_sql() -> dict[str, str]:
