@@ -13,7 +13,7 @@ table gives no piece; other columns are ignored."""
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,84 +28,84 @@ from tablesmith.llm.common import documents, saved, slices
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a Python worker keeps; beyond that it starts anew.
-CACHE_WORDS = 300_000
-#: Signs that part from letters wherever they stand, whatever the tokenizer's pattern makes of other signs.
-_TAIL = ",.!?*$&%#;:"
-_ASCII_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Bytes of text that are encoded at once.
+SLICE = 6 << 20
+#: A letter and the signs that end a chunk never share a token.
+_TAIL = r"(\p{L})([,.!?*$&%#;:]+)$"
+#: Pieces of one word or one run of signs, which can be encoded many at a time.
+_SIMPLE = r"^(\p{L}+|[,.!?*$&%#;:|]+)$"
+_GROUP = 200
+
+
+def _take(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[begin[c] : begin[c] + size[c]] for each c of code, joined; and where each ends."""
+    each = size[code]
+    ends = np.cumsum(each)
+    return flat[np.repeat(begin[code] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
 class WordEncoder:
     """Ids of whole texts by a word-level BPE tokenizer that drops white space.
-    White-space-separated chunks never share a token, so each distinct chunk is
-    encoded once and its ids are gathered for every place where it stands."""
+    White-space-separated chunks never share a token, so each distinct chunk of a
+    slice is encoded once and its ids are gathered for every place where it stands."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.pieces: dict[str, list[int]] = {}
-        self.chunks: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _parts(self, chunk: str) -> list[str]:
-        """Pieces of a chunk that the tokenizer treats alone."""
-        if chunk.isascii():
-            return [chunk] if "'" in chunk else _ASCII_PIECES.findall(chunk)
-        core = chunk.rstrip(_TAIL)
-        return [core, chunk[len(core) :]] if len(core) < len(chunk) and core[-1].isalpha() else [chunk]
-
-    def _learn(self, chunks: list[str]) -> None:
-        split = [self._parts(c) for c in chunks]
-        new = list({p for parts in split for p in parts if p not in self.pieces})
-        for piece, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.pieces[piece] = coded.ids
-        at = len(self.chunks)
-        while len(self.size) < at + len(chunks):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-        flat: list[int] = []
-        for chunk, parts in zip(chunks, split, strict=True):
-            self.begin[at] = self.used + len(flat)
-            for p in parts:
-                flat += self.pieces[p]
-            self.size[at] = self.used + len(flat) - self.begin[at]
-            self.chunks[chunk] = at
-            at += 1
-        while len(self.ids) < self.used + len(flat):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = bool(suffix) and token.endswith(suffix)
+
+    def _one_by_one(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces: flat, and each one's begin and size."""
+        simple = pc.match_substring_regex(pieces, _SIMPLE).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+        some = pieces.filter(pa.array(simple)).to_pylist()
+        groups = [some[i : i + _GROUP] for i in range(0, len(some), _GROUP)]
+        flat, sizes = [], []
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(group) and len(ids) == ends[-1]:
+                flat.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+            else:  # the tokenizer sees other words than the pattern does
+                each = self._one_by_one(group)
+                flat += each
+                sizes.append(np.array([len(x) for x in each]))
+        each = self._one_by_one(pieces.filter(pa.array(~simple)).to_pylist())
+        flat += each
+        sizes.append(np.array([len(x) for x in each], np.int64))
+        size = np.zeros(len(pieces), np.int64)
+        begin = np.zeros(len(pieces), np.int64)
+        size[order] = np.concatenate(sizes)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), begin, size
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, each text closed by end_id, and each text's number of ids."""
-        special = pc.match_substring(texts, "<|")
-        if pc.any(special).as_py():  # special tokens are found before anything else, in their own letter case
-            coded = [self.tokenizer.encode(t, add_special_tokens=False).ids + [end_id] for t in texts.to_pylist()]
-            return np.concatenate([np.array(x, np.uint32) for x in coded]), np.array([len(x) for x in coded], np.int64)
-        if len(self.chunks) > CACHE_WORDS:
-            self.clear()
+        if pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are found before anything else, in their own letter case
+            each = [np.append(x, np.uint32(end_id)) for x in self._one_by_one(texts.to_pylist())]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
         parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         words = parts.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        if new := [x for x in names if x not in self.chunks]:
-            self._learn(new)
-        place = np.fromiter(map(self.chunks.__getitem__, names), np.int64, len(names))
-        code = place[words.indices.to_numpy()]
-        size, begin = self.size[code], self.begin[code]
-        ends = parts.offsets.to_numpy()
-        ends = ends - ends[0]
-        at = np.concatenate([[0], np.cumsum(size)])
-        counts = np.diff(at[ends]) + 1
-        out = np.empty(at[-1] + len(texts), np.uint32)
-        last = np.cumsum(counts) - 1
-        body = np.ones(len(out), bool)
-        body[last] = False
-        out[last] = end_id
-        out[body] = self.ids[np.repeat(begin - at[:-1], size) + np.arange(at[-1])]
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(words.dictionary, _TAIL, r"\1 \2"))
+        pieces = split.flatten().dictionary_encode()
+        by_chunk, at = _take(*self._pieces(pieces.dictionary), pieces.indices.to_numpy())
+        # ids of each distinct chunk are those of its pieces
+        at = np.concatenate([[0], at])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        body, ends = _take(by_chunk, at[:-1], np.diff(at), words.indices.to_numpy())
+        offsets = parts.offsets.to_numpy()
+        counts = np.diff(np.concatenate([[0], ends])[offsets - offsets[0]]) + 1
+        out = np.full(len(body) + len(texts), end_id, np.uint32)
+        kept = np.ones(len(out), bool)
+        kept[np.cumsum(counts) - 1] = False
+        out[kept] = body
         return out, counts
 
 
@@ -114,10 +114,11 @@ _encoders: dict[str, WordEncoder] = {}
 
 def _tokenize(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         encoder, part, before = _encoders[path], TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, counts = encoder.encode(batch.column("text"), end_id)
             ends = np.cumsum(counts)
             data = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
