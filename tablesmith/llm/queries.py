@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tablesmith.llm.neardup import op4_near_duplicates
 from tablesmith.llm.packing import op5_packing
 from tablesmith.llm.quality import op1_quality
+from tablesmith.llm.substrings import op7_substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op4_near_duplicates": op4_near_duplicates, "op5_packing": op5_packing}
+    return {"op1_quality": op1_quality, "op4_near_duplicates": op4_near_duplicates, "op5_packing": op5_packing, "op7_substrings": op7_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
