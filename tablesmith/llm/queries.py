@@ -10,12 +10,14 @@ from tablesmith.llm.crf import op8_line_crf
 from tablesmith.llm.fingerprints import op10_fingerprints
 from tablesmith.llm.neardup import op4_near_duplicates
 from tablesmith.llm.packing import op5_packing
+from tablesmith.llm.pii import op3_pseudonyms
 from tablesmith.llm.quality import op1_quality
+from tablesmith.llm.secrets import op6_secrets
 from tablesmith.llm.substrings import op7_substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op4_near_duplicates": op4_near_duplicates, "op5_packing": op5_packing, "op7_substrings": op7_substrings,
+    return {"op1_quality": op1_quality, "op3_pseudonyms": op3_pseudonyms, "op4_near_duplicates": op4_near_duplicates, "op5_packing": op5_packing, "op6_secrets": op6_secrets, "op7_substrings": op7_substrings,
         "op8_line_crf": op8_line_crf, "op10_fingerprints": op10_fingerprints}
 
 
