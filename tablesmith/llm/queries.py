@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablesmith.llm.crf import op8_line_crf
 from tablesmith.llm.fingerprints import op10_fingerprints
 from tablesmith.llm.licenses import op2_licenses
+from tablesmith.llm.mixing import op9_mixing
 from tablesmith.llm.neardup import op4_near_duplicates
 from tablesmith.llm.packing import op5_packing
 from tablesmith.llm.pii import op3_pseudonyms
@@ -20,7 +21,7 @@ from tablesmith.llm.substrings import op7_substrings
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_quality": op1_quality, "op2_licenses": op2_licenses, "op3_pseudonyms": op3_pseudonyms,
         "op4_near_duplicates": op4_near_duplicates, "op5_packing": op5_packing, "op6_secrets": op6_secrets, "op7_substrings": op7_substrings,
-        "op8_line_crf": op8_line_crf, "op10_fingerprints": op10_fingerprints}
+        "op8_line_crf": op8_line_crf, "op9_mixing": op9_mixing, "op10_fingerprints": op10_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
