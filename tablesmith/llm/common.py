@@ -172,6 +172,26 @@ def member_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> Column:
     return F.getbit(F.get(packed.scalar(), word), place) == 1
 
 
+def without(docs: DataFrame, rejected: DataFrame, once: bool = False) -> DataFrame:
+    """The documents but the rejected ones, given by doc_id or by doc_id and
+    text_key (hash of the text); once: repeated rows (same doc_id and text) stay
+    once. Only rows that the membership filter lets through are shuffled."""
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = saved(rejected.select(*[F.col(c).alias(f"_gone_{c}") for c in rejected.columns]).distinct(), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col("_gone_doc_id"))
+    if "text_key" in rejected.columns:
+        same = same & (F.col("_text_key") == F.col("_gone_text_key"))
+    suspects = gone.select(F.col("_gone_doc_id").alias("doc_id"))
+    if once:
+        again = keyed.groupBy("doc_id", "_text_key").agg(F.count("*").alias("n")).where("n > 1")
+        suspects = suspects.union(again.select("doc_id"))
+    maybe = member_filter(suspects, "doc_id")
+    some = keyed.where(maybe).join(gone, same, "left_anti")
+    if once:
+        some = some.dropDuplicates(["doc_id", "_text_key"])
+    return keyed.where(~maybe).select(*docs.columns).union(some.select(*docs.columns))
+
+
 # -- connected components ----------------------------------------------------
 
 

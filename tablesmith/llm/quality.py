@@ -121,17 +121,17 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = _histogram(words.row, bins[words.code], n, len(WORD_BINS) + 1)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), batch.column("lang"), pa.array(words.count),
+                batch.column("doc_id"), batch.column("text_key"), batch.column("lang"), pa.array(words.count),
                 pa.array(np.bincount(words.row, lengths[words.code], minlength=n).astype(np.int64)),
                 pa.array(classes[:, 6].astype(np.int64)), pa.array([_repeated_lines(t) for t in texts.to_pylist()], pa.int64()),
                 pa.array(_repeated_words(words, n)), ragged(classes.ravel(), np.full(n, CLASSES), pa.int64()),
                 ragged(common.ravel(), np.full(n, common.shape[1]), pa.int64()),
             ],
-            names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common"],
+            names=["doc_id", "text_key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common"],
         )
 
 
-_MEASURED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>"
+_MEASURED = "doc_id long, text_key long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -176,9 +176,9 @@ def references(measured: DataFrame) -> dict[str | None, tuple[list[int], list[in
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """One row for each document: base measures, base_failed, both distances (null
+    """One row for each document: doc_id, text_key (hash of the text), lang, base measures, base_failed, both distances (null
     where the text is too short to compare) and kept."""
-    measured = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(_measure, _MEASURED), "quality")
+    measured = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).mapInArrow(_measure, _MEASURED), "quality")
     known = references(measured)
     index = {k: i for i, k in enumerate(known)}
     classes, common = (_share(np.array([v[i] for v in known.values()] or [[0]], float)) for i in (0, 1))
@@ -193,11 +193,11 @@ def quality(docs: DataFrame) -> DataFrame:
             far = [distance(_share(x), ref[mine]) for x, ref in ((own, classes), (_matrix(batch.column("common")), common))]
             failed = (words < MIN_WORDS) | (100 * batch.column("n_repeat_words").to_numpy() > MAX_REPEATED_PERCENT * words)
             apart = long_enough[0] & (far[0] > MAX_CLASS_DISTANCE) | long_enough[1] & (far[1] > MAX_WORD_DISTANCE)
-            names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+            names = ["doc_id", "text_key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(failed), *(pa.array(x, mask=~ok) for x, ok in zip(far, long_enough, strict=True)), pa.array(~failed & ~apart)], names=[*names, "base_failed", "class_distance", "word_distance", "kept"])
 
     return measured.mapInArrow(judge, _MEASURED.partition(", classes")[0] + ", base_failed boolean, class_distance double, word_distance double, kept boolean")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir)).drop("lang")
+    return quality(documents(spark, sf_dir)).drop("text_key", "lang")
