@@ -1,19 +1,19 @@
-"""Registered queries over the reference tables and their DuckDB SQL."""
+"""Registered queries over the tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tablesmith.plans.registered import QUERIES, SQL, Query
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["sales_by_region"](spark, sf_dir)
+    return QUERIES["sales_by_region"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

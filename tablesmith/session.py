@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +25,10 @@ def session(name: str = "tablesmith", conf: dict[str, str] | None = None) -> Spa
     spark = builder.config(map=DEFAULTS | (conf or {})).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def package_on_workers(spark: SparkSession) -> None:
+    """Python workers of a local session find this package beside its own path. On
+    a cluster it is shipped with spark-submit --py-files."""
+    if spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
