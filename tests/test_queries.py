@@ -23,7 +23,7 @@ def test_query(spark, db, name):
 def test_recursive_chunks_cover_the_text(spark):
     from tablesmith.operators.retrieval import split_text
 
-    text = "".join(f"Sentence {i}. Another {i}! " for i in range(40)) + "\n\n" + "".join(f"{i:04d}" for i in range(125))
+    text = "".join(f"Sentence {i}. Another {i}! " for i in range(40)) + "\n" + "".join(f"{i:04d}" for i in range(125))
     parts = split_text(text, 100, 20)
     assert all(len(p) <= 100 for p in parts)
     at = 0
