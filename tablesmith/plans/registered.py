@@ -5,6 +5,7 @@ nulls are put to the test. Doubles are rounded where the order of a sum shows.""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,11 @@ from tablesmith.operators import retrieval as R
 from tablesmith.operators import series as V
 from tablesmith.operators.cleaning import ORDER
 from tablesmith.plans.rules import RuleEngine
-from tablesmith.session import package_on_workers
+from tablesmith.session import package_on_workers, shared_dir
 from tablesmith.sources import databases as D
+from tablesmith.sources import files as I
+from tablesmith.sources import macro as M
+from tablesmith.sources import sinks as K
 from tablesmith.sources import shaping as H
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -439,6 +443,54 @@ def _(t):
     return t.region
 
 
+def _scratch(t: Tables, name: str) -> str:
+    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("scan_csv", "select n_nationkey, n_name, n_regionkey from nation")
+def _(t):
+    path = _scratch(t, "csv")
+    t.nation.write.option("header", True).option("sep", ";").csv(path)
+    return I.read_csv(t.spark, path)
+
+
+@query("scan_json", "select r_regionkey as key, r_name as names_name from region")
+def _(t):
+    path = _scratch(t, "json")
+    t.region.select(F.col("r_regionkey").alias("key"), F.struct(F.col("r_name").alias("name")).alias("names")).coalesce(1).write.json(path)
+    return H.flatten(I.read_jsonl(t.spark, path, "key int, names struct<name:string>"))
+
+
+@query("save_and_replace", "select r_regionkey, upper(r_name) as r_name from region where r_regionkey > 0")
+def _(t):
+    path = _scratch(t, "table")
+    K.save(t.region, path)
+    K.replace(t.spark.read.parquet(path).where("r_regionkey > 0").withColumn("r_name", F.upper("r_name")), path)
+    return t.spark.read.parquet(path)
+
+
+@query("latest_rows", "select conv_id, max(turn) as turn from conversations group by conv_id")
+def _(t):
+    return K.latest(t.conversations, "conv_id", "turn").select("conv_id", "turn")
+
+
+@query("preview_rows", "select cast(o_orderkey as varchar) as o_orderkey, coalesce(status, '') as status from (select o_orderkey, nullif(o_orderstatus, 'F') as status from orders) where o_orderkey < 10")
+def _(t):
+    return P.preview_rows(_holes(t).select("o_orderkey", "status").withColumn(ORDER, F.col("o_orderkey")))
+
+
+@query("macro_table", "select y as year, q as quarter, y * 10 + q as value, cast(y as varchar) || 'Q' || cast(q as varchar) as period from (select unnest([2021, 2022]) as y) cross join (select unnest([1, 2, 3, 4]) as q)")
+def _(t):
+    rows = [(y, q, y * 10 + q) for y in (2019, 2020, 2021, 2022, 2023) for q in (1, 2, 3, 4)]
+    return M.macro_table(t.spark, rows, "year int, quarter int, value int", 2021, 2022)
+
+
+@query("indicator_rows", "select * from (values ('A', 2020, 1.5), ('A', 2022, 2.5)) as t(country, year, value)")
+def _(t):
+    records = '[{"country":{"id":"A"},"date":"2022","value":2.5},{"country":{"id":"A"},"date":"2021","value":null},{"country":{"id":"A"},"date":"2020","value":1.5}]'
+    return M.indicator_rows(t.spark.createDataFrame([(records,)], "body string"), "body").withColumn("value", F.col("value").cast("decimal(2,1)"))
+
+
 @query("scan_jsonl", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def _(t):
     return t.events.select("event_id", F.from_json("props", "k long").alias("p")).select("event_id", "p.k")
@@ -560,6 +612,21 @@ def _(t):
     return D.guarded_sql(_views(t, "orders"), "SELECT o_custkey, cast(sum(cast(o_totalprice AS decimal(18,2))) AS double) AS total FROM orders GROUP BY 1 ORDER BY total DESC, o_custkey LIMIT 10")
 
 
+def _sql_query(name: str, sql: str, *tables: str):
+    @query(name, sql)
+    def _(t):
+        return D.guarded_sql(_views(t, *tables), sql)
+
+
+# not among the reference's operators, but within reach of its SQL
+_sql_query("sql_semi", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey)", "customer", "orders")
+_sql_query("sql_anti", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)", "customer", "orders")
+_sql_query("sql_rollup", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)", "orders")
+_sql_query("sql_window", "select o_orderkey, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as bigint) as nth from orders", "orders")
+_sql_query("sql_intersect", "select l_returnflag as f from lineitem intersect select o_orderstatus from orders", "lineitem", "orders")
+_sql_query("sql_except", "select o_orderstatus as f from orders except select l_returnflag from lineitem", "orders", "lineitem")
+
+
 @query("share_of_total", "select o_orderpriority, round(count(*) * 1.0 / (select count(*) from orders), 6) as share from orders group by 1")
 def _(t):
     return D.guarded_sql(_views(t, "orders"), "SELECT o_orderpriority, round(cast(count(*) AS double) / (SELECT count(*) FROM orders), 6) AS share FROM orders GROUP BY 1")

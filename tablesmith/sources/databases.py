@@ -178,12 +178,7 @@ def register_sqlite(spark: SparkSession) -> None:
     spark.dataSource.register(SqliteSource)
 
 
-# -- indicators --------------------------------------------------------------
-
-
-def indicator_rows(df: DataFrame, value: str = "value") -> DataFrame:
-    """Records of a statistics service without those that have no value, by year."""
-    return df.where(F.col(value).isNotNull()).orderBy("year")
+# -- keywords --------------------------------------------------------------
 
 
 def search(df: DataFrame, column: str, keyword: str, most: int = 20) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 
@@ -30,6 +31,8 @@ def _plain(x):
         return None if math.isnan(x) else round(x, 6) + 0.0
     if isinstance(x, list | tuple):
         return tuple(map(_plain, x))
+    if isinstance(x, Decimal):
+        return float(x)
     return str(x) if hasattr(x, "isoformat") else x
 
 
@@ -48,6 +51,6 @@ def compare(spark, db, name: str, run, sql: str, sf_dir: str = DATA) -> str:
     for a, b in zip(got, want, strict=True):
         if a != b:
             return f"{name}: {a} and {b}"
-    spark_kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT"}
+    spark_kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT", "decimal(2,1)": "DECIMAL(2,1)"}
     other = [(c, k, kinds[c]) for c, k in df.dtypes if spark_kinds.get(k, k) != kinds[c]]
     return f"{name}: types {other}" if other else ""
