@@ -10,7 +10,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablesmith.session import package_on_workers
+
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bits of the membership filter: fixed, so what is broadcast does not grow.
 FILTER_BITS = 1 << 23
 
@@ -29,11 +30,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if spark.sparkContext.master.startswith("local"):  # Python workers of a local session find the package beside its own path
-        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def workers(spark: SparkSession) -> None:
+    """Settings of Python workers that nobody else has made: smaller Arrow batches,
+    as texts can be long, and memory that goes back to the system when it is freed."""
+    env, batch = spark.sparkContext.environment, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    package_on_workers(spark)
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, "2000")
+
+
 # -- shared folder -----------------------------------------------------------
 
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import Words, documents, ragged, slices, table
+from tablesmith.llm.common import Words, documents, ragged, slices, table, workers
 
 #: Labelled documents of either label that the model is fitted on, at most.
 TRAIN_EACH = 2000
@@ -174,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> tuple[n
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document: doc_id, n_lines, score."""
+    workers(docs.sparkSession)
     weights, step = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

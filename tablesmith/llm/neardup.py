@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import Words, components, documents, member_filter, mixed, ragged, rolling, saved, slices
+from tablesmith.llm.common import Words, components, documents, member_filter, mixed, ragged, rolling, saved, slices, workers
 
 SHINGLE = 5
 #: Least similarity in percent.
@@ -189,6 +189,7 @@ def _dense_links(lists: DataFrame, sets: DataFrame, links: DataFrame, percent: i
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, k: int = SKETCH) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
+    workers(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = saved(rows.mapInArrow(_sketches(width, k), "doc_id long, n long, f1 long, f2 long, sketch array<long>"), "sketches")
     some = sketched.where("n > 0 and doc_id is not null")

@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import documents, saved, slices
+from tablesmith.llm.common import documents, saved, slices, workers
 
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text that are encoded at once.
-SLICE = 6 << 20
+SLICE = 4 << 20
 #: A letter and the signs that end a chunk never share a token.
 _TAIL = r"(\p{L})([,.!?*$&%#;:]+)$"
 #: Pieces of one word or one run of signs, which can be encoded many at a time.
@@ -131,6 +131,7 @@ def _tokenize(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row for each piece: doc_id, start, length, doc_tokens, sequence_id,
     offset and `ids`, the piece's ids as little-endian unsigned 32-bit numbers."""
+    workers(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     coded = saved(rows.mapInArrow(_tokenize(tokenizer_path, end_id), "part int, doc_id long, at long, doc_tokens long, ids binary"), "ids")
     # One row for each input partition, whatever the number of documents.

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import Words, documents, ragged, saved, slices
+from tablesmith.llm.common import Words, documents, ragged, saved, slices, workers
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -178,6 +178,7 @@ def references(measured: DataFrame) -> dict[str | None, tuple[list[int], list[in
 def quality(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, text_key (hash of the text), lang, base measures, base_failed, both distances (null
     where the text is too short to compare) and kept."""
+    workers(docs.sparkSession)
     measured = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).mapInArrow(_measure, _MEASURED), "quality")
     known = references(measured)
     index = {k: i for i, k in enumerate(known)}
