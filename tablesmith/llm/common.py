@@ -7,7 +7,6 @@ length of a partition."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.session import package_on_workers
+from tablesmith.session import package_on_workers, shared_dir
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 2 << 20
@@ -48,18 +47,6 @@ def workers(spark: SparkSession) -> None:
 # -- shared folder -----------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a
-    local session without that setting gets a temporary folder of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="tablesmith-"))
-    return spark.conf.get("spark.checkpoint.dir")
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again. Cuts the
     lineage: a lost executor costs no more than the stage that reads the table."""
@@ -167,39 +154,56 @@ def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
 # -- membership filter -------------------------------------------------------
 
 
-def member_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> Column:
-    """A condition on a column of the same name: false only where no row of
+def member_filter(keys: DataFrame, key: str, on: str | None = None, bits: int = FILTER_BITS) -> Column:
+    """A condition on a column of the same name (or `on`): false only where no row of
     `keys` has the value. It is a bitmap of fixed size with one hash function,
     built on the executors and read as a scalar subquery, so it thins out a scan
     before a shuffle at any input size; the exact join must still follow."""
     words = bits // 64
-    at = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
-    word, place = (at / 64).cast("int"), F.pmod(at, F.lit(64)).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), place)
-    hit = keys.select(word.alias("_word"), one.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+    def bit(column: str) -> tuple[Column, Column]:
+        at = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+        return (at / 64).cast("int"), F.pmod(at, F.lit(64)).cast("int")
+
+    word, place = bit(key)
+    hit = keys.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     every = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("_word"))
     filled = every.join(hit, "_word", "left").select("_word", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits"))
     packed = saved(filled.agg(F.sort_array(F.collect_list(F.struct("_word", "_bits"))).getField("_bits").alias("bitmap")), "filter")
+    word, place = bit(on or key)
     return F.getbit(F.get(packed.scalar(), word), place) == 1
 
 
+def text_key() -> Column:
+    """A hash of the row's text; with doc_id it tells rows apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as df has such a column."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def without(docs: DataFrame, rejected: DataFrame, once: bool = False) -> DataFrame:
     """The documents but the rejected ones, given by doc_id or by doc_id and
     text_key (hash of the text); once: repeated rows (same doc_id and text) stay
     once. Only rows that the membership filter lets through are shuffled."""
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = saved(rejected.select(*[F.col(c).alias(f"_gone_{c}") for c in rejected.columns]).distinct(), "rejected")
-    same = F.col("doc_id").eqNullSafe(F.col("_gone_doc_id"))
+    key, gone_id, gone_key = (spare(docs, n) for n in ("_text_key", "_gone_id", "_gone_key"))
+    keyed = docs.withColumn(key, text_key())
+    gone = saved(rejected.withColumnsRenamed({"doc_id": gone_id, "text_key": gone_key}).distinct(), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id))
     if "text_key" in rejected.columns:
-        same = same & (F.col("_text_key") == F.col("_gone_text_key"))
-    suspects = gone.select(F.col("_gone_doc_id").alias("doc_id"))
+        same = same & (F.col(key) == F.col(gone_key))
+    suspects = gone.select(F.col(gone_id).alias("doc_id"))
     if once:
-        again = keyed.groupBy("doc_id", "_text_key").agg(F.count("*").alias("n")).where("n > 1")
-        suspects = suspects.union(again.select("doc_id"))
+        suspects = suspects.union(keyed.groupBy("doc_id", key).agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"))
     maybe = member_filter(suspects, "doc_id")
     some = keyed.where(maybe).join(gone, same, "left_anti")
     if once:
-        some = some.dropDuplicates(["doc_id", "_text_key"])
+        some = some.dropDuplicates(["doc_id", key])
     return keyed.where(~maybe).select(*docs.columns).union(some.select(*docs.columns))
 
 

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import documents, member_filter, saved, table
+from tablesmith.llm.common import documents, member_filter, saved, spare, table, text_key
 
 TARGETS = {"de": 0.16, "en": 0.55, "es": 0.13, "fr": 0.16}
 TRAIN_DOCUMENTS = 4000
@@ -135,11 +135,13 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, least: float = 1.0) -> DataFrame:
     """The documents with their columns, each as often as its copies say."""
-    changed = saved(rates(docs, labels, targets, least=least).where("copies <> 1").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "copies"), "copies")
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    maybe = member_filter(changed, "_key")
-    some = keyed.where(maybe).alias("k").join(changed.alias("c"), F.expr("k._key = c._key and k.doc_id <=> c._doc"), "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
-    some = some.where("copies > 0").select("k.*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    key, other_id, other_key, times, nth = (spare(docs, n) for n in ("_key", "_other_id", "_other_key", "_times", "_nth"))
+    changed = rates(docs, labels, targets, least=least).where("copies <> 1").select(F.col("doc_id").alias(other_id), F.col("text_key").alias(other_key), F.col("copies").alias(times))
+    changed = saved(changed, "copies")
+    keyed = docs.withColumn(key, text_key())
+    maybe = member_filter(changed, other_key, on=key)
+    some = keyed.where(maybe).join(changed, (F.col(key) == F.col(other_key)) & F.col("doc_id").eqNullSafe(F.col(other_id)), "left").withColumn(times, F.coalesce(times, F.lit(1).cast("long")))
+    some = some.where(F.col(times) > 0).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), times)))
     return keyed.where(~maybe).select(*docs.columns).union(some.select(*docs.columns))
 
 

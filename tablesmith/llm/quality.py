@@ -201,4 +201,5 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir)).drop("text_key", "lang")
+    found = quality(documents(spark, sf_dir)).drop("text_key", "lang")
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})

@@ -11,6 +11,7 @@ from tablesmith.llm.fingerprints import op10_fingerprints
 from tablesmith.llm.licenses import op2_licenses
 from tablesmith.llm.mixing import op9_mixing
 from tablesmith.llm.neardup import op4_near_duplicates
+from tablesmith.llm.oracle_sql import SQL
 from tablesmith.llm.packing import op5_packing
 from tablesmith.llm.pii import op3_pseudonyms
 from tablesmith.llm.quality import op1_quality
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -27,7 +27,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import documents, member_filter, saved
+from tablesmith.llm.common import documents, member_filter, saved, spare, text_key
 
 #: Alternatives that a clause may have; a larger choice is no condition.
 MOST_CHOICES = 64
@@ -217,16 +217,19 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with their columns; each secret's characters give way to MASK, and n_chars follows."""
-    found = saved(scan(docs, rules).where("size(spans) > 0").dropDuplicates(["doc_id", "text_key"]).withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_key", "_key"), "found")
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    maybe = member_filter(found, "_key")
+    key, found_id, found_key, found_spans = (spare(docs, n) for n in ("_key", "_found_id", "_found_key", "_spans"))
+    found = scan(docs, rules).where("size(spans) > 0").dropDuplicates(["doc_id", "text_key"]).withColumnsRenamed({"doc_id": found_id, "text_key": found_key, "spans": found_spans})
+    found = saved(found, "found")
+    keyed = docs.withColumn(key, text_key())
+    maybe = member_filter(found, found_key, on=key)
+    some = keyed.where(maybe).join(found, (F.col(key) == F.col(found_key)) & F.col("doc_id").eqNullSafe(F.col(found_id)), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, s: F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(s.start >= acc.at, F.concat(acc.out, F.substring(F.col("text"), acc.at + 1, s.start - acc.at), F.lit(MASK))).otherwise(acc.out).alias("out"))
-    text = F.aggregate("spans", start, step, lambda acc: F.concat(acc.out, F.substring(F.col("text"), acc.at + 1, F.length("text"))))
-    some = keyed.where(maybe).alias("k").join(found.alias("f"), F.expr("k._key = f._key and k.doc_id <=> f._doc"), "left").select("k.*", "f.spans")
-    some = some.withColumn("text", F.when(F.col("spans").isNotNull(), text).otherwise(F.col("text")))
+    text = F.aggregate(found_spans, start, step, lambda acc: F.concat(acc.out, F.substring(F.col("text"), acc.at + 1, F.length("text"))))
+    hit = F.col(found_spans).isNotNull()
+    some = some.withColumn("text", F.when(hit, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        some = some.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        some = some.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return keyed.where(~maybe).select(*docs.columns).union(some.select(*docs.columns))
 
 

@@ -26,8 +26,8 @@ EDGE = [
 @pytest.fixture(scope="session")
 def edge(spark):
     """Nulls, blanks, ties, repeated rows, a long text, and columns with names that the operators use themselves."""
-    rows = [(i, t, None if i == 4 else "en", "s", len(t or ""), 1, "k", 0, 1, "x") for i, t in EDGE]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, text_key int, _text_key string, part int, n int, component string").repartition(3)
+    rows = [(i, t, None if i == 4 else "en", "s", len(t or ""), 1, "k", 0, 1, "x", "y", "z") for i, t in EDGE]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, text_key int, _text_key string, part int, n int, component string, _key string, spans string").repartition(3)
 
 
 @pytest.fixture(scope="session")
