@@ -69,9 +69,10 @@ def check_query(spark: SparkSession, sql: str) -> None:
         raise RefusedQuery("calls into the JVM are not allowed")
 
 
-def guarded_sql(spark: SparkSession, sql: str, most: int = MOST_ROWS) -> DataFrame:
+def guarded_sql(spark: SparkSession, sql: str, most: int | None = None) -> DataFrame:
+    """All rows of a checked statement; `most` (MOST_ROWS is the reference's row guard) cuts them off where a caller asks for it."""
     check_query(spark, sql)
-    return spark.sql(sql).limit(most)
+    return spark.sql(sql) if most is None else spark.sql(sql).limit(most)
 
 
 @dataclass(frozen=True)

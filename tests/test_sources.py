@@ -82,6 +82,14 @@ def test_sql_allowed(spark, sql):
     assert D.guarded_sql(spark, sql, 5).count() <= 5
 
 
+def test_guarded_sql_returns_all_rows(spark):
+    many = D.MOST_ROWS + 7
+    spark.range(many).createOrReplaceTempView("many_rows")
+    assert D.guarded_sql(spark, "SELECT id FROM many_rows").count() == many
+    assert D.query_set(spark, query="SELECT id FROM many_rows")["query"].count() == many
+    assert D.guarded_sql(spark, "SELECT id FROM many_rows", D.MOST_ROWS).count() == D.MOST_ROWS
+
+
 def test_query_set_names_and_failures(spark):
     plan = [D.NamedQuery("SELECT 1 a", "q"), D.NamedQuery("SELECT 2 a", "q"), D.NamedQuery("SELECT * FROM nope", "bad")]
     assert list(D.query_set(spark, planner=lambda q, t: plan)) == ["q", "q_1"]
