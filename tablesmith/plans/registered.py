@@ -268,6 +268,21 @@ for _how, _sql, _key in (("inner", "inner", "a.k"), ("left", "left", "a.k"), ("r
     _join_query(_how, _sql, _key)
 
 
+# the same over all of lineitem, so that its hot keys meet
+_ALL_LEFT = "(select l_orderkey, nullif(l_linenumber, 1) as k, l_quantity as v from lineitem)"
+
+
+def _join_all_query(how: str, sql_how: str, key: str):
+    @query(f"join_{how}_all", f"select l_orderkey, {key} as k, a.v as v, b.v as v_right from {_ALL_LEFT} a {sql_how} join {_RIGHT} b on a.k is not distinct from b.k")
+    def _(t):
+        left = t.lineitem.select("l_orderkey", F.nullif("l_linenumber", F.lit(1)).alias("k"), F.col("l_quantity").alias("v"))
+        return run(C.Join("a", "b", "k", how), t.region, {**_sides(t), "a": left})
+
+
+for _how, _sql, _key in (("inner", "inner", "a.k"), ("left", "left", "a.k"), ("right", "right", "b.k"), ("outer", "full", "coalesce(a.k, b.k)")):
+    _join_all_query(_how, _sql, _key)
+
+
 @query("join_multi_key", "select a.l_orderkey, a.l_linenumber, a.l_quantity, b.l_quantity as l_quantity_right from lineitem a join (select * from lineitem where l_quantity > 25) b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber")
 def _(t):
     cols = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity")
@@ -659,6 +674,12 @@ def _(t):
     return V.xy_series(years, *V.pick_axes(years)).withColumn("y", F.round("y", 6))
 
 
+@query("xy_series_all", "with y as (select cast(year(o_orderdate) as bigint) as x, count(*) as n from orders group by 1), m as (select max(n) as top from y) select x, round(n / case when top >= 1e12 then 1e12 when top >= 1e8 then 1e8 when top >= 1e4 then 1e4 else 1.0 end, 6) as y, case when top >= 1e12 then 'trillion' when top >= 1e8 then 'hundred million' when top >= 1e4 then 'ten thousand' else '' end as unit from y, m")
+def _(t):
+    years = t.orders.groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count("*").alias("value"))
+    return V.xy_series(years, *V.pick_axes(years)).withColumn("y", F.round("y", 6))
+
+
 @query("history_text", "select conv_id, coalesce(string_agg('[' || role || '] ' || text, chr(10) || chr(10) order by turn) filter (where role <> 'system'), '') as history from conversations group by conv_id")
 def _(t):
     return L.history(t.conversations)
