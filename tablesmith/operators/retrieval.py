@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 1500, 200
@@ -63,7 +63,71 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int = 3) -> DataFrame:
-    """The k rows most like the query: a top-k plan, one scan without a full sort."""
+#: Rows compared at a time: of the table, and of the queries.
+ROW_BLOCK, QUERY_BLOCK = 4096, 512
+
+
+def nearest(df: DataFrame, key: str, vector: str, query: Sequence[float] | DataFrame, k: int = 3) -> DataFrame:
+    """The k rows most like the query: a top-k plan, one scan without a full sort.
+    With a table of queries (same columns) the k rows most like each of them, as (query_<key>, key, similarity)."""
+    if isinstance(query, DataFrame):
+        return _nearest_each(df, key, vector, query, k)
     q = F.array(*[F.lit(float(x)) for x in query])
     return df.select(key, cosine(F.col(vector), q).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
+
+
+def _blocks(df: DataFrame, key: str, vector: str, rows: int, prefix: str) -> DataFrame:
+    """Rows packed into (keys, width, unit vectors as bytes); a vector without direction is NaN."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
+            found = [None if v is None else np.array(v, float) for v in batch.column(1).to_pylist()]
+            by_width: dict[int, list[int]] = {}
+            for i, v in enumerate(found):
+                by_width.setdefault(-1 if v is None else len(v), []).append(i)
+            for width, at in by_width.items():
+                m = np.array([found[i] for i in at]) if width > 0 else np.full((len(at), 1), np.nan)
+                norm = np.sqrt((m * m).sum(1, keepdims=True))
+                m = np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).take(pa.array(at)).to_pylist()], pa.list_(batch.schema.field(0).type)), pa.array([max(width, 0)], pa.int32()), pa.array([m.tobytes()], pa.binary())], [f"{prefix}keys", f"{prefix}width", f"{prefix}data"])
+
+    return df.select(key, F.col(vector).cast("array<double>")).mapInArrow(run, f"{prefix}keys array<{kind}>, {prefix}width int, {prefix}data binary")
+
+
+def _nearest_each(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+    """Blocks of rows against blocks of queries: the top k of each query within a block, then over all blocks."""
+    import numpy as np
+    import pyarrow as pa
+
+    of, kind, query_kind = f"query_{key}", df.schema[key].dataType.simpleString(), queries.schema[key].dataType.simpleString()
+
+    def matrix(data: bytes, rows: int) -> np.ndarray:
+        return np.frombuffer(data).reshape(rows, -1)
+
+    def best(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, widths, datas, query_ids, query_widths, query_datas = (batch.column(c)[r].as_py() for c in range(6))
+                rows, each = matrix(datas, len(ids)), matrix(query_datas, len(query_ids))
+                if widths and query_widths and widths != query_widths:
+                    raise ValueError(f"vectors of {widths} and {query_widths} numbers")
+                near = each @ rows.T if widths == query_widths else np.full((len(each), len(rows)), np.nan)
+                near = np.where(np.isnan(near), -np.inf, near)
+                take = min(k, len(ids))
+                out = []
+                for i, line in enumerate(near):
+                    # equal vectors get equal values only where each is summed in the same way
+                    some = np.flatnonzero(line >= np.partition(line, len(line) - take)[len(line) - take] - 1e-9)
+                    exact = np.where(np.isfinite(line[some]), (rows[some] * each[i]).sum(1) if widths == query_widths else -np.inf, -np.inf)
+                    top = sorted(zip(-exact, (ids[j] for j in some), strict=True))[:take]
+                    out += [(query_ids[i], j, None if s == np.inf else -s) for s, j in top]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], batch.schema.field(3).type.value_type), pa.array([x[1] for x in out], batch.schema.field(0).type.value_type), pa.array([x[2] for x in out], pa.float64())], [of, key, "similarity"])
+
+    pairs = _blocks(df, key, vector, ROW_BLOCK, "row_").hint("shuffle_replicate_nl").crossJoin(_blocks(queries, key, vector, QUERY_BLOCK, "query_"))
+    partial = pairs.mapInArrow(best, f"{of} {query_kind}, {key} {kind}, similarity double")
+    nth = F.row_number().over(Window.partitionBy(of).orderBy(F.desc("similarity"), key))
+    return partial.withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")

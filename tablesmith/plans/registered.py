@@ -663,6 +663,11 @@ def _(t):
     return R.nearest(t.embeddings, "vec_id", "embedding", first, 5).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("knn_topk_each", "with q as (select vec_id as query_vec_id, cast(embedding as double[]) as e from embeddings where vec_id % 50 = 0), s as (select query_vec_id, vec_id, list_cosine_similarity(cast(embedding as double[]), e) as s from embeddings, q), r as (select *, row_number() over (partition by query_vec_id order by s desc nulls last, vec_id) as rn from s) select query_vec_id, vec_id, round(s, 6) as similarity from r where rn <= 5")
+def _(t):
+    return R.nearest(t.embeddings, "vec_id", "embedding", t.embeddings.where("vec_id % 50 = 0"), 5).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("pie_pairs", "select c_mktsegment as name, count(*) as value from customer group by 1")
 def _(t):
     return V.pairs(t.customer.withColumn("n", F.lit(1).cast("long")), "c_mktsegment", "n")

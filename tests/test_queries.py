@@ -1,6 +1,7 @@
 """Each registered query against its SQL in DuckDB."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablesmith import plans
 from tests import oracle
@@ -31,6 +32,20 @@ def test_joins_and_series_cover_all_rows(spark, db):
     assert round(sum(r.y for r in series)) == orders
 
 
+def test_nearest_answers_each_query(spark, monkeypatch):
+    """Ties by key over block limits; a vector without direction comes last."""
+    from tablesmith.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 1)
+    rows = [(i, [1.0, 2.0] if i < 6 else [2.0, -1.0]) for i in range(9)] + [(9, [0.0, 0.0]), (10, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(2)
+    got = retrieval.nearest(df, "id", "v", df.where("id in (0, 8)"), 4).orderBy("query_id", F.desc("similarity"), "id").collect()
+    assert [(r.query_id, r.id) for r in got] == [(0, 0), (0, 1), (0, 2), (0, 3), (8, 6), (8, 7), (8, 8), (8, 0)]
+    last = retrieval.nearest(df, "id", "v", df.where("id = 0"), 11).where("similarity is null").collect()
+    assert sorted(r.id for r in last) == [9, 10]
+
+
 def test_recursive_chunks_cover_the_text(spark):
     from tablesmith.operators.retrieval import split_text
 
