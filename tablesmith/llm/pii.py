@@ -34,18 +34,35 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 DEMO_KEY = b"tablesmith demonstration key"
 KINDS = ("email", "iban", "card", "phone", "ip", "date", "ssn")
 
+#: Lengths of the IBANs of each country.
+IBAN_LENGTHS = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
+#: Country codes of two digits; 1 and 7 have one, all others three.
+_TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: A further digit of a phone number, with what may stand before it.
+_DIGIT = r"(?:[)]?(?:[ \u00a0\u202f]?[./\-\u2011][ \u00a0\u202f]?|[ \u00a0\u202f])?[(]?[0-9])"
+
+# Where a country fixes the length, that comes before the general shape, so that a number that follows stays outside.
 _PATTERN = re.compile(
-    r"""
-    (?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
-  | (?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])
-  | (?<![A-Za-z0-9])(?P<card>[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}(?P<gap2>[ -])[0-9]{6}(?P=gap2)[0-9]{5})(?![A-Za-z0-9])
-  | (?<![A-Za-z0-9])(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![A-Za-z0-9])
-  | (?<![A-Za-z0-9.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![A-Za-z0-9]|\.[0-9])
-  | (?<![A-Za-z0-9])(?P<date>[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4})(?![A-Za-z0-9])
-  | (?<![A-Za-z0-9])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9])
+    rf"""
+    (?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})
+  | (?<![A-Za-z0-9])(?P<iban>[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])
+  | (?<![A-Za-z0-9])(?P<card>[0-9]{{13,19}}|[0-9]{{4}}(?P<gap>[ -])[0-9]{{4}}(?P=gap)[0-9]{{4}}(?P=gap)[0-9]{{1,7}}|[0-9]{{4}}(?P<gap2>[ -])[0-9]{{6}}(?P=gap2)[0-9]{{5}})(?![A-Za-z0-9])
+  | (?<![A-Za-z0-9])(?P<phone>\+1{_DIGIT}{{10}}(?![A-Za-z0-9])|\+3[34]{_DIGIT}{{9}}(?![A-Za-z0-9])|\+[1-9]{_DIGIT}{{6,14}}|(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{3}}\)[ ]?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}})(?![A-Za-z0-9])
+  | (?<![A-Za-z0-9.])(?P<ip>[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}})(?![A-Za-z0-9]|\.[0-9])
+  | (?<![A-Za-z0-9])(?P<date>[0-9]{{4}}[-/.][0-9]{{2}}[-/.][0-9]{{2}}|[0-9]{{2}}[-/.][0-9]{{2}}[-/.][0-9]{{4}})(?![A-Za-z0-9])
+  | (?<![A-Za-z0-9])(?P<ssn>[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})(?![A-Za-z0-9])
+  | (?<![A-Za-z0-9])(?<![0-9][.,:/-])(?P<trunk>0[1-9](?:[ .\-\u00a0\u202f][0-9]{{2}}){{4}}(?![A-Za-z0-9])|00[ ]?[1-9]{_DIGIT}{{6,14}}|\(?0[1-9](?![0-9]{{6}}(?![0-9])){_DIGIT}{{6,12}}|[2-9][0-9]{{2}}[2-9][0-9]{{6}})(?![A-Za-z0-9]|[.,:][0-9])
     """,
     re.VERBOSE,
 )
+_ABROAD = re.compile(rf"00[ ]?[1-9]{_DIGIT}{{6,14}}(?![A-Za-z0-9])")
 _MAY_HOLD = re.compile("[0-9@]")
 
 
@@ -126,13 +143,27 @@ def _card(text: str, key: bytes) -> str | None:
     return _put(text, [str(d) for d in [*body, _check_digit(body)]])
 
 
+def _country(text: str) -> str:
+    """The sign and code of a country at the start of a phone number."""
+    m = re.match(r"(\+|00[ ]?)(?=[1-9])", text)
+    if not m:
+        return ""
+    digits = [i for i, c in enumerate(text) if c.isdigit() and i >= m.end()]
+    first = "".join(text[i] for i in digits[:2])
+    return text[: digits[0 if first[0] in "17" else 1 if first in _TWO_DIGITS else 2] + 1]
+
+
 def _phone(text: str, key: bytes) -> str:
-    country = re.match(r"\+[0-9]+|", text).group()
-    if country and not text[len(country)] in " .-(":  # the country code runs into the number
-        country = country[:2]
+    """Country code, leading zeros and grouping stay; the first digit after them stays above 0, that of North American parts above 1."""
+    country = _country(text)
     digits = [int(c) for c in text[len(country) :] if c.isdigit()]
-    low = [2 if i in (0, 3) and digits[0] > 1 and digits[3] > 1 else 0 for i in range(len(digits))]
-    new = _mixed([d - a for d, a in zip(digits, low, strict=True)], [10 - a for a in low], f"phone{low[0]}", key)
+    zeros = next((i for i, d in enumerate(digits) if d), len(digits))
+    if len(digits) == 10 and not zeros and country in ("", "+1", "001", "00 1"):
+        low = [2 if i in (0, 3) and digits[0] > 1 and digits[3] > 1 else 0 for i in range(len(digits))]
+    else:
+        low = [1 if i == zeros else 0 for i in range(len(digits))]
+    sizes = [1 if i < zeros else 10 - a for i, a in enumerate(low)]
+    new = _mixed([d - a for d, a in zip(digits, low, strict=True)], sizes, f"phone{low[0]}", key)
     return country + _put(text[len(country) :], [str(d + a) for d, a in zip(new, low, strict=True)])
 
 
@@ -174,15 +205,39 @@ def replaced(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     if not _MAY_HOLD.search(text):
         return text, counts
 
-    def one(m: re.Match) -> str:
-        kind = m.lastgroup if m.lastgroup in counts else "card"  # the last group closed may be a separator
-        new = pseudonym(kind, m.group(), key)
-        if new is None:
-            return m.group()
+    out, done, at, barred = [], 0, 0, 0
+    while m := _PATTERN.search(text, at):
+        kind = m.lastgroup if m.lastgroup in counts or m.lastgroup == "trunk" else "card"  # the last group closed may be a separator
+        inside = kind == "trunk" and m.start() < barred
+        kind, value, new = _found("phone" if kind == "trunk" else kind, m, key)
+        if new is None or inside:
+            # what follows the first word of no IBAN may be a value by itself, but its groups are no national numbers
+            barred = m.end() if kind == "iban" else barred
+            at = re.compile("[(]?[A-Z0-9]+").match(text, m.start()).end() if kind == "iban" or inside else m.end()
+            continue
         counts[kind] += 1
-        return new
-
-    return _PATTERN.sub(one, text), counts
+        out += [text[done : m.start()], new]
+        done = at = m.start() + len(value)
+    return "".join([*out, text[done:]]), counts
+
+
+def _found(kind: str, m: re.Match, key: bytes) -> tuple[str, str, str | None]:
+    """Kind, value and pseudonym of a match; shorter ends and other kinds are tried before it is given up."""
+    text = m.group()
+    for value in _iban_ends(text) if kind == "iban" else (text,):
+        if (new := pseudonym(kind, value, key)) is not None:
+            return kind, value, new
+    if kind == "card" and (abroad := _ABROAD.match(m.string, m.start())):
+        return "phone", abroad.group(), pseudonym("phone", abroad.group(), key)
+    return kind, text, None
+
+
+def _iban_ends(text: str) -> list[str]:
+    """What an IBAN may be in a match that runs on into the next words: the country's length, all, then ever fewer words."""
+    ends = [i for i in range(len(text), 0, -1) if text[i - 1] != " " and text[i : i + 1] in ("", " ")]
+    size = {i: i - text.count(" ", 0, i) for i in ends}
+    fixed = [i for i in ends if size[i] == IBAN_LENGTHS.get(text[:2])]
+    return [text[:i] for i in [*fixed, *(i for i in ends if i not in fixed and (i == len(text) or size[i] >= min(IBAN_LENGTHS.values())))]]
 
 
 def pseudonymized(docs: DataFrame, key: bytes) -> DataFrame:

@@ -224,6 +224,36 @@ def test_pseudonyms():
     assert pii.pseudonym("ip", "1.2.3.4", b"x") != pii.pseudonym("ip", "1.2.3.4", b"y")
 
 
+@pytest.mark.parametrize("text", ["+49 30 12345678", "+33 1 23 45 67 89", "06 12 34 56 78", "+34 612 345 678", "030/1234567", "+14155550123", "4155550123", "0049301234567", "+49 (0)30 1234567", "+1 (415) 555-0123"])
+def test_phones_of_all_countries(text):
+    got, counts = pii.replaced(f"call {text}, please", b"x")
+    assert counts["phone"] == sum(counts.values()) == 1
+    assert text not in got
+    assert "".join("0" if c.isdigit() else c for c in got) == "".join("0" if c.isdigit() else c for c in f"call {text}, please")
+
+
+@pytest.mark.parametrize(("text", "rest"), [("ES9121000418450200051332 12 euros", " 12 euros"), ("ES91 2100 0418 4502 0005 1332 NOW", " NOW")])
+def test_iban_before_other_words(text, rest):
+    got, counts = pii.replaced(text, b"x")
+    assert counts["iban"] == 1
+    assert got.endswith(rest)
+    flat = got.removesuffix(rest).replace(" ", "")
+    assert pii._iban_number(flat[4:] + flat[:4]) % 97 == 1
+    assert flat != text.removesuffix(rest).replace(" ", "")
+
+
+def test_scan_goes_on_after_an_iban():
+    assert pii.replaced("BE68539007547034 2021-03-04", b"x")[1] | {"iban": 1, "date": 1} == pii.replaced("BE68539007547034 2021-03-04", b"x")[1]
+    wrong, counts = pii.replaced("DE89 3704 0044 0532 0130 01 4111 1111 1111 1111", b"x")
+    assert (counts["card"], counts["phone"]) == (1, 0)
+    assert wrong.startswith("DE89 3704 0044 0532 0130 01 ")
+
+
+@pytest.mark.parametrize("text", ["09.31.2000", "000-12-3456", "0.123456789", "1234 0123 4567 8901", "01022003", "1712345678"])
+def test_other_numbers_stay(text):
+    assert pii.replaced(text, b"x")[0] == text
+
+
 def test_pseudonyms_of_nulls(edge):
     got = {r.doc_id: r for r in pii.pseudonymized(edge, b"x").collect()}
     assert got[1].text is None
