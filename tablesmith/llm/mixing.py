@@ -6,9 +6,10 @@ its language). Every document gets a rate, how often it is to appear, so that
 the expected tokens of each domain (words times rate times membership) match the
 target weights: nonnegative least squares by projected gradient. One step moves
 a document's rate against the domains' errors, as far as it belongs to them, and
-puts it back between the bounds; the errors are one distributed sum for each
-domain. A rate follows from a document's memberships and the errors of all steps
-so far, so no state is kept between steps. `copies` rounds the rate up or down by
+puts it back between the bounds; the errors, and how they follow a move, by which
+the step is scaled, are distributed sums. A rate follows from a document's
+memberships and the sum of all steps so far, so no state is kept between steps.
+Rates have no upper bound, so a rare domain reaches its weight too. `copies` rounds the rate up or down by
 the document's hash, so that its expectation is the rate.
 
 The classifier is fitted on at most TRAIN_DOCUMENTS documents, those with the
@@ -22,7 +23,9 @@ row; other columns are ignored by `rates` and kept by `mixed_documents`."""
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +37,12 @@ BUCKETS = 1 << 12
 SMOOTHING = 0.1
 #: Words beyond this number add no certainty: their evidence is averaged.
 EVIDENCE_WORDS = 50
-MOST_STEPS = 25
+#: Steps before fit_rates gives up, with an error.
+MOST_STEPS = 200
 CLOSE = 1e-4
-MOST_RATE = 8.0
+#: Least weight of the rates' distance from 1 against the errors. It falls to this as long as the errors fall with it, so
+#: that the rates stay defined where the weights can't be met.
+LEAST_DAMPING = 1e-8
 
 
 def _word_rows(docs: DataFrame, *more: str) -> DataFrame:
@@ -89,38 +95,58 @@ def rate(p: Column, moves: list[list[float]], least: float, most: float) -> Colu
     return F.aggregate(steps, F.lit(1.0), lambda r, m: F.greatest(F.lit(least), F.least(F.lit(most), r - _dot(p, m))))
 
 
-def fit_rates(known: DataFrame, weights: list[float], least: float, most: float) -> list[list[float]]:
-    """Moves of the projected gradient; known: rows, n_tokens, p."""
-    k = range(len(weights))
+def fit_rates(known: DataFrame, weights: list[float], least: float, most: float = math.inf) -> list[list[float]]:
+    """Moves of the projected gradient; known: rows, n_tokens, p. Warns with the remaining errors where the documents can't
+    meet the weights within the bounds, and raises where the steps do not come to an end."""
+    n, k = len(weights), range(len(weights))
     tokens = F.col("rows") * F.col("n_tokens")
-
-    def totals(moves: list[list[float]]) -> list[float]:
-        r = rate(F.col("p"), moves, least, most)
-        found = known.select("p", (tokens * r).alias("t")).agg(*[F.sum(F.col("t") * F.col("p")[i]) for i in k]).collect()[0]
-        return [x or 0.0 for x in found]
-
-    start = totals([])
-    if not sum(start):
+    upper = [(i, j) for i in k for j in range(i, n)]
+
+    def totals(move: list[float]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each domain, and how they follow the move: what documents between the bounds share of each two domains."""
+        r = rate(F.col("p"), [move], least, most)
+        at = known.select("p", tokens.alias("t"), r.alias("r"))
+        free = F.when((F.col("r") > least) & (F.col("r") < most), F.col("t")).otherwise(0)
+        p = [F.col("p")[i] for i in k]
+        found = at.agg(*[F.sum(F.col("t") * F.col("r") * x) for x in p], *[F.sum(free * p[i] * p[j]) for i, j in upper]).collect()[0]
+        values = [x or 0.0 for x in found]
+        bend = np.zeros((n, n))
+        for (i, j), x in zip(upper, values[n:], strict=True):
+            bend[i, j] = bend[j, i] = x
+        return np.array(values[:n]), bend
+
+    target, move = np.array(weights), np.zeros(n)
+    now, bend = totals(move.tolist())
+    start = now
+    if not start.sum():
         return []
     # Where no document may be left out, the smallest corpus in which the largest domain has its share; else as many tokens as there are.
-    size = max(start[i] / weights[i] for i in k) if least >= 1 else sum(start)
-    moves, errors, step, change = [], [start[i] / size - weights[i] for i in k], 1.0, None
-    for _ in range(MOST_STEPS):
-        if max(map(abs, errors)) < CLOSE:
-            break
-        if change is not None and (square := sum(c * c for c in change)) > 0:
-            # the step that would have fitted the last change best, kept within safe bounds
-            step = min(50.0, max(0.5, -step * sum(e * c for e, c in zip(before, change, strict=True)) / square))
-        before, moves = errors, [*moves, [step * e for e in errors]]
-        now = totals(moves)
-        errors = [now[i] / size - weights[i] for i in k]
-        change = [a - b for a, b in zip(errors, before, strict=True)]
-        if max(map(abs, change)) < CLOSE / 100:  # the bounds allow no more
-            break
-    return moves
-
-
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang", least: float = 0.0, most: float = MOST_RATE) -> DataFrame:
+    size = (start / target).max() if least >= 1 else start.sum()
+    errors, steps, kept = now / size - target, 0, None
+    damping = float(min(1e-3, max(1e-6, start.min() / size / 10)))  # below the share of the rarest domain, which it would hold back
+    while np.abs(errors).max() >= CLOSE:
+        worst, rest = np.abs(errors).max(), errors - damping * move
+        if np.abs(rest).max() < max(CLOSE, worst) / 10:
+            if kept is not None and (worst > 0.9 * kept[0] or damping < LEAST_DAMPING):  # the bounds allow no more
+                move, errors = kept[1:]
+                warnings.warn(f"mixing: the documents do not meet the weights; errors {[round(float(e), 6) for e in errors]}", RuntimeWarning, stacklevel=2)
+                break
+            kept, damping = (worst, move, errors), damping / 10
+            continue
+        if steps >= MOST_STEPS:
+            raise RuntimeError(f"mixing: no rates after {steps} steps; errors {[round(float(e), 6) for e in errors]}")
+        step = np.linalg.solve(bend / size + damping * np.eye(n), rest)
+        for half in range(12):
+            trial = move + step / 2**half
+            now, bend_there = totals(trial.tolist())
+            steps, there = steps + 1, now / size - target
+            if (there - damping * trial) @ step >= -(rest @ step) / 2:  # not far past the best place in this direction
+                break
+        move, bend, errors = trial, bend_there, there
+    return [move.tolist()] if move.any() else []
+
+
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang", least: float = 0.0, most: float = math.inf) -> DataFrame:
     """One row for each different document: doc_id, text_key, rows, n_tokens, p, rate, copies."""
     domains = sorted(targets)
     weights = [targets[d] / sum(targets.values()) for d in domains]

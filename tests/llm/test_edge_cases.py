@@ -212,6 +212,25 @@ def test_projected_gradient_against_least_squares(spark):
     assert np.allclose(share, weights, atol=1e-3)
 
 
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_mixing_of_a_rare_domain(spark, least):
+    """One domain with 1 % of the tokens gets its weight too."""
+    rows = [(i, " ".join(f"{lang}{(i * 7 + j) % 30}" for j in range(50)), lang) for i, lang in enumerate(["en"] * 210 + ["es"] * 48 + ["fr"] * 39 + ["de"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = docs.selectExpr("doc_id", "1 as quality")
+    got = mixing.rates(docs, marks, least=least).collect()
+    total = sum(r.rate * r.n_tokens for r in got)
+    for i, d in enumerate(sorted(mixing.TARGETS)):
+        assert abs(sum(r.rate * r.n_tokens * r.p[i] for r in got) / total - mixing.TARGETS[d]) < 1e-3
+    assert min(r.rate for r in got) >= least
+
+
+def test_mixing_says_what_is_missed(spark):
+    df = spark.createDataFrame([(1, 10, [0.5, 0.5])], "rows long, n_tokens long, p array<double>")
+    with pytest.warns(RuntimeWarning, match="errors"):
+        mixing.fit_rates(df, [0.2, 0.8], 0.0)
+
+
 def test_pseudonyms():
     assert sorted(pii.permute(i, 1000, "k", b"x") for i in range(1000)) == list(range(1000))
     text, counts = pii.replaced("card 4041894974608795, 4041-8949-7460-8795 and 4041894974608796; born 1999-02-28 or 28/02/1999; 1.2.3.4", b"x")
