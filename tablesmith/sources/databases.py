@@ -10,13 +10,15 @@ from urllib.parse import quote_plus
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tablesmith.session import package_on_workers
 
 MOST_ROWS = 100_000
 MOST_QUERIES = 5
 TABLE_ROWS = 1000
+#: Rowids of one partition of a SQLite table, and partitions at most (they get wider then).
+PARTITION_ROWS, MOST_PARTITIONS = 50_000, 1000
 PORTS = {"mysql": 3306, "postgresql": 5432, "postgres": 5432, "sqlserver": 1433, "mssql": 1433, "oracle": 1521}
 
 #: Nodes of Spark's parsed plans that only read. A statement of any other kind is refused.
@@ -138,7 +140,8 @@ def read_jdbc(spark: SparkSession, url: str, query: str, user: str, password: st
 
 class SqliteSource(DataSource):
     """spark.read.format("sqlite").option("path", ...).option("query", ...): one
-    partition for each range of rowid where the query is a table's name."""
+    partition for each range of rowid where the query is a table's name or takes
+    all of a table; another query is read in one task."""
 
     @classmethod
     def name(cls) -> str:
@@ -149,29 +152,79 @@ class SqliteSource(DataSource):
 
         return sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
 
+    def _table(self) -> str | None:
+        """The table that the query names or selects as a whole, if it has rowids; quoted."""
+        m = re.fullmatch(r"""\s*(?:select\s+\*\s+from\s+)?("?)(\w+)\1\s*;?\s*""", self.options["query"], re.IGNORECASE)
+        if not m:
+            return None
+        import sqlite3
+
+        with self._connect() as db:
+            try:
+                if not db.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND lower(name) = lower(?)", [m.group(2)]).fetchone():
+                    return None
+                names = [d[0].lower() for d in db.execute(f'SELECT * FROM "{m.group(2)}" LIMIT 0').description]
+                db.execute(f'SELECT rowid FROM "{m.group(2)}" LIMIT 0')
+            except sqlite3.Error:
+                return None
+        if "rowid" in names:  # a column of that name hides the real one
+            return None
+        return f'"{m.group(2)}"'
+
+    def statement(self) -> str:
+        table = self._table()
+        return f"SELECT * FROM {table}" if table else self.options["query"].strip().rstrip(";")
+
     def schema(self) -> str:
-        kinds = {int: "bigint", float: "double", bytes: "binary"}
+        """Types of all rows: whole numbers among others with a fraction make a double, other mixtures text."""
+        kinds = {"integer": "bigint", "real": "double", "blob": "binary"}
         with self._connect() as db:
-            cursor = db.execute(f"SELECT * FROM ({self.options['query']}) LIMIT 200")
-            rows = cursor.fetchall()
-        names = [d[0] for d in cursor.description]
-        found = [{type(r[i]) for r in rows if r[i] is not None} for i in range(len(names))]
-        kind = lambda s: "double" if s == {int, float} else kinds.get(next(iter(s)), "string") if len(s) == 1 else "string"
-        return ", ".join(f"`{n}` {kind(s)}" for n, s in zip(names, found, strict=True))
+            names = [d[0] for d in db.execute(f"SELECT * FROM ({self.statement()}) LIMIT 0").description]
+            places = [f"c{i}" for i in range(len(names))]
+            parts = [f"max(typeof({c}) = '{k}')" for c in places for k in ("integer", "real", "blob", "text")]
+            found = db.execute(f"WITH q({', '.join(places)}) AS ({self.statement()}) SELECT {', '.join(parts)} FROM q").fetchone()
+        sets = [{k for k, x in zip(("integer", "real", "blob", "text"), found[4 * i : 4 * i + 4], strict=True) if x} for i in range(len(names))]
+        kind = lambda s: "double" if s == {"integer", "real"} else kinds.get(next(iter(s)), "string") if len(s) == 1 else "string"
+        return ", ".join(f"`{n}` {kind(s)}" for n, s in zip(names, sets, strict=True))
 
     def reader(self, schema) -> DataSourceReader:
         return _SqliteReader(self, [f.dataType.simpleString() for f in schema.fields])
 
 
+class _Rows(InputPartition):
+    """Rowids from first to last; None for a query that is read as one."""
+
+    def __init__(self, first: int | None = None, last: int | None = None):
+        self.first, self.last = first, last
+
+
+def _as_kind(v, kind: str):
+    """A value as the column's type; a number is never cut."""
+    if kind == "bigint" and not isinstance(v, int):
+        raise ValueError(f"{v!r} in a column of whole numbers")
+    return {"double": float, "string": str, "bigint": int, "binary": bytes}[kind](v)
+
+
 class _SqliteReader(DataSourceReader):
     def __init__(self, source: SqliteSource, kinds: list[str]):
         self.source, self.kinds = source, kinds
 
+    def partitions(self) -> list[_Rows]:
+        table = self.source._table()
+        if not table:
+            return [_Rows()]
+        with self.source._connect() as db:
+            first, last = db.execute(f"SELECT min(rowid), max(rowid) FROM {table}").fetchone()
+        if first is None:
+            return [_Rows()]
+        width = max(PARTITION_ROWS, -(-(last - first + 1) // MOST_PARTITIONS))
+        return [_Rows(i, min(i + width - 1, last)) for i in range(first, last + 1, width)]
+
     def read(self, partition):
-        make = {"double": float, "string": str, "bigint": int, "binary": bytes}
+        where, bounds = ("", []) if partition.first is None else (" WHERE rowid BETWEEN ? AND ?", [partition.first, partition.last])
         with self.source._connect() as db:
-            for row in db.execute(self.source.options["query"]):
-                yield tuple(None if v is None else make[k](v) for v, k in zip(row, self.kinds, strict=True))
+            for row in db.execute(self.source.statement() + where, bounds):
+                yield tuple(None if v is None else _as_kind(v, k) for v, k in zip(row, self.kinds, strict=True))
 
 
 def register_sqlite(spark: SparkSession) -> None:

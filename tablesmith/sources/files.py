@@ -140,12 +140,28 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("n > 0").select(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(names)])
 
 
+def read_zip(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".csv", ".xls", ".xlsx", ".json", ".parquet")) -> DataFrame:
+    """(path, member, content): the supported files in archives, one row each; hidden ones and system folders are skipped.
+    An archive is opened in one task."""
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for n in z.namelist():
+                        p = PurePosixPath(n)
+                        if not n.endswith("/") and p.suffix.lower() in suffixes and "__MACOSX" not in p.parts and not any(x.startswith(".") for x in p.parts):
+                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([str(p)]), pa.array([z.read(n)], pa.binary())], ["path", "member", "content"])
+
+    package_on_workers(spark)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, member string, content binary")
+
+
 def zipped_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".csv", ".xls", ".xlsx", ".json", ".parquet")) -> list[str]:
-    """Names of the supported files in an archive; hidden ones and system folders are skipped."""
-    data = spark.read.format("binaryFile").load(path).select("content").first().content
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        parts = [PurePosixPath(n) for n in z.namelist() if not n.endswith("/")]
-    return [str(p) for p in parts if p.suffix.lower() in suffixes and "__MACOSX" not in p.parts and not any(x.startswith(".") for x in p.parts)]
+    """Names of the supported files in an archive."""
+    return [r.member for r in read_zip(spark, path, suffixes).select("member").collect()]
 
 
 def header_row(rows: list[list[str | None]]) -> tuple[list[str], list[list[str | None]]]:
@@ -170,5 +186,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             return spark.read.parquet(path)
         case ".xlsx" | ".xlsm":
             return read_excel(spark, path)
+        case ".zip":
+            return read_zip(spark, path)
         case suffix:
             raise ValueError(f"no reader for {suffix or 'files without suffix'}: {path}")

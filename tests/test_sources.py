@@ -71,6 +71,34 @@ def test_sqlite(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [(1, 1.5, "a"), (2, None, None)]
 
 
+def test_sqlite_types_and_ranges_of_all_rows(spark, tmp_path, monkeypatch):
+    path = tmp_path / "t.db"
+    with sqlite3.connect(path) as db:
+        db.execute("create table s (n, m)")
+        db.executemany("insert into s values (?, ?)", [(i, i) for i in range(300)] + [(2.5, "x")])
+    monkeypatch.setattr(D, "PARTITION_ROWS", 100)
+    D.register_sqlite(spark)
+    for query, parts in (("select * from s", 4), ("s", 4), ("select * from s where n >= 0", 1)):
+        source = D.SqliteSource({"path": str(path), "query": query})
+        assert source.schema() == "`n` double, `m` string"
+        reader = D._SqliteReader(source, ["double", "string"])
+        assert len(reader.partitions()) == parts
+        rows = [r for p in reader.partitions() for r in reader.read(p)]
+        assert len(rows) == 301
+        assert rows[-1] == (2.5, "x")
+    assert spark.read.format("sqlite").option("path", str(path)).option("query", "s").load().agg({"n": "sum"}).first()[0] == sum(range(300)) + 2.5
+
+
+def test_zip_members_are_read(spark, tmp_path):
+    for name in ("a", "b"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("d/x.csv", f"{name}1")
+            z.writestr("__MACOSX/x.csv", "no")
+    got = files.read_zip(spark, str(tmp_path / "*.zip")).collect()
+    assert sorted((r.member, bytes(r.content)) for r in got) == [("d/x.csv", b"a1"), ("d/x.csv", b"b1")]
+    assert files.read(spark, str(tmp_path / "a.zip")).count() == 1
+
+
 @pytest.mark.parametrize("sql", ["DROP TABLE t", "SELECT 1; SELECT 2", "INSERT INTO t SELECT 1", "WITH a AS (SELECT 1 x) INSERT INTO t SELECT * FROM a", "SET x=1", "SELECT * FROM parquet.`/tmp/x`", "SELECT reflect('java.lang.System', 'exit', 1)", "EXPLAIN DROP TABLE t", "SELECT (SELECT count(*) FROM csv.`/etc/passwd`)", "CACHE TABLE t", "TRUNCATE TABLE t"])
 def test_sql_refused(spark, sql):
     with pytest.raises(D.RefusedQuery):
