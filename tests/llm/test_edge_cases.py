@@ -232,7 +232,11 @@ def test_mixing_says_what_is_missed(spark):
 
 
 def test_pseudonyms():
-    assert sorted(pii.permute(i, 1000, "k", b"x") for i in range(1000)) == list(range(1000))
+    for size in (2, 3, 10, 1000):
+        moved = [pii.permute(i, size, "k", b"x") for i in range(size)]
+        assert sorted(moved) == list(range(size))
+        assert all(a != i for i, a in enumerate(moved))
+        assert [pii.permute(a, size, "k", b"x", back=True) for a in moved] == list(range(size))
     text, counts = pii.replaced("card 4041894974608795, 4041-8949-7460-8795 and 4041894974608796; born 1999-02-28 or 28/02/1999; 1.2.3.4", b"x")
     a, b = text.split()[1][:16], text.split()[2].replace("-", "")
     assert a == b != "4041894974608795"
@@ -273,6 +277,62 @@ def test_other_numbers_stay(text):
     assert pii.replaced(text, b"x")[0] == text
 
 
+def _luhn(body):
+    return next(body + str(d) for d in range(10) if sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(body + str(d)))) % 10 == 0)
+
+
+def _iban_of(country, body):
+    return country + f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}" + body
+
+
+def _values(rng):
+    """Made-up values of each kind."""
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    area = rng.choice([x for x in range(1, 900) if x != 666])
+    iban = _iban_of(*rng.choice([("BE", digits(12)), ("DE", digits(18)), ("GB", "WEST" + digits(14)), ("FR", digits(23)), ("NO", digits(11))]))
+    y, m, d = rng.randint(1900, 2099), rng.randint(1, 12), rng.randint(1, 28)
+    card = _luhn(rng.choice("3456") + digits(14))
+    return [
+        ("ssn", f"{area:03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"),
+        ("iban", iban), ("iban", " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))),
+        ("card", card), ("card", "-".join(card[i : i + 4] for i in range(0, 16, 4))),
+        ("date", f"{y}-{m:02d}-{d:02d}"), ("date", f"{d:02d}/{m:02d}/{y}"), ("date", f"{m:02d}.{rng.randint(13, 28)}.{y}"),
+        ("ip", ".".join(str(rng.randint(0, 255)) for _ in range(4))),
+        ("email", f"{rng.choice(['a', 'Max.M', 'x_9'])}{digits(2)}@mail.example.org"), ("email", "q@x.com"),
+        ("phone", f"+49 {rng.randint(30, 999)} {digits(7)}"), ("phone", f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{digits(4)}"), ("phone", f"0{rng.randint(10, 99)}/{rng.randint(1, 9)}{digits(6)}"), ("phone", f"00{rng.randint(30, 39)}{rng.randint(1, 9)}{digits(8)}"),
+    ]
+
+
+def test_pseudonyms_of_values_in_contexts():
+    """Found as a whole, changed, valid again in the same format, and turned back by the key."""
+    rng = __import__("random").Random(5)
+    before, after = ["", "is ", "(", "No: ", "NOTE "], ["", ".", ",", ")", " EUR", " PAID", " and more", "; x", "\nnext"]
+    shape = lambda t: "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in t)
+    for _ in range(150):
+        for kind, value in _values(rng):
+            if value.startswith("00") and kind == "phone" and _luhn(value[:-1]) == value:
+                continue  # a card number as well
+            left, right = rng.choice(before), rng.choice(after)
+            text = left + value + right
+            new, counts = pii.replaced(text, b"x")
+            assert (counts[kind], sum(counts.values())) == (1, 1), text
+            assert new.startswith(left)
+            assert new.endswith(right)
+            mine = new[len(left) : len(new) - len(right)]
+            assert mine != value
+            assert pii._alone(mine) == kind
+            assert kind == "ip" or shape(mine) == shape(value)
+            assert kind != "date" or pii._day(mine)[0] == pii._day(value)[0]
+            assert pii.restored(new, b"x") == text
+            assert pii.replaced(new, b"x")[1] == counts
+
+
+def test_names_without_letters_are_not_counted():
+    text, counts = pii.replaced("_@x.com, -@y.org", b"x")
+    assert text == "_@x.com, -@y.org"
+    assert sum(counts.values()) == 0
+
+
 def test_pseudonyms_of_nulls(edge):
     got = {r.doc_id: r for r in pii.pseudonymized(edge, b"x").collect()}
     assert got[1].text is None
