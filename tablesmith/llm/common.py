@@ -20,8 +20,10 @@ from tablesmith.session import package_on_workers, shared_dir
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 2 << 20
-#: Bits of the membership filter: fixed, so what is broadcast does not grow.
+#: Bits of the membership filter, unless spark.tablesmith.filterBits says otherwise: fixed, so what is broadcast does not
+#: grow. About 8 bits for each wanted row let 3 % of the others through; a cluster's session sets it by what it filters for.
 FILTER_BITS = 1 << 23
+FILTER_HASHES = 3
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,25 +156,27 @@ def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
 # -- membership filter -------------------------------------------------------
 
 
-def member_filter(keys: DataFrame, key: str, on: str | None = None, bits: int = FILTER_BITS) -> Column:
+def member_filter(keys: DataFrame, key: str, on: str | None = None, bits: int | None = None) -> Column:
     """A condition on a column of the same name (or `on`): false only where no row of
-    `keys` has the value. It is a bitmap of fixed size with one hash function,
-    built on the executors and read as a scalar subquery, so it thins out a scan
-    before a shuffle at any input size; the exact join must still follow."""
-    words = bits // 64
-
-
-    def bit(column: str) -> tuple[Column, Column]:
-        at = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
-        return (at / 64).cast("int"), F.pmod(at, F.lit(64)).cast("int")
-
-    word, place = bit(key)
-    hit = keys.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    every = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("_word"))
+    `keys` has the value. It is a bitmap of fixed size with FILTER_HASHES hash
+    functions, built on the executors and read as a scalar subquery, so it thins out
+    a scan before a shuffle at any input size; the exact join must still follow."""
+    spark = keys.sparkSession
+    bits = bits or int(spark.conf.get("spark.tablesmith.filterBits", str(FILTER_BITS)))
+
+    def places(column: str) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(bits)) for i in range(FILTER_HASHES)]
+
+    word, place = lambda at: (at / 64).cast("int"), lambda at: F.pmod(at, F.lit(64)).cast("int")
+    set_bits = keys.select(F.explode(F.array(*places(key))).alias("_at"))
+    hit = set_bits.groupBy(word(F.col("_at")).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place(F.col("_at")))).alias("_bits"))
+    every = spark.range(bits // 64).select(F.col("id").cast("int").alias("_word"))
     filled = every.join(hit, "_word", "left").select("_word", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits"))
     packed = saved(filled.agg(F.sort_array(F.collect_list(F.struct("_word", "_bits"))).getField("_bits").alias("bitmap")), "filter")
-    word, place = bit(on or key)
-    return F.getbit(F.get(packed.scalar(), word), place) == 1
+    bitmap, out = packed.scalar(), F.lit(True)
+    for at in places(on or key):
+        out = out & (F.getbit(F.get(bitmap, word(at)), place(at)) == 1)
+    return out
 
 
 def text_key() -> Column:

@@ -21,11 +21,13 @@ one comparison for each member, and no link between components is lost.
 
 Defined cases: a null, empty or blank text has no set and is linked with
 nothing; fewer words than a shingle give one shingle; repeated rows share their
-component; a null doc_id is linked with nothing and its component is null; an
-empty table gives no row; other columns are ignored."""
+component; rows of one doc_id with different texts are documents of their own;
+a null doc_id is linked with nothing and its component is null; a text of any
+length has its whole set; an empty table gives no row; other columns are ignored."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,20 +35,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import Words, components, documents, member_filter, mixed, ragged, rolling, saved, slices, workers
+from tablesmith.llm.common import Words, components, documents, member_filter, mixed, ragged, rolling, saved, slices, text_key, workers
 
 SHINGLE = 5
 #: Least similarity in percent.
 PERCENT = 85
 SKETCH = 64
-#: Least share of a sketch that a similar pair has in common: at 85 % this is over five standard deviations away.
-LEAST_SHARE = 0.6
-#: Least estimate from the sketch of the union, likewise.
-LEAST_ESTIMATE = 0.62
+#: Chance that a pair just similar enough is missed by the inverted lists, and again by the estimate.
+MISS = 1e-6
 SHORT_LIST = 32
 LEADER_ROUNDS = 3
 
 
+def least_overlap(percent: int, k: int, miss: float = MISS) -> int:
+    """The number of values of a union's sketch that a pair at `percent` has in common, but for a chance of `miss`: each of
+    the k values is in both sets with that probability."""
+    p, below = percent / 100, 0.0
+    for c in range(k + 1):
+        below += math.comb(k, c) * p**c * (1 - p) ** (k - c)
+        if below > miss:
+            return c
+    return k
+
+
 def shingle_sets(texts, width: int) -> Iterator[np.ndarray]:
     """Each text's sorted set of shingle hashes."""
     import pyarrow.compute as pc
@@ -70,24 +81,33 @@ def _sketches(width: int, k: int):
             n, sums, kept = [], [], []
             for s in shingle_sets(batch.column("text"), width):
                 n.append(len(s))
-                sums.append((np.add.reduce(mixed(s)), np.add.reduce(mixed(~s))))
+                sums.append(_set_sums(s))
                 kept.append(s[:k])
             a, b = np.array(sums, np.uint64).reshape(-1, 2).T
             values = np.concatenate(kept).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a.copy().view(np.int64)), pa.array(b.copy().view(np.int64)), ragged(values, [len(x) for x in kept], pa.int64())], ["doc_id", "n", "f1", "f2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(a.copy().view(np.int64)), pa.array(b.copy().view(np.int64)), ragged(values, [len(x) for x in kept], pa.int64())], ["doc_id", "text_key", "n", "f1", "f2", "sketch"])
 
     return run
 
 
+def _set_sums(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return np.add.reduce(mixed(s)), np.add.reduce(mixed(~s))
+
+
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = list(shingle_sets(batch.column("text"), width))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ragged(np.concatenate(sets).astype(np.int64), [len(s) for s in sets], pa.int64())], ["rep", "items"])
+            sums = np.array([_set_sums(s)[0] for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sums), ragged(np.concatenate(sets).astype(np.int64), [len(s) for s in sets], pa.int64())], ["doc_id", "f1", "items"])
 
     return run
 
 
+#: A node of the links: the smallest doc_id of a class, with its set's first sum, as rows of one doc_id may have several texts.
+_NODE = "struct<doc_id:bigint,f1:bigint>"
+
+
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -99,11 +119,12 @@ def _sizes_fit(m: str, n: str, percent: int) -> Column:
 def _prefix_lists(reps: DataFrame, percent: int, k: int) -> DataFrame:
     """(value, rep, n) for each retained value among the rarest of its sketch."""
     each = reps.select("rep", F.explode("sketch").alias("value"))
-    common = each.groupBy("value").agg(F.count("*").alias("df")).where(F.col("df") >= SHORT_LIST)
+    # aggregates are written before a join, so that both of its sides are dealt by the key and a hot one can be split
+    common = saved(each.groupBy("value").agg(F.count("*").alias("df")).where(F.col("df") >= SHORT_LIST), "common")
     held = each.join(common, "value").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
     # Up to this size a partner's sketch is its whole set too, so that the least overlap is exact.
     exact = F.col("n") * 100 <= k * percent
-    need = F.when(exact, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(F.size("sketch") * LEAST_SHARE))
+    need = F.when(exact, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(F.size("sketch") * least_overlap(percent, k) / k))
     values = F.coalesce(F.col("common").getField("value"), F.array().cast("array<bigint>"))
     ordered = F.concat(F.array_except("sketch", values), values)
     prefix = F.slice(ordered, F.lit(1), (F.size("sketch") - need + 1).cast("int"))
@@ -127,7 +148,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok[i] = 100 * both >= percent * (len(p) + len(q) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long").distinct()
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(check, f"a {_NODE}, b {_NODE}").distinct()
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
@@ -139,14 +160,15 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, k: int) -> DataF
     both = both.withColumn("union", union).withColumn("in_both", F.size(F.array_intersect(F.array_intersect("sa", "sb"), "union")))
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
     # Sets that fit in a sketch are compared in full by the verification; the estimate would cut their union.
-    return both.where(whole | (F.col("in_both") >= F.size("union") * LEAST_ESTIMATE)).where(_sizes_fit("na", "nb", percent)).select("a", "b")
+    return both.where(whole | (F.col("in_both") >= F.size("union") * least_overlap(percent, k) / k)).where(_sizes_fit("na", "nb", percent)).select("a", "b")
 
 
 def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
     """(item, rep, n, at, weight): the prefix of each full set in the order of rarity."""
     each = sets.select("rep", F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
-    df = each.groupBy("item").agg(F.count("*").alias("df"))
-    ordered = each.join(df, "item").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("s"), F.avg("df").alias("weight"))
+    df = saved(each.groupBy("item").agg(F.count("*").alias("df")), "items")
+    # a set is there as often as its row is repeated
+    ordered = each.join(df, "item").groupBy("rep", "n").agg(F.array_sort(F.collect_set(F.struct("df", "item"))).alias("s"), F.avg("df").alias("weight"))
     prefix = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
     return ordered.select("rep", "n", "weight", F.posexplode(prefix).alias("at", "e")).select("rep", "n", "weight", "at", F.col("e.df").alias("df"), F.col("e.item").alias("item")).where("df > 1")
 
@@ -162,8 +184,9 @@ def _dense_links(lists: DataFrame, sets: DataFrame, links: DataFrame, percent: i
     """Links among documents on long lists, enough of them for the components."""
     left, found = lists, []
     for _ in range(LEADER_ROUNDS):
-        top = left.groupBy("item").agg(F.max(F.struct("weight", F.negative("rep").alias("rep"), "n", "at")).alias("top"), F.count("*").alias("members")).where("members > 1")
-        led = saved(left.join(top.select("item", F.negative("top.rep").alias("leader"), F.col("top.n").alias("ln"), F.col("top.at").alias("lat")), "item"), "led")
+        top = left.groupBy("item").agg(F.max(F.struct("weight", "rep", "n", "at")).alias("top"), F.count("*").alias("members")).where("members > 1")
+        top = saved(top.select("item", F.col("top.rep").alias("leader"), F.col("top.n").alias("ln"), F.col("top.at").alias("lat")), "leaders")
+        led = saved(left.join(top, "item"), "led")
         fit = (F.least(F.col("n") - F.col("at"), F.col("ln") - F.col("lat")) * (100 + percent) >= percent * (F.col("n") + F.col("ln"))) & (F.col("rep") != F.col("leader"))
         pairs = saved(led.where(fit).select(*_pair("rep", "leader")).distinct(), "pairs")
         if pairs.isEmpty():
@@ -180,6 +203,7 @@ def _dense_links(lists: DataFrame, sets: DataFrame, links: DataFrame, percent: i
     known = saved(known, "labelled")
     counted = known.groupBy("item", "component").agg(F.count("*").alias("c"))
     main = counted.groupBy("item").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1").select("item", F.col("m.component").alias("main"))
+    main = saved(main, "main")
     outside = known.join(main, "item").where("component <> main")
     x, y = outside.alias("x"), known.alias("y")
     pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent) & _sizes_fit("x.n", "y.n", percent))
@@ -188,17 +212,17 @@ def _dense_links(lists: DataFrame, sets: DataFrame, links: DataFrame, percent: i
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, k: int = SKETCH) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept."""
+    """One row for each document: doc_id, text_key (hash of the text), n_shingles, component_id, kept."""
     workers(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = saved(rows.mapInArrow(_sketches(width, k), "doc_id long, n long, f1 long, f2 long, sketch array<long>"), "sketches")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
+    sketched = saved(rows.mapInArrow(_sketches(width, k), "doc_id long, text_key long, n long, f1 long, f2 long, sketch array<long>"), "sketches")
     some = sketched.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch"))
-    classes = saved(classes, "classes")
+    classes = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("sketch", "doc_id").alias("sketch"))
+    classes = saved(classes.select("*", F.struct("doc_id", "f1").alias("rep")).drop("doc_id"), "classes")
     reps = classes.select("rep", "n", "sketch")
 
     postings = saved(_prefix_lists(reps, percent, k), "postings")
-    lengths = postings.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
+    lengths = saved(postings.groupBy("value").agg(F.count("*").alias("members")).where("members > 1"), "lengths")
     listed = saved(postings.join(lengths, "value"), "listed")
     lists = listed.where(F.col("members") <= SHORT_LIST).groupBy("value").agg(F.collect_list(F.struct("rep", "n")).alias("l"))
     two = lists.select(F.explode("l").alias("x"), "l").select("x", F.explode("l").alias("y")).where("x.rep < y.rep").where(_sizes_fit("x.n", "y.n", percent))
@@ -207,18 +231,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
 
     ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
     pairs = saved(_estimated(pairs, reps.where(member_filter(ends, "rep")), percent, k), "estimated")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(dense)
-    sets = saved(rows.where(member_filter(needed, "doc_id")).mapInArrow(_full_sets(width), "rep long, items array<long>"), "sets")
+    needed = pairs.select("a.doc_id").union(pairs.select("b.doc_id")).union(dense.select("rep.doc_id"))
+    sets = rows.where(member_filter(needed, "doc_id")).mapInArrow(_full_sets(width), "doc_id long, f1 long, items array<long>")
+    sets = saved(sets.select(F.struct("doc_id", "f1").alias("rep"), "items"), "sets")
     links = saved(_verify(pairs, sets, percent), "edges")
     if not dense.isEmpty():
         links = _dense_links(saved(_rare_first(sets.join(dense, "rep"), percent), "prefixes"), sets, links, percent)
     label = components(links)
 
     member = sketched.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left").join(label, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    member = member.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.coalesce("component.doc_id", "rep.doc_id")).otherwise(F.col("doc_id"))
+    member = member.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return member.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).drop("text_key")
