@@ -13,7 +13,6 @@ from tablesmith.llm.quality import (
     MAX_WORD_DISTANCE,
     MIN_COMPARED_CHARS,
     MIN_COMPARED_WORDS,
-    MIN_REFERENCE_DOCUMENTS,
     MIN_WORDS,
     WORD_BINS,
 )
@@ -106,25 +105,23 @@ def _quality() -> str:
     far = lambda table, bins: f"""
       select h.doc_id, {shares} as far from (
         select b.doc_id, b.bin, coalesce(h.n, 0) * 1.0 / greatest(b.total, 1) as p, coalesce(r.n, 0) * 1.0 / greatest(b.ref_total, 1) as q
-        from (select d.doc_id, k.key, x.bin, t.total, s.total as ref_total from d join keyed k using (doc_id) cross join {bins} x left join (select doc_id, sum(n) as total from {table} group by doc_id) t using (doc_id) left join (select key, sum(n) as total from {table}_ref group by key) s on s.key = k.key) b
+        from (select d.doc_id, d.lang as key, x.bin, t.total, s.total as ref_total from d join (select key, sum(n) as total from {table}_ref group by key) s on s.key = d.lang cross join {bins} x left join (select doc_id, sum(n) as total from {table} group by doc_id) t using (doc_id)) b
         left join {table} h on h.doc_id = b.doc_id and h.bin = b.bin left join {table}_ref r on r.key = b.key and r.bin = b.bin
       ) h group by h.doc_id"""
     return rf"""
-with d as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
-langs as (select lang, count(*) as docs from d group by lang),
-keyed as (select doc_id, case when docs >= {MIN_REFERENCE_DOCUMENTS} then 'of ' || lang else 'all' end as key from d join langs using (lang)),
-memberships as (select doc_id, 'of ' || lang as key from d union all select doc_id, 'all' from d),
+with d as (select doc_id, coalesce('=' || lang, '') as lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
 c as (select *, {rest} as c7 from (select doc_id, t, {named} from d)),
 ch as (select doc_id, unnest(range(0, 9)) as bin, unnest([{", ".join(f"c{i}" for i in range(9))}]) as n from c),
-ch_ref as (select key, bin, sum(n) as n from ch join memberships using (doc_id) group by key, bin),
 p as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from d),
 w as (select doc_id, i, ws[i] as w, case when i + 2 <= len(ws) then [ws[i], ws[i + 1], ws[i + 2]] end as three from p),
 b as (values {bins}),
 wh as (select doc_id, coalesce(b.col0, '') as bin, count(*) as n from w left join b on b.col0 = lower(trim(w.w, '.,;:!?''"()-')) group by 1, 2),
-wh_ref as (select key, bin, sum(n) as n from wh join memberships using (doc_id) group by key, bin),
 a as (select doc_id, i, length(w) as chars, case when three is not null and count(*) over (partition by doc_id, three) > 1 then 1 else 0 end as again from w),
 r as (select doc_id, chars, max(again) over (partition by doc_id order by i rows between 2 preceding and current row) as covered from a),
 m as (select doc_id, sum(chars) as word_chars, sum(covered) as n_repeat_words from r group by doc_id),
+good as (select doc_id, lang from d left join m using (doc_id) where len(ws) >= {MIN_WORDS} and 100 * coalesce(n_repeat_words, 0) <= {MAX_REPEATED_PERCENT} * len(ws)),
+ch_ref as (select lang as key, bin, sum(n) as n from ch join good using (doc_id) group by key, bin),
+wh_ref as (select lang as key, bin, sum(n) as n from wh join good using (doc_id) group by key, bin),
 x as (select doc_id, unnest(string_split(t, chr(10))) as line from d),
 y as (select doc_id, count(*) - count(distinct line) as n_dup_lines from x where regexp_matches(line, '{_WORD}') group by doc_id),
 class_far as ({far("ch", "(select unnest(range(0, 9)) as bin)")}),

@@ -1,17 +1,22 @@
 """Quality rules: distribution divergence.
 
 Each document gets two histograms: code points by character class, and words by
-common word (one bin for all others). Every language's reference is the sum of
-the histograms of all its documents. A document is rejected when the
-Jensen-Shannon distance (base 2, 0 to 1) to its language's reference is over a
-threshold; texts under a minimum length are not held to that, as short
-histograms are far from any reference by chance. Base rules come first: too few
-words, or too many words in repeated three-word windows.
-
-Defined cases: a null or empty text has no words and fails the base rules; a
-null `lang` is a language of its own; a language with few documents uses the
-reference of all documents; repeated rows are judged one by one; an empty table
-gives no row; other columns are ignored."""
+common word (one bin for all others). A language's reference is the sum of the
+histograms of all its documents that pass the base rules, however many there are;
+a table of references fitted elsewhere (`references` on trusted documents) can be
+given instead, as a corpus that is mostly junk is its own measure otherwise. A
+document is rejected when the Jensen-Shannon distance (base 2, 0 to 1) to its
+language's reference is over a threshold; texts under a minimum length are not
+held to that, as short histograms are far from any reference by chance. Base rules
+come first: too few words, or too many words in repeated three-word windows.
+
+Defined cases: a null or empty text has no words and fails the base rules; a null
+or empty `lang` is a language of its own; a language without a reference has no
+distances, and its documents are held to the base rules alone; of a language
+without a list of common words nearly all words fall in the last bin, so that the
+character classes decide; repeated rows are judged one by one; a text of any
+length is measured whole, in one worker, which needs about 20 bytes for each of
+its bytes; an empty table gives no row; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -23,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import Words, documents, ragged, saved, slices, workers
+from tablesmith.llm.common import Words, documents, ragged, saved, slices, text_key, workers
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -31,10 +36,8 @@ MAX_REPEATED_PERCENT = 50
 MIN_COMPARED_CHARS, MIN_COMPARED_WORDS = 200, 150
 #: Chosen on the labelled documents: clean ones stay below, by more the longer they are.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.27
-#: Languages with fewer documents share the reference of all documents.
-MIN_REFERENCE_DOCUMENTS = 20
-#: References kept at most, those of the languages with the most documents; it bounds what is broadcast.
-MAX_REFERENCES = 10_000
+#: Bytes of a text whose characters are classed at once.
+BLOCK = 1 << 20
 
 COMMON_WORDS = {
     "en": "the of and to in a is that it for was on are with as be this at by from or have an not but".split(),
@@ -63,12 +66,18 @@ def _class_table() -> np.ndarray:
     return table
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' UTF-8 bytes, and the row of each byte."""
+def _classes(texts: pa.Array) -> np.ndarray:
+    """Characters of each class in each text, counted block by block."""
     _, offsets, data = texts.buffers()
     ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
-    return raw, np.repeat(np.arange(len(texts)), np.diff(ends))
+    ends, table, out = ends - ends[0], _class_table(), np.zeros((len(texts), CLASSES + 1), np.int64)
+    for begin in range(0, len(raw), BLOCK):
+        stop = min(begin + BLOCK, len(raw))
+        a, b = int(np.searchsorted(ends, begin, side="right")) - 1, int(np.searchsorted(ends, stop, side="left"))
+        row = np.repeat(np.arange(b - a), np.diff(np.clip(ends[a : b + 1], begin, stop)))
+        out[a:b] += _histogram(row, table[raw[begin:stop]], b - a, CLASSES + 1)
+    return out[:, :CLASSES]
 
 
 def _histogram(row: np.ndarray, value: np.ndarray, rows: int, bins: int) -> np.ndarray:
@@ -109,11 +118,9 @@ def _numbered(values: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = _class_table()
     for batch in slices(batches, "text"):
         texts, n = batch.column("text"), batch.num_rows
-        raw, at = _bytes(texts)
-        classes = _histogram(at, table[raw], n, CLASSES + 1)[:, :CLASSES]
+        classes = _classes(texts)
         words = Words(texts)
         lengths = pc.utf8_length(words.vocabulary).to_numpy(zero_copy_only=False)
         plain = pc.utf8_lower(pc.utf8_trim(words.vocabulary, ".,;:!?'\"()-")).to_pylist()
@@ -164,40 +171,55 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((part(p) + part(q)) / 2, 0, 1))
 
 
-def references(measured: DataFrame) -> dict[str | None, tuple[list[int], list[int]]]:
-    """Histograms by language, and those of all documents under "" (no language has that name here)."""
-    parts = measured.select("lang", "classes", "common").mapInArrow(_partial_sums, "lang string, n long, classes array<long>, common array<long>")
+_FAILED = f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words"
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    workers(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", text_key().alias("text_key"))
+    return rows.mapInArrow(_measure, _MEASURED)
+
+
+def _sums(measured: DataFrame) -> DataFrame:
+    some = measured.where(f"not ({_FAILED})").select("lang", "classes", "common")
+    parts = some.mapInArrow(_partial_sums, "lang string, n long, classes array<long>, common array<long>")
     total = lambda name, bins: F.array(*[F.sum(F.col(name)[i]) for i in range(bins)]).alias(name)
-    sums = F.sum("n").alias("n"), total("classes", CLASSES), total("common", len(WORD_BINS) + 1)
-    rows = parts.groupBy("lang").agg(*sums).orderBy(F.desc("n"), "lang").limit(MAX_REFERENCES).collect()
-    found = {r.lang: (r.classes, r.common) for r in rows if r.n >= MIN_REFERENCE_DOCUMENTS and r.lang != ""}
-    whole = parts.agg(*sums).collect()[0]
-    return found | {"": (whole.classes, whole.common)} if whole.n else found
+    return parts.groupBy("lang").agg(total("classes", CLASSES), total("common", len(WORD_BINS) + 1))
+
+
+def references(docs: DataFrame) -> DataFrame:
+    """(lang, classes, common): the histograms of each language's documents that pass the base rules."""
+    return _sums(_measured(docs))
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        known = batch.column("ref_classes").is_valid().to_numpy(zero_copy_only=False)
+        own, words, failed = _matrix(batch.column("classes")), batch.column("n_words").to_numpy(), batch.column("base_failed").to_numpy(zero_copy_only=False)
+        long_enough = known & (own.sum(1) >= MIN_COMPARED_CHARS), known & (words >= MIN_COMPARED_WORDS)
+        far = []
+        for x, name in ((own, "ref_classes"), (_matrix(batch.column("common")), "ref_common")):
+            out = np.zeros(len(x))
+            if known.any():
+                out[known] = distance(_share(x[known].astype(float)), _share(_matrix(batch.column(name).drop_null()).astype(float)))
+            far.append(out)
+        apart = long_enough[0] & (far[0] > MAX_CLASS_DISTANCE) | long_enough[1] & (far[1] > MAX_WORD_DISTANCE)
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in _KEPT), *(pa.array(x, mask=~ok) for x, ok in zip(far, long_enough, strict=True)), pa.array(~failed & ~apart)], names=[*_KEPT, "class_distance", "word_distance", "kept"])
+
+
+_KEPT = ["doc_id", "text_key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def quality(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row for each document: doc_id, text_key (hash of the text), lang, base measures, base_failed, both distances (null
-    where the text is too short to compare) and kept."""
-    workers(docs.sparkSession)
-    measured = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).mapInArrow(_measure, _MEASURED), "quality")
-    known = references(measured)
-    index = {k: i for i, k in enumerate(known)}
-    classes, common = (_share(np.array([v[i] for v in known.values()] or [[0]], float)) for i in (0, 1))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            mine = np.array([index.get(x, index[""]) for x in batch.column("lang").to_pylist()])
-            own, words = _matrix(batch.column("classes")), batch.column("n_words").to_numpy()
-            long_enough = own.sum(1) >= MIN_COMPARED_CHARS, words >= MIN_COMPARED_WORDS
-            far = [distance(_share(x), ref[mine]) for x, ref in ((own, classes), (_matrix(batch.column("common")), common))]
-            failed = (words < MIN_WORDS) | (100 * batch.column("n_repeat_words").to_numpy() > MAX_REPEATED_PERCENT * words)
-            apart = long_enough[0] & (far[0] > MAX_CLASS_DISTANCE) | long_enough[1] & (far[1] > MAX_WORD_DISTANCE)
-            names = ["doc_id", "text_key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(failed), *(pa.array(x, mask=~ok) for x, ok in zip(far, long_enough, strict=True)), pa.array(~failed & ~apart)], names=[*names, "base_failed", "class_distance", "word_distance", "kept"])
-
-    return measured.mapInArrow(judge, _MEASURED.partition(", classes")[0] + ", base_failed boolean, class_distance double, word_distance double, kept boolean")
+    where the text is too short to compare) and kept. known: references of other documents, as `references` gives them."""
+    measured = saved(_measured(docs), "quality")
+    # one row for each language, written so that its size is known and a language with most documents can be split
+    known = saved((_sums(measured) if known is None else known).select(F.col("lang").alias("ref_lang"), F.col("classes").alias("ref_classes"), F.col("common").alias("ref_common")), "references")
+    met = measured.join(known, F.col("lang").eqNullSafe(F.col("ref_lang")), "left").withColumn("base_failed", F.expr(_FAILED))
+    return met.select(*_KEPT, "classes", "common", "ref_classes", "ref_common").mapInArrow(_judge, _MEASURED.partition(", classes")[0] + ", base_failed boolean, class_distance double, word_distance double, kept boolean")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,42 @@ def test_quality(edge):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (brute.quality(TEXT[r.doc_id]) if r.doc_id != 6 and r.doc_id != 7 else (60_000, r.word_chars, 0, 0, 60_000, True))
 
 
+def test_quality_of_small_languages(spark):
+    """A language's documents are held to the same rule however few they are, whatever its name."""
+    common = "le la les de des du et un une est que qui dans en pour".split()
+    text = lambda i: " ".join(f"{common[(i * 3 + j) % 15]} mot{i}x{j}" for j in range(120))
+    for name in ("fr2", "", None):
+        verdicts = []
+        for n in (1, 19, 20):
+            rows = [(i, text(i), name) for i in range(n)] + [(1000 + i, " ".join(f"the word{i}y{j} of" for j in range(120)), "en") for i in range(30)]
+            got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id < 1000").collect()
+            verdicts.append({r.kept for r in got})
+            assert all(r.word_distance is not None for r in got)
+        assert verdicts == [{True}] * 3
+
+
+def test_quality_by_other_references(spark):
+    clean = [(i, " ".join(f"the word{i}y{j} of" for j in range(120)), "en") for i in range(5)]
+    junk = [(100 + i, " ".join(f"#{i}{j} $$ %%{j}" for j in range(150)), "en") for i in range(50)]
+    schema = "doc_id long, text string, lang string"
+    trusted = quality.references(spark.createDataFrame(clean, schema))
+    docs = spark.createDataFrame([*clean, *junk, (999, clean[0][1], "xx")], schema)
+    assert {r.doc_id for r in quality.quality(docs, trusted).where("kept").collect()} == {0, 1, 2, 3, 4, 999}
+    assert quality.quality(docs, trusted).where("doc_id = 999").first().word_distance is None
+
+
+def test_quality_classes_block_by_block(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["", "aB3 é\n", "", "##漢字" * 7, "x" * 50, ""])
+    whole = quality._classes(texts)
+    assert whole.sum(1).tolist() == [len(t) for t in texts.to_pylist()]
+    for size in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(quality, "BLOCK", size)
+        assert (quality._classes(texts) == whole).all()
+        assert (quality._classes(texts.slice(1, 4)) == whole[1:5]).all()
+
+
 def test_neardup(edge):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(edge).collect()}
     assert got[4][1:] == (4, True)
@@ -79,6 +115,57 @@ def test_neardup_chains_and_dense_groups(spark):
     assert got == brute.components(docs)
 
 
+def test_neardup_of_rows_with_one_doc_id(spark):
+    """Different texts under one doc_id are linked each by itself; the pipeline loses none of them."""
+    a, b = [f"a{i}" for i in range(150)], [f"b{i}" for i in range(150)]
+    rows = [(4, " ".join([*a[:-1], "end"])), (5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (6, " ".join(b[1:]))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect())
+    assert got == [(4, 4, True), (5, 4, False), (5, 5, True), (5, 5, True), (6, 5, False)]
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(4, rows[0][1]), (5, rows[2][1])]
+
+
+def test_neardup_with_one_footer_in_all(spark):
+    """A passage in all documents, some of which are made of little else."""
+    footer = " ".join(f"f{i}" for i in range(60))
+    docs = {i: " ".join(f"w{i}x{j}" for j in range(5 + 3 * (i % 30))) + " " + footer for i in range(150)}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == brute.components(docs)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_neardup_at_other_thresholds(spark, percent):
+    base = [f"w{i}" for i in range(120)]
+    docs = {0: " ".join(base)} | {i: " ".join([*base[: 124 - 2 * i], *(f"x{i}y{j}" for j in range(max(0, 2 * i - 4)))]) for i in range(1, 25)}
+    sets = {i: brute.shingles(t) for i, t in docs.items()}
+    pairs = {(i, j) for i in docs for j in docs if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    parent = {i: i for i in docs}
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    for i, j in sorted(pairs):
+        x, y = find(i), find(j)
+        parent[max(x, y)] = min(x, y)
+    got = neardup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in docs}
+
+
+def test_hot_keys_are_split(spark):
+    """A join with a written aggregate, as the operators make it, is split where one key holds most rows."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        each = spark.range(0, 40_000, 1, 8).selectExpr("if(id % 3 = 0, id, 7) as value", "id as rep")
+        counted = common.saved(each.groupBy("value").agg(F.count("*").alias("df")), "counted")
+        met = each.join(counted, "value").groupBy("rep").agg(F.max("df").alias("df"))
+        met.collect()
+        assert "skew=true" in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_packing(edge):
     got = packing.digest(packing.pack(edge, packing.tokenizer_path())).collect()
     ends = {r.sequence_id: 0 for r in got}
