@@ -4,6 +4,11 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="session", autouse=True)
+def small_filters(spark):
+    spark.conf.set("spark.tablesmith.filterBits", str(1 << 14))
+
+
 @pytest.fixture(scope="session")
 def sf_dir():
     return SMALL

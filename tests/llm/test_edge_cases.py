@@ -221,12 +221,39 @@ def test_substrings(edge):
     assert [(x.begin, x.end) for x in got[7].removed] == [(0, 60_000)]
 
 
-def test_fingerprint_index_in_batches(spark):
-    index = substrings.FingerprintIndex(spark, fan_in=2)
-    batches = [[(1, 10), (1, 11)], [(2, 11), (3, 12), (4, 12)], [(5, 10), (6, 13)], [(7, 13)]]
-    found = [sorted(tuple(r) for r in index.add(spark.createDataFrame(b, "doc_id long, print long")).collect()) for b in batches]
-    assert found == [[], [(11, 1), (12, 3)], [(10, 1)], [(13, 6)]]
-    assert len(index.runs) <= 2
+def test_fingerprint_index_over_sessions(spark, texts):
+    """Batches that come one by one to an index that is opened anew each time give what one run gives; old runs are gone."""
+    rows = sorted(texts.items())[:90]
+    path = f"{common.shared_dir(spark)}/index-of-a-test"
+    df = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    got = {}
+    for i, (low, high) in enumerate([(0, 40), (40, 70), (70, 90), (70, 90)]):  # the last batch comes twice
+        index = substrings.FingerprintIndex(spark, path)
+        assert index.version == i
+        assert all(len(log.runs) < 2 + i for log in index.logs.values())
+        if i == 1:
+            with pytest.raises(ValueError, match="history"):
+                index.add(df(rows[40:70] + [(1 + max(texts), rows[0][1] + ' x')]))
+        done = index.add(df(rows[low:high]), df(rows[:low]) if low else None).collect()
+        assert i < 3 or {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in done}.items() <= got.items()
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in done}
+        index.close()
+    assert got == brute.substrings(dict(rows))
+    assert sum(x[1] > 0 for x in got.values()) > 3
+    index = substrings.FingerprintIndex(spark, path)
+    live = {r[0] for log in index.logs.values() for r in log.runs}
+    assert {n for n in index._names() if not n.startswith("manifest")} == live
+    index.remove()
+    assert not {t.name for t in spark.catalog.listTables()} & live
+
+
+def test_matches_are_verified_by_words():
+    words = [b"w%d" % i for i in range(120)]
+    block = lambda k, of: {"begin": 10, "n": 40, "o_at": 30, "block": k, "words": b" ".join(of[k * 64 : (k + 1) * 64])}
+    source = [b"x"] * 20 + words + [b"y"] * 60  # word 30 of the source is word 10 here
+    assert substrings._verified(words, [block(k, source) for k in (0, 1)]).tolist() == list(range(10, 50))
+    source[30 + 60] = b"other"  # word 70 here: in the windows from 21 on
+    assert substrings._verified(words, [block(k, source) for k in (0, 1)]).tolist() == list(range(10, 21))
 
 
 def test_fingerprints(edge, spark):
