@@ -6,7 +6,8 @@ whole expression runs inside generated code; anything else is an error that
 names the node. Nothing is ever evaluated as Python.
 
 Division is true division and gives NULL by zero, `//` floors, `%` takes the
-divisor's sign, `int` and `float` give NULL for what they can't read."""
+divisor's sign, `int` cuts off towards zero, `round` takes halves to the even
+neighbour, `int` and `float` give NULL for what they can't read."""
 
 from __future__ import annotations
 
@@ -42,10 +43,10 @@ _COMPARE = {ast.Eq: "__eq__", ast.NotEq: "__ne__", ast.Lt: "__lt__", ast.LtE: "_
 _FUNCTIONS = {
     "str": to_text,
     "float": to_float,
-    "int": lambda c: F.floor(to_float(c)).cast("long"),
+    "int": lambda c: to_float(c).try_cast("long"),
     "abs": F.abs,
     "len": F.length,
-    "round": lambda c, n=0: F.round(c, n),
+    "round": lambda c, n=None: F.bround(c, 0).try_cast("long") if n is None else F.bround(c, n),
     "min": lambda *c: F.least(*c),
     "max": lambda *c: F.greatest(*c),
 }
@@ -105,6 +106,20 @@ class _Compiler:
             return F.coalesce(value, F.lit(False))
         return F.coalesce(value != 0, F.lit(False))
 
+    def predicate(self, node: ast.AST) -> Column:
+        """truth() for a filter, which drops NULL as it drops false: comparisons stay bare, so that they reach the scan."""
+        match node:
+            case ast.BoolOp(op=op, values=values):
+                out = self.predicate(values[0])
+                for v in values[1:]:
+                    out = out & self.predicate(v) if isinstance(op, ast.And) else out | self.predicate(v)
+                return out
+            case ast.Compare(ops=ops) if not any(isinstance(x, ast.In | ast.NotIn) for x in ops):
+                return self.column(node)
+            case ast.Compare(left=a, ops=[ast.In()], comparators=[ast.List() | ast.Tuple() | ast.Set() as b]):
+                return self.column(a).isin(list(self.plain(b)))
+        return self.truth(node)
+
     def plain(self, node: ast.AST):
         try:
             value = ast.literal_eval(node)
@@ -157,7 +172,7 @@ class _Compiler:
                 return null if f.startswith("is") else ~null
             case ast.Call(func=ast.Name(id=f), args=args, keywords=[]) if f in _FUNCTIONS and args:
                 if f == "round":
-                    return F.round(self.column(args[0]), *[self.plain(x) for x in args[1:]])
+                    return _FUNCTIONS[f](self.column(args[0]), *[self.plain(x) for x in args[1:]])
                 return _FUNCTIONS[f](*map(self.column, args))
             case ast.Call(func=ast.Attribute(value=v, attr=f), args=args, keywords=[]) if f in _METHODS:
                 return _METHODS[f](self.column(v), *[self.plain(x) for x in args])
@@ -234,4 +249,4 @@ def compile_condition(text: str, df: DataFrame | None = None) -> Column:
         tree = ast.parse(text.strip(), mode="eval")
     except SyntaxError as e:
         raise ExpressionError(f"not an expression: {text!r} ({e.msg})") from None
-    return _Compiler(df).truth(tree.body)
+    return _Compiler(df).predicate(tree.body)

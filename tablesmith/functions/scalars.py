@@ -6,12 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesmith.functions.exprs import nan_to_null, to_float
 
 #: Tried in order by to_datetime.
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "dd/MM/yyyy", "yyyy-MM", "yyyy")
-SENSITIVE = ("password", "passwd", "secret", "token", "api_key", "apikey", "authorization", "access_key", "private_key", "credential", "session", "cookie")
+#: The keys that the rule format's users know to be masked.
+SENSITIVE = ("password", "passwd", "pwd", "secret", "api_key", "apikey", "token", "authorization", "access_token", "refresh_token", "private_key", "model_api_key")
 
 
 def strip(c: Column) -> Column:
@@ -25,6 +27,12 @@ def to_int(c: Column) -> Column:
 
 
 def to_datetime(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """Texts by the formats in turn, whole numbers as nanoseconds since 1970; NULL for what is neither."""
+    number = F.timestamp_micros(F.call_function("div", c.try_cast("bigint"), F.lit(1000).cast("bigint")))
+    return F.when(F.typeof(c).isin("tinyint", "smallint", "int", "bigint"), number).otherwise(_parsed(c, formats))
+
+
+def _parsed(c: Column, formats: Sequence[str]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(c.cast("string"), F.lit(f)) for f in formats])
 
 
@@ -105,9 +113,43 @@ def fenced(c: Column, language: str = "") -> Column:
     return strip(F.when(F.length(block) > 0, block).otherwise(c))
 
 
-def redacted(c: Column, keys: Sequence[str] = SENSITIVE) -> Column:
-    """A map with the values of sensitive keys masked."""
-    return F.transform_values(c, lambda k, v: F.when(F.lower(k).isin(list(keys)), F.lit("***")).otherwise(v))
+def json_object(c: Column) -> Column:
+    """The JSON of a text as text: that of a fenced block, of the part between the outer braces, or the whole; NULL for none."""
+    block = F.nullif(F.regexp_extract(c, r"(?s)```(?:json)?\s*\n(.*?)```", 1), F.lit(""))
+    braces = F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))
+    valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), strip(x))
+    return F.coalesce(valid(block), valid(braces), valid(c))
+
+
+def yaml_block(c: Column) -> Column:
+    """The YAML of a text: that of a block fenced as YAML, of a fenced block, or the whole."""
+    block = F.regexp_extract(c, r"(?si)```ya?ml\s*\n(.*?)```", 1)
+    return F.when(F.length(block) > 0, strip(block)).otherwise(fenced(c))
+
+
+def redacted(c: Column, kind: T.DataType | None = None, keys: Sequence[str] = SENSITIVE) -> Column:
+    """The values of sensitive keys masked, at any depth of maps, objects and lists; kind: the column's type (a map of
+    texts if not given)."""
+    hidden = lambda k: F.lower(k).isin(list(keys))
+    match kind:
+        case None:
+            return F.transform_values(c, lambda k, v: F.when(hidden(k), F.lit("***")).otherwise(v))
+        case T.MapType(keyType=T.StringType(), valueType=T.StringType()):
+            return redacted(c, None, keys)
+        case T.MapType(keyType=T.StringType(), valueType=inner):
+            # a masked value that is no text is left out, as a map has one type of values
+            return F.transform_values(c, lambda k, v: F.when(~hidden(k), redacted(v, inner, keys)))
+        case T.ArrayType(elementType=inner) if isinstance(inner, T.MapType | T.StructType | T.ArrayType):
+            return F.transform(c, lambda v: redacted(v, inner, keys))
+        case T.StructType(fields=fields):
+            parts = [(F.lit("***") if f.name.lower() in keys else redacted(c.getField(f.name), f.dataType, keys)).alias(f.name) for f in fields]
+            return F.when(c.isNotNull(), F.struct(*parts))
+    return c
+
+
+def redacted_table(df: DataFrame, keys: Sequence[str] = SENSITIVE) -> DataFrame:
+    """The table with sensitive columns masked, and sensitive keys inside of the others."""
+    return df.select(*[(F.lit("***") if f.name.lower() in keys else redacted(F.col(f"`{f.name}`"), f.dataType, keys)).alias(f.name) for f in df.schema.fields])
 
 
 def null_nans(df: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ Nothing runs before an action: a chain of operators is one Catalyst plan, and
 missing columns are found on the schema.
 
 Where the order of rows matters (the first of equal rows, limits, first rows of a
-list) it is given by ORDER, a column that the sources add; without it such
-operators take any row."""
+list) it is given by ORDER, a column that `files.read` adds, and by the last Sort
+before; without either such operators take any row."""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
-from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +40,25 @@ def as_list(x: str | list[str] | None) -> list[str]:
     return [] if x is None else [x] if isinstance(x, str) else list(x)
 
 
+def order_keys(df: DataFrame) -> list[Column]:
+    """Keys of the rows' current order: those of the last Sort, if they are still there, then the input order."""
+    if ORDER not in df.columns:
+        return []
+    last = _sorted(df)
+    keys = [_direction(c, up) for c, up in last] if all(c in df.columns for c, _ in last) else []
+    return [*keys, F.col(ORDER)]
+
+
+def _sorted(df: DataFrame) -> list[tuple[str, bool]]:
+    """What Sort has noted in ORDER's metadata."""
+    noted = df.schema[ORDER].metadata
+    return list(zip(noted.get("sorted", []), noted.get("ascending", []), strict=True))
+
+
+def _direction(name: str, ascending: bool) -> Column:
+    return named(name).asc_nulls_last() if ascending else named(name).desc_nulls_last()
+
+
 class Operator:
     """Base of all operators; a subclass may be given to the rule engine under a name of its own."""
 
@@ -77,13 +97,12 @@ class Dedup(Operator):
         logs.append(f"Dedup: by {', '.join(keys)}")
         if not keys:
             return df, logs
-        if ORDER not in df.columns:
+        order = order_keys(df)
+        if not order:
             if all(not isinstance(df.schema[k].dataType, T.MapType) for k in keys):
                 return df.dropDuplicates(keys), logs
-            order = F.lit(0)
-        else:
-            order = F.col(ORDER)
-        first = Window.partitionBy(*[_comparable(df, k) for k in keys]).orderBy(order)
+            order = [F.lit(0)]
+        first = Window.partitionBy(*[_comparable(df, k) for k in keys]).orderBy(*order)
         return df.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth"), logs
 
 
@@ -236,13 +255,17 @@ class Sort(Operator):
         self.by, self.ascending = as_list(by), ascending
 
     def keys(self, df: DataFrame) -> list[Column]:
-        return [named(c).asc_nulls_last() if self.ascending else named(c).desc_nulls_last() for c in self.by if c in df.columns]
+        return [_direction(c, self.ascending) for c in self.by if c in df.columns]
 
     def run(self, df: DataFrame, inputs: Inputs = None) -> Outcome:
         logs: list[str] = []
         if self.split(df, self.by, logs):
-            tail = [F.col(ORDER)] if ORDER in df.columns else []
-            df = df.orderBy(*self.keys(df), *tail)
+            by = [(c, self.ascending) for c in self.by if c in df.columns]
+            # equal rows stay in the order they had
+            df = df.orderBy(*self.keys(df), *order_keys(df))
+            if ORDER in df.columns:
+                by += _sorted(df)
+                df = df.withMetadata(ORDER, {"sorted": [c for c, _ in by], "ascending": [up for _, up in by]})
             logs.append(f"Sort: {', '.join(self.by)} {'ascending' if self.ascending else 'descending'}")
         return df, logs
 
@@ -254,6 +277,8 @@ class Limit(Operator):
         self.n, self.skip = int(n), max(int(skip), 0)
 
     def run(self, df: DataFrame, inputs: Inputs = None) -> Outcome:
+        keys = order_keys(df)
+        df = df.orderBy(*keys) if keys else df
         return (df.offset(self.skip) if self.skip else df).limit(self.n), [f"Limit: {self.n} after {self.skip}"]
 
 
@@ -267,21 +292,51 @@ class RemoveFields(Operator):
         return df.select(*[named(c) for c in df.columns if c not in gone]), [*logs, f"RemoveFields: {len(gone)} removed"]
 
 
+def _widened(kind: T.DataType, value) -> T.DataType:
+    """The type that holds a column's values and the constant: its own, a wider number, else text."""
+    match kind:
+        case T.NullType():
+            return {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType()}.get(type(value), T.StringType())
+        case T.BooleanType():
+            return kind if isinstance(value, bool) else T.StringType()
+        case T.IntegralType() if isinstance(value, int):
+            bits = {"byte": 7, "short": 15, "integer": 31, "long": 63}[kind.typeName() if kind.typeName() in ("byte", "short", "integer") else "long"]
+            return kind if -(1 << bits) <= value < 1 << bits else T.LongType() if -(1 << 63) <= value < 1 << 63 else T.DoubleType()
+        case T.IntegralType() if isinstance(value, float):
+            return kind if value.is_integer() and abs(value) < 1 << 31 else T.DoubleType()
+        case T.DecimalType() if isinstance(value, int | float):
+            exact = Decimal(str(value))
+            whole = len(str(abs(int(exact))))
+            return kind if -exact.as_tuple().exponent <= kind.scale and whole <= kind.precision - kind.scale else T.DoubleType()
+        case T.FractionalType() if isinstance(value, int | float):
+            return kind
+        case T.DateType() | T.TimestampType() | T.TimestampNTZType() if isinstance(value, str | datetime.date):
+            try:
+                datetime.datetime.fromisoformat(str(value))
+            except ValueError:
+                return T.StringType()
+            return kind
+    return T.StringType()
+
+
 def _filled(df: DataFrame, name: str, value) -> Column:
-    """A constant in a column's type; where it has none, the column turns to text."""
+    """The column with a constant for its nulls, wider where its type can't hold the constant; lists and objects stay."""
     kind = df.schema[name].dataType
-    if isinstance(kind, T.ArrayType | T.MapType | T.StructType):
+    if isinstance(kind, T.ArrayType | T.MapType | T.StructType | T.VariantType | T.BinaryType):
         return named(name)
-    if isinstance(value, str) and not isinstance(kind, T.StringType):
-        cast = F.lit(value).try_cast(kind)
-        return F.coalesce(named(name), cast)
-    if isinstance(kind, T.StringType):
-        return F.coalesce(named(name), F.lit(str(value)))
-    return F.coalesce(named(name), F.lit(value).try_cast(kind))
+    if isinstance(value, str) and isinstance(kind, T.NumericType):
+        try:  # a number in text
+            value = int(value) if value.strip().lstrip("+-").isdigit() else float(value)
+        except ValueError:
+            pass
+    wide = _widened(kind, value)
+    constant = F.lit(str(value)) if isinstance(wide, T.StringType) else F.lit(value).cast(wide)
+    return F.coalesce(named(name).cast(wide), constant)
 
 
 class FillNull(Operator):
-    """fill_map (column -> value) wins over value (for all columns)."""
+    """fill_map (column -> value) wins over value (for all columns). A column turns
+    wider where it has to: 0.5 makes whole numbers doubles, text makes numbers text."""
 
     def __init__(self, value=None, fill_map: dict | None = None, **ignored):
         self.value, self.fill_map = value, fill_map or {}

@@ -10,6 +10,8 @@ from tablesmith.functions.scalars import token_estimate
 
 MOST_TOKENS = 2000
 MESSAGE_TOKENS = 4
+#: Begins the turn that stands for those that `snip` left out.
+SNIPPED = "[snipped]"
 STOP_SHARE, SMALL_GAIN, SMALL_GAINS = 0.9, 100, 5
 
 
@@ -28,13 +30,19 @@ def microcompact(df: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
 
 def snip(df: DataFrame, boundary: float = 0.5) -> DataFrame:
     """The latest share of each conversation, one turn at least; system turns stay,
-    and so do conversations of two turns."""
+    and so do conversations of two turns. Where turns are cut off, a system turn in
+    the place of the last of them says how many."""
+    if boundary >= 1:
+        return df
     by = Window.partitionBy("conv_id")
     other = F.col("role") != "system"
     size = F.count(F.when(other, 1)).over(by)
     nth = F.row_number().over(Window.partitionBy("conv_id", other).orderBy(F.col("turn").desc()))
     keep = F.greatest(F.lit(1), F.floor(size * boundary))
-    return df.withColumn("_all", F.count("*").over(by)).withColumn("_keep", ~other | (nth <= keep)).where("_keep or _all <= 2").drop("_all", "_keep")
+    rows = df.withColumn("_all", F.count("*").over(by)).withColumn("_last", other & (nth == keep + 1)).withColumn("_gone", size - keep).withColumn("_keep", ~other | (nth <= keep)).where("_keep or _all <= 2 or _last")
+    mark = (F.col("_all") > 2) & F.col("_last")
+    rows = rows.withColumn("role", F.when(mark, "system").otherwise(F.col("role"))).withColumn("text", F.when(mark, F.concat(F.lit(SNIPPED), F.lit(" "), F.col("_gone").cast("string"), F.lit(" earlier turns left out"))).otherwise(F.col("text")))
+    return rows.drop("_all", "_last", "_gone", "_keep")
 
 
 def budget(df: DataFrame, limit: int, share: float = STOP_SHARE, gain: int = SMALL_GAIN, gains: int = SMALL_GAINS) -> DataFrame:
@@ -50,10 +58,11 @@ def budget(df: DataFrame, limit: int, share: float = STOP_SHARE, gain: int = SMA
 
 def cost_rollup(df: DataFrame, prices: DataFrame, default: float) -> DataFrame:
     """Tokens and cost by model. A price belongs to the longest name that the
-    model's name begins with; prices: (name, price), a small table by its nature."""
+    model's name begins with; prices: (name, price), met by equal prefixes."""
     models = df.groupBy("model").agg(F.sum("tokens").alias("tokens"))
-    met = models.join(F.broadcast(prices), F.startswith(F.col("model"), F.col("name")), "left")
-    best = met.groupBy("model", "tokens").agg(F.max_by("price", F.length("name")).alias("price"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("model")), lambda n: F.substring(F.col("model"), F.lit(1), n))
+    met = models.withColumn("name", F.explode(F.coalesce(prefixes, F.array(F.lit(None).cast("string"))))).join(prices, "name", "left")
+    best = met.groupBy("model", "tokens").agg(F.max_by("price", F.when(F.col("price").isNotNull(), F.length("name"))).alias("price"))
     return best.select("model", "tokens", (F.col("tokens") * F.coalesce("price", F.lit(default)) / 1e6).alias("cost"))
 
 

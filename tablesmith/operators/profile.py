@@ -1,23 +1,30 @@
 """Profiles and quality rules. All measures of all columns come from one
-aggregate; the number of different rows is a second one."""
+aggregate, the number of different rows from a second one, and samples from the
+first rows; only a column with hardly a value there is scanned for some.
+
+Distinct values are counted approximately (each column on its own would copy the
+table) unless `exact` is asked for; columns that are named as ids are counted
+exactly, as their role depends on it."""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesmith.functions.scalars import to_float
-from tablesmith.operators.cleaning import ORDER, named, visible
+from tablesmith.operators.cleaning import named, order_keys, visible
 
 MOST_NULLS, MOST_DUPLICATES = 0.05, 0.01
 SAMPLES = 5
 
-TIME_NAME = re.compile("date|time|year|month|day|quarter|week|period|timestamp|日期|时间|年|月", re.IGNORECASE)
-ID_NAME = re.compile("^(id|.*_id|uuid|guid|key|code|.*key)$", re.IGNORECASE)
+#: Names of time columns (anywhere in the name) and of ids (the whole name).
+TIME_NAME = re.compile("date|time|timestamp|datetime|year|month|day|quarter|季度|日期|时间|年|月|日", re.IGNORECASE)
+ID_NAME = re.compile("^(id|_id|pk|primary_key|key|uuid|序号|编号)$", re.IGNORECASE)
 
 
 def logical_type(kind: T.DataType) -> str:
@@ -54,6 +61,7 @@ class Profile:
     duplicate_rate: float
     null_rate: float
     empty_rows: bool
+    first_rows: list[dict] = field(default_factory=list)
 
 
 def value_kind(c: Column) -> Column:
@@ -72,35 +80,61 @@ def _hashable(df: DataFrame, c: str) -> Column:
 
 
 def duplicate_rate(df: DataFrame) -> float:
-    """(rows - different rows) / rows; 0 for an empty table."""
-    columns = visible(df)
-    groups = df.groupBy(*[_hashable(df, c).alias(f"g{i}") for i, c in enumerate(columns)]).agg(F.count("*").alias("n"))
+    """(rows - different rows) / rows; 0 for an empty table. Rows are told apart by 128 bits of hash, so that no row moves whole."""
+    values = [F.struct(F.isnull(named(c)), _hashable(df, c)) for c in visible(df)]
+    groups = df.groupBy(*[F.xxhash64(F.lit(seed), *values).alias(f"h{seed}") for seed in (1, 2)]).agg(F.count("*").alias("n"))
     found = groups.agg(F.sum("n").alias("rows"), F.count("*").alias("different")).first()
     return (found.rows - found.different) / found.rows if found.rows else 0.0
 
 
-def profile(df: DataFrame, samples: int = SAMPLES) -> Profile:
+def first_values(df: DataFrame, columns: list[str], n: int = SAMPLES) -> dict[str, list]:
+    """The first n values that are not null of each column: a top-n for each."""
+    if not columns:
+        return {}
+    found: dict[str, list] = {c: [] for c in columns}
+    keys, parts = order_keys(df), []
+    for i, c in enumerate(columns):
+        some = df.where(named(c).isNotNull())
+        parts.append((some.orderBy(*keys) if keys else some).limit(n).select(F.lit(i).alias("i"), named(c).cast("string").alias("v")))
+    for r in reduce(DataFrame.unionAll, parts).collect():
+        found[columns[r.i]].append(r.v)
+    return found
+
+
+def profile(df: DataFrame, samples: int = SAMPLES, exact: bool = False) -> Profile:
     columns = visible(df)
     kinds = {c: logical_type(df.schema[c].dataType) for c in columns}
     made = [F.count("*").alias("rows")]
     if columns:
         made.append(F.count_if(_all_null(columns)).alias("empty"))
     for i, c in enumerate(columns):
-        made += [F.count(named(c)).alias(f"n{i}"), F.count_distinct(_hashable(df, c)).alias(f"d{i}")]
+        made += [F.count(named(c)).alias(f"n{i}"), _distinct(df, c, exact).alias(f"d{i}")]
         if kinds[c] in ("int", "float"):
             made += [F.min(named(c)).cast("double").alias(f"lo{i}"), F.max(named(c)).cast("double").alias(f"hi{i}"), F.avg(named(c)).alias(f"m{i}")]
         if isinstance(df.schema[c].dataType, T.StringType):
             made.append(F.collect_set(value_kind(named(c))).alias(f"k{i}"))
     got = df.agg(*made).first().asDict()
-    order = df.orderBy(ORDER) if ORDER in df.columns else df
-    head = order.limit(10 * samples).collect() if columns else []
+    keys = order_keys(df)
+    head = (df.orderBy(*keys) if keys else df).limit(10 * samples).select(*map(named, columns)).collect() if columns else []
+    some = {c: [str(r[c]) for r in head if r[c] is not None][:samples] for c in columns}
+    some |= first_values(df, [c for i, c in enumerate(columns) if len(some[c]) < min(samples, got[f"n{i}"])], samples)
     out = []
     for i, c in enumerate(columns):
         nulls = got["rows"] - got[f"n{i}"]
-        some = [str(r[c]) for r in head if r[c] is not None][:samples]
-        out.append(ColumnProfile(c, kinds[c], nulls, nulls / got["rows"] if got["rows"] else 0.0, got[f"d{i}"], got.get(f"lo{i}"), got.get(f"hi{i}"), got.get(f"m{i}"), some, sorted(got.get(f"k{i}", []))))
+        out.append(ColumnProfile(c, kinds[c], nulls, nulls / got["rows"] if got["rows"] else 0.0, got[f"d{i}"], got.get(f"lo{i}"), got.get(f"hi{i}"), got.get(f"m{i}"), some[c], sorted(got.get(f"k{i}", [])) or _nested(df, c)))
     cells = got["rows"] * len(columns)
-    return Profile(got["rows"], out, duplicate_rate(df) if columns else 0.0, sum(x.nulls for x in out) / cells if cells else 0.0, bool(got.get("empty")))
+    return Profile(got["rows"], out, duplicate_rate(df) if columns else 0.0, sum(x.nulls for x in out) / cells if cells else 0.0, bool(got.get("empty")), [r.asDict() for r in head[:samples]])
+
+
+def _distinct(df: DataFrame, c: str, exact: bool) -> Column:
+    if exact or ID_NAME.match(c):
+        return F.count_distinct(_hashable(df, c))
+    return F.approx_count_distinct(_hashable(df, c), 0.01)
+
+
+def _nested(df: DataFrame, c: str) -> list[str]:
+    """Lists and objects count as mixed, as their cells are no plain values."""
+    return ["list", "object"] if isinstance(df.schema[c].dataType, T.ArrayType | T.MapType | T.StructType) else []
 
 
 def _all_null(columns: list[str]) -> Column:
@@ -153,5 +187,40 @@ def semantic_hints(p: Profile) -> dict:
 
 def preview_rows(df: DataFrame, n: int = 10) -> DataFrame:
     """The first n rows as text, nulls as empty text."""
-    order = df.orderBy(ORDER) if ORDER in df.columns else df
-    return order.limit(n).select(*[F.coalesce(named(c).cast("string"), F.lit("")).alias(c) for c in visible(df)])
+    keys = order_keys(df)
+    return (df.orderBy(*keys) if keys else df).limit(n).select(*[F.coalesce(named(c).cast("string"), F.lit("")).alias(c) for c in visible(df)])
+
+
+# -- texts -------------------------------------------------------------------
+
+
+def row_total(tables: dict[str, DataFrame]) -> int:
+    """Rows of all tables together."""
+    counts = [df.agg(F.count("*").alias("n")) for df in tables.values()]
+    return reduce(DataFrame.unionAll, counts).agg(F.sum("n")).first()[0] if counts else 0
+
+
+def profile_text(p: Profile, name: str = "table") -> str:
+    """A profile in words: size, columns with samples, first rows, quality."""
+    has = lambda kind: "yes" if any(x["issue"] == kind for x in issues(p)) else "no"
+    lines = [f"table: {name}", f"rows: {p.rows}", f"columns: {len(p.columns)}", "", "columns:"]
+    lines += [f"  - {c.name} (type: {c.kind}, null rate: {c.null_rate:.1%}, distinct: {c.distinct}, samples: {c.samples[:3]})" for c in p.columns]
+    lines += ["", "first rows:", *[f"  row {i}: {r}" for i, r in enumerate(p.first_rows[:SAMPLES], 1)], "", "quality:"]
+    lines += [f"  null rate: {p.null_rate:.1%}", f"  duplicate rate: {p.duplicate_rate:.1%}", f"  names in CJK letters: {has('cjk_name')}", f"  mixed types: {has('mixed')}", f"  empty rows: {'yes' if p.empty_rows else 'no'}"]
+    return "\n".join(lines)
+
+
+def table_text(df: DataFrame, name: str = "table", rows: int = 10) -> str:
+    """Shape, column names and first rows."""
+    head = preview_rows(df, rows).collect()
+    return "\n".join([f"table: {name}", f"shape: {df.count()} rows, {len(visible(df))} columns", f"columns: {visible(df)}", "", f"first {rows} rows:", *["  " + " | ".join(r) for r in head]])
+
+
+def schema_text(tables: list[dict], most: int = 20) -> str:
+    """What `introspect` found, table by table."""
+    lines = ["tables:"]
+    for t in tables[:most]:
+        lines.append(f"- {t['table']} ({t['rows']} rows)")
+        lines += [f"    {c['name']} {c['type'].upper()}{' PK' if c['primary_key'] else ''}{' FK->' + c['foreign_key'] if c['foreign_key'] else ''}{'' if c['nullable'] else ' NOT NULL'}" for c in t["columns"]]
+        lines += [f"    {r}" for r in t["samples"]]
+    return "\n".join(lines)

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 1500, 200
-#: From the strongest break to the weakest.
-SEPARATORS = ("\n\n", "\n", "。", ". ", "! ", "? ", "; ", ", ", " ", "")
+#: From the strongest break to the weakest.
+SEPARATORS = ("\n```", "\n## ", "\n### ", "\n#### ", "\n\n", "\n", "。", "；", " ", "")
 
 
 def fixed_chunks(df: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -22,12 +22,13 @@ def fixed_chunks(df: DataFrame, key: str, text: str, size: int = SIZE, overlap:
 
 
 def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """Pieces no longer than size, broken at the strongest separator that allows
-    it; neighbours share up to `overlap` characters of whole parts."""
+    """Pieces no longer than size, broken before the strongest separator that allows
+    it (which begins the next piece, as a heading does); neighbours share up to
+    `overlap` characters of whole parts."""
     if len(text) <= size:
         return [text] if text else []
     mark, weaker = next(((s, separators[i + 1 :]) for i, s in enumerate(separators) if s and s in text), ("", ()))
-    parts = [text[i : i + size] for i in range(0, len(text), size - overlap)] if not mark else [p + mark for p in text.split(mark)[:-1]] + [text.split(mark)[-1]]
+    parts = [text[i : i + size] for i in range(0, len(text), size - overlap)] if not mark else [p if i == 0 else mark + p for i, p in enumerate(text.split(mark))]
     if not mark:
         return parts
     out: list[str] = []

@@ -12,19 +12,28 @@ from tablesmith.functions.scalars import scale_of, unit_of
 from tablesmith.operators.cleaning import named
 from tablesmith.operators.joins import align_series
 
-CHARTS = ("line", "bar", "pie", "scatter", "radar", "funnel", "heatmap", "boxplot", "candlestick", "gauge", "map", "treemap", "sunburst", "sankey", "graph", "parallel", "themeriver", "wordcloud")
-X_NAMES = ("period", "date", "year", "month")
-Y_NAME = "value"
-PARTS_OF_TIME = ("quarter", "month")
+#: Chart types, names of the x axis in order, of the values, and of parts of a year.
+CHARTS = ("Line", "Bar", "Scatter", "Pie", "Area", "Histogram", "Boxplot", "Heatmap", "Candlestick", "Radar", "Funnel", "Gauge", "Treemap", "WordCloud", "Graph", "Parallel", "Sankey", "ThemeRiver")
+X_NAMES = ("年份", "时间", "year", "date")
+Y_NAMES = ("数值", "value")
+PARTS_OF_TIME = ("季度", "月份", "quarter", "month")
 
 
-def pick_axes(df: DataFrame, x_names: Sequence[str] = X_NAMES, y_name: str = Y_NAME) -> tuple[str, str] | None:
-    """x: the first known name, else the first column; y: the value column, else the first other number."""
+def chart_type(name: str) -> str:
+    """A chart type in its own spelling; an unknown one is an error."""
+    found = next((c for c in CHARTS if c.lower() == name.strip().lower()), None)
+    if found is None:
+        raise ValueError(f"no chart type {name!r}; there are {', '.join(CHARTS)}")
+    return found
+
+
+def pick_axes(df: DataFrame, x_names: Sequence[str] = X_NAMES, y_names: Sequence[str] = Y_NAMES) -> tuple[str, str] | None:
+    """x: the first known name, else the first column; y: the value column, else the first other number that is no part of a year."""
     if not df.columns:
         return None
     x = next((n for n in x_names if n in df.columns), df.columns[0])
     numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name != x and f.name not in PARTS_OF_TIME]
-    y = y_name if y_name in df.columns and y_name != x else next(iter(numbers), None)
+    y = next((n for n in y_names if n in df.columns and n != x), next(iter(numbers), None))
     return (x, y) if y else None
 
 
@@ -34,6 +43,11 @@ def xy_series(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(named(x).alias("x"), (named(y) / scale_of(top)).alias("y"), unit_of(top).alias("unit")).orderBy(F.asc_nulls_last("x"))
 
 
+def by_indicator(df: DataFrame, codes: Sequence[str], column: str = "indicator_code") -> dict[str, DataFrame]:
+    """The rows of each indicator, in the order asked for; one without rows has an empty table."""
+    return {c: df.where(named(column) == c) for c in codes}
+
+
 def compared_series(series: dict[str, DataFrame], x: str, y: str) -> DataFrame:
     """All series under one unit, aligned on x."""
     wide = align_series(series, x, y)

@@ -27,6 +27,7 @@ from tablesmith.sources import files as I
 from tablesmith.sources import macro as M
 from tablesmith.sources import sinks as K
 from tablesmith.sources import shaping as H
+from tablesmith.sources.registry import Request, default_registry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,11 +86,10 @@ processor: {chain: [customers, year, keep, names, total, order]}
 )
 def sales_by_region(t: Tables) -> DataFrame:
     places = J.join_chain([t.customer, t.nation, t.region], [("c_nationkey", "n_nationkey"), ("n_regionkey", "r_regionkey")])
-    orders = t.orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
-    done = RuleEngine().execute(FLAGSHIP, orders, {"orders": orders, "customer": places.withColumnRenamed("c_custkey", "o_custkey"), "nation": t.nation, "region": t.region})
+    done = RuleEngine().execute(FLAGSHIP, t.orders, {"orders": t.orders, "customer": places.withColumnRenamed("c_custkey", "o_custkey"), "nation": t.nation, "region": t.region})
     if not done.success:
         raise ValueError(done.error)
-    return done.df.withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
+    return done.df.withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
 # -- cleaning ----------------------------------------------------------------
@@ -152,6 +152,30 @@ def _(t):
     return run(C.Map("day", "to_datetime"), t.orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
+@query("map_to_datetime_numbers", "select event_id, make_timestamp(event_id * 86400000000 + 5) as ts from events")
+def _(t):
+    nanos = t.events.select("event_id", (F.col("event_id") * 86_400_000_000_000 + 5_999).alias("ts"))
+    return run(C.Map("ts", "to_datetime"), nanos).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("map_int_and_round", "select event_id, cast(trunc((event_id - 500) / 2.0) as bigint) as cut, cast(round_even((event_id - 500) / 2.0, 0) as bigint) as near from events")
+def _(t):
+    half = t.events.select("event_id", ((F.col("event_id") - 500) / 2).alias("half"))
+    return run(C.AddFields({"cut": "int(row['half'])", "near": "round(row['half'])"}), half).drop("half")
+
+
+@query("sort_then_limit", "select o_orderkey, o_orderstatus from orders order by o_orderstatus desc, o_orderkey limit 30")
+def _(t):
+    ordered = t.orders.select("o_orderkey", "o_orderstatus").withColumn(ORDER, F.col("o_orderkey"))
+    return run(C.Limit(30), C.Sort("o_orderstatus", ascending=False).run(ordered)[0])
+
+
+@query("dedup_after_sort", "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders) where rn = 1")
+def _(t):
+    ordered = t.orders.select("o_custkey", "o_orderkey", "o_orderdate").withColumn(ORDER, F.col("o_orderkey"))
+    return run(C.Dedup("o_custkey"), C.Sort("o_orderdate", ascending=False).run(ordered)[0]).drop("o_orderdate")
+
+
 @query("map_strip", "select c_custkey, c_name as name from customer")
 def _(t):
     return run(C.Map("name", "strip"), t.customer.select("c_custkey", F.concat(F.lit(" \t"), "c_name", F.lit("\n ")).alias("name")))
@@ -211,6 +235,15 @@ def _(t):
     return run(C.FillNull(value=0, fill_map={"status": "none", "missing": 1}), _holes(t))
 
 
+_WIDE = "(select o_orderkey, case when o_orderkey % 3 = 0 then null else o_custkey end as whole, case when o_orderkey % 5 = 0 then null else o_custkey end as again from orders)"
+
+
+@query("fill_null_wider", f"select o_orderkey, coalesce(cast(whole as double), 0.5) as whole, coalesce(cast(again as varchar), 'none') as again from {_WIDE}")
+def _(t):
+    holes = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("whole"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("again"))
+    return run(C.FillNull(fill_map={"whole": 0.5, "again": "none"}), holes)
+
+
 @query("drop_null_any", f"select * from {HOLES} where status is not null and price is not null")
 def _(t):
     return run(C.DropNull(), _holes(t))
@@ -238,23 +271,30 @@ def _(t):
 
 @query("range_filter", "select o_orderkey, cast(year(o_orderdate) as bigint) as year from orders where year(o_orderdate) between 1994 and 1996")
 def _(t):
-    return t.orders.select("o_orderkey", F.year("o_orderdate").cast("long").alias("year")).where(F.col("year").between(1994, 1996))
+    return t.orders.select("o_orderkey", F.year("o_orderdate").cast("long").alias("year")).transform(M.year_range, "year", 1994, 1996)
+
+
+@query("redact_map", "select event_id, '***' as token, '***' as pwd, event_type as kind from events")
+def _(t):
+    masked = S.redacted(F.create_map(F.lit("Token"), F.lit("abc"), F.lit("kind"), F.col("event_type"), F.lit("PWD"), F.lit("x")))
+    return t.events.select("event_id", masked.alias("m")).select("event_id", F.col("m")["Token"].alias("token"), F.col("m")["PWD"].alias("pwd"), F.col("m")["kind"].alias("kind"))
 
 
-@query("redact_map", "select event_id, '***' as token, event_type as kind from events")
+@query("redact_nested", "select event_id, '***' as access_token, '***' as refresh_token, event_type as kind, '***' as model_api_key, user_id as id from events")
 def _(t):
-    masked = S.redacted(F.create_map(F.lit("Token"), F.lit("abc"), F.lit("kind"), F.col("event_type")))
-    return t.events.select("event_id", masked.alias("m")).select("event_id", F.col("m")["Token"].alias("token"), F.col("m")["kind"].alias("kind"))
+    deep = F.struct(F.col("event_type").alias("access_token"), F.array(F.struct(F.lit("r").alias("refresh_token"), F.col("event_type").alias("kind"))).alias("list"), F.struct(F.lit("k").alias("model_api_key"), F.col("user_id").alias("id")).alias("inner"))
+    masked = S.redacted_table(t.events.select("event_id", deep.alias("d")))
+    return masked.select("event_id", "d.access_token", F.col("d.list")[0]["refresh_token"].alias("refresh_token"), F.col("d.list")[0]["kind"].alias("kind"), "d.inner.model_api_key", "d.inner.id")
 
 
 # -- joins -------------------------------------------------------------------
 
-_LEFT = "(select l_orderkey, nullif(l_linenumber, 1) as k, l_quantity as v from lineitem where l_orderkey < 40)"
+_LEFT = "(select l_orderkey, nullif(l_linenumber, 1) as k, l_quantity as v from lineitem)"
 _RIGHT = "(select nullif(r_regionkey, 1) as k, r_name as v from region)"
 
 
 def _sides(t: Tables) -> dict[str, DataFrame]:
-    left = t.lineitem.where("l_orderkey < 40").select("l_orderkey", F.nullif("l_linenumber", F.lit(1)).alias("k"), F.col("l_quantity").alias("v"))
+    left = t.lineitem.select("l_orderkey", F.nullif("l_linenumber", F.lit(1)).alias("k"), F.col("l_quantity").alias("v"))
     return {"a": left, "b": t.region.select(F.nullif("r_regionkey", F.lit(1)).alias("k"), F.col("r_name").alias("v"))}
 
 
@@ -268,21 +308,6 @@ for _how, _sql, _key in (("inner", "inner", "a.k"), ("left", "left", "a.k"), ("r
     _join_query(_how, _sql, _key)
 
 
-# the same over all of lineitem, so that its hot keys meet
-_ALL_LEFT = "(select l_orderkey, nullif(l_linenumber, 1) as k, l_quantity as v from lineitem)"
-
-
-def _join_all_query(how: str, sql_how: str, key: str):
-    @query(f"join_{how}_all", f"select l_orderkey, {key} as k, a.v as v, b.v as v_right from {_ALL_LEFT} a {sql_how} join {_RIGHT} b on a.k is not distinct from b.k")
-    def _(t):
-        left = t.lineitem.select("l_orderkey", F.nullif("l_linenumber", F.lit(1)).alias("k"), F.col("l_quantity").alias("v"))
-        return run(C.Join("a", "b", "k", how), t.region, {**_sides(t), "a": left})
-
-
-for _how, _sql, _key in (("inner", "inner", "a.k"), ("left", "left", "a.k"), ("right", "right", "b.k"), ("outer", "full", "coalesce(a.k, b.k)")):
-    _join_all_query(_how, _sql, _key)
-
-
 @query("join_multi_key", "select a.l_orderkey, a.l_linenumber, a.l_quantity, b.l_quantity as l_quantity_right from lineitem a join (select * from lineitem where l_quantity > 25) b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber")
 def _(t):
     cols = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity")
@@ -345,13 +370,14 @@ def _(t):
 
 @query("profile", f"select 'status' as name, 'string' as kind, count(*) - count(status) as nulls, count(distinct status) as distinct_values from {HOLES} union all select 'price', 'float', count(*) - count(price), count(distinct price) from {HOLES}")
 def _(t):
-    p = P.profile(_holes(t).select("status", "price"))
+    p = P.profile(_holes(t).select("status", "price"), exact=True)
     return t.spark.createDataFrame([(c.name, c.kind, c.nulls, c.distinct) for c in p.columns], "name string, kind string, nulls long, distinct_values long")
 
 
 @query("distinct_counts", "select count(distinct lang) as lang, count(distinct source) as source, count(distinct text) as text from documents")
 def _(t):
-    return t.documents.agg(*[F.count_distinct(c).alias(c) for c in ("lang", "source", "text")])
+    found = {c.name: c.distinct for c in P.profile(t.documents.select("lang", "source", "text"), exact=True).columns}
+    return t.spark.createDataFrame([tuple(found.values())], ", ".join(f"{c} long" for c in found))
 
 
 @query("null_profile", f"select round(avg(case when status is null then 1.0 else 0.0 end), 6) as status, round(avg(case when price is null then 1.0 else 0.0 end), 6) as price from {HOLES}")
@@ -382,18 +408,49 @@ def _(t):
     return t.spark.createDataFrame([(x["issue"], x["column"]) for x in found], "issue string, `column` string")
 
 
-@query("semantic_roles", "select * from (values ('event_id', 'id'), ('ts', 'time'), ('user_id', 'measure'), ('event_type', 'dimension'), ('value', 'measure'), ('props', 'dimension')) as t(name, role)")
+_ROLES = {"id": "o_orderkey", "uuid": "o_custkey", "update_count": "o_custkey", "birthday": "o_orderstatus", "seen": "o_orderdate", "price": "o_totalprice", "status": "o_orderstatus"}
+
+
+@query(
+    "semantic_roles",
+    " union all ".join(
+        f"select '{name}' as name, case when any_value(typeof({c})) like 'TIMESTAMP%' or regexp_matches('{name}', 'date|time|year|month|day|quarter') then 'time' when '{name}' in ('id', '_id', 'pk', 'primary_key', 'key', 'uuid') and count(distinct {c}) = count(*) then 'id' when any_value(typeof({c})) in ('BIGINT', 'DOUBLE') then 'measure' else 'dimension' end as role from orders"
+        for name, c in _ROLES.items()
+    ),
+)
+def _(t):
+    named = t.orders.select(*[F.col(c).alias(n) for n, c in _ROLES.items()])
+    return t.spark.createDataFrame(list(P.semantic_hints(P.profile(named))["roles"].items()), "name string, role string")
+
+
+@query("semantic_patterns", "select unnest(['time_series', 'categorical_comparison', 'multi_measure']) as pattern")
+def _(t):
+    hints = P.semantic_hints(P.profile(t.orders))
+    return t.spark.createDataFrame([(x,) for x in hints["patterns"]], "pattern string")
+
+
+@query("mixed_columns", "select unnest(['v', 'tags']) as name")
+def _(t):
+    text = F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string")).otherwise(F.col("event_type"))
+    p = P.profile(t.events.select("event_id", text.alias("v"), F.col("user_id").cast("string").alias("n"), F.array("event_type").alias("tags")))
+    return t.spark.createDataFrame([(c.name,) for c in p.columns if P.mixed(c.kinds)], "name string")
+
+
+@query("row_total", "select (select count(*) from orders) + (select count(*) from part) + (select count(*) from nation) as n")
 def _(t):
-    return t.spark.createDataFrame(list(P.semantic_hints(P.profile(t.events))["roles"].items()), "name string, role string")
+    return t.spark.createDataFrame([(P.row_total({"a": t.orders, "b": t.part, "c": t.nation}),)], "n long")
 
 
-@query("sample_values", "select lang, string_agg(cast(doc_id as varchar), ',' order by doc_id) as firsts from (select lang, doc_id, row_number() over (partition by lang order by doc_id) as rn from documents) where rn <= 5 group by lang")
+@query("profile_text", "select 'rows: ' || cast(count(*) as varchar) as line from nation union all select 'columns: 3' union all select '  duplicate rate: 0.0%'")
 def _(t):
-    from pyspark.sql import Window
+    lines = P.profile_text(P.profile(t.nation), "nation").split("\n")
+    return t.spark.createDataFrame([(x,) for x in lines if x.startswith(("rows:", "columns: ", "  duplicate"))], "line string")
+
 
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    few = t.documents.select("lang", "doc_id").withColumn("nth", nth).where("nth <= 5")
-    return few.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("firsts"))
+@query("sample_values", "with e as (select event_id, case when event_id % 97 = 96 then event_type end as rare, user_id from events) select 'rare' as name, string_agg(rare, ',' order by event_id) as firsts from (select * from e where rare is not null order by event_id limit 5) union all select 'user_id', string_agg(cast(user_id as varchar), ',' order by event_id) from (select * from e where user_id is not null order by event_id limit 5)")
+def _(t):
+    rows = t.events.select(F.col("event_id").alias(ORDER), F.when(F.col("event_id") % 97 == 96, F.col("event_type")).alias("rare"), "user_id")
+    return t.spark.createDataFrame([(c.name, ",".join(c.samples)) for c in P.profile(rows).columns], "name string, firsts string")
 
 
 @query("box_summary", "select o_orderstatus, quantile_cont(o_totalprice, 0.0) as low, round(quantile_cont(o_totalprice, 0.25), 4) as q1, round(quantile_cont(o_totalprice, 0.5), 4) as median, round(quantile_cont(o_totalprice, 0.75), 4) as q3, quantile_cont(o_totalprice, 1.0) as high from orders group by o_orderstatus")
@@ -472,8 +529,70 @@ def _(t):
 @query("scan_json", "select r_regionkey as key, r_name as names_name from region")
 def _(t):
     path = _scratch(t, "json")
-    t.region.select(F.col("r_regionkey").alias("key"), F.struct(F.col("r_name").alias("name")).alias("names")).coalesce(1).write.json(path)
-    return H.flatten(I.read_jsonl(t.spark, path, "key int, names struct<name:string>"))
+    rows = t.region.select(F.struct(F.col("r_regionkey").alias("key"), F.struct(F.col("r_name").alias("name")).alias("names")).alias("e"))
+    rows.agg(F.to_json(F.struct(F.collect_list("e").alias("rows"))).alias("value")).coalesce(1).write.text(path)
+    return H.flatten(I.read_json(t.spark, path)).drop("_jsonl_row_idx").withColumn("key", F.col("key").cast("int"))
+
+
+@query("scan_jsonl", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def _(t):
+    path = _scratch(t, "jsonl")
+    t.events.select(F.concat(F.lit('{"event_id": '), "event_id", F.lit(', "p": '), "props", F.lit("}\n"))).write.text(path)
+    return I.read_jsonl(t.spark, path).select("event_id", "p.k")
+
+
+@query("bad_json_lines", "select event_id + 1 as line from events where event_id % 100 = 7")
+def _(t):
+    path = _scratch(t, "bad")
+    text = F.when(F.col("event_id") % 100 == 7, F.lit("{bad")).otherwise(F.col("props"))
+    t.events.coalesce(1).sortWithinPartitions("event_id").select(text).write.text(path)
+    return I.bad_lines(t.spark, path).select("line")
+
+
+@query("scan_csv_separators", "select n_nationkey, n_name, 1 as kind from nation union all select n_nationkey, n_name, 2 from nation union all select n_nationkey, n_name, 3 from nation")
+def _(t):
+    parts = []
+    for i, sep in enumerate((",", "\t", ";"), 1):
+        path = _scratch(t, "csv")
+        t.nation.select("n_nationkey", "n_name").write.option("header", True).option("sep", sep).csv(path)
+        parts.append(I.read_csv(t.spark, path).withColumn("kind", F.lit(i)))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("scan_csv_encoding", "select p_partkey, p_name || '月份' as name from part")
+def _(t):
+    path = _scratch(t, "gbk")
+    t.part.select("p_partkey", F.concat("p_name", F.lit("月份")).alias("name")).write.option("header", True).option("encoding", "gbk").csv(path)
+    return I.read_csv(t.spark, path).withColumn("p_partkey", F.col("p_partkey").cast("long"))
+
+
+@query("scan_markdown", "select n_name || chr(10) as text from nation")
+def _(t):
+    path = _scratch(t, "md")
+    fs = t.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    for r in t.nation.collect():  # 25 small files
+        out = fs.create(t.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/a/{r.n_nationkey}.md"))
+        out.write(bytearray((r.n_name + "\n").encode()))
+        out.close()
+    return I.read_markdown(t.spark, path).select("text")
+
+
+@query("scan_files", "select n_nationkey as id, n_name as name, 'nations' as source_file from nation union all select r_regionkey, r_name, 'regions' from region")
+def _(t):
+    root = _scratch(t, "files")
+    t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).write.option("header", True).csv(f"{root}/nations.csv")
+    t.region.select(F.col("r_name").alias("Name"), F.col("r_regionkey").alias("ID")).write.option("header", True).csv(f"{root}/regions.csv")
+    return default_registry().read(t.spark, Request(paths=(f"{root}/nations.csv", f"{root}/regions.csv")))["union"]
+
+
+@query("event_log", "select event_id, '***' as token, event_type as kind from events")
+def _(t):
+    path = _scratch(t, "log")
+    half = F.col("event_id") % 2 == 0
+    rows = t.events.select("event_id", F.lit("abc").alias("token"), F.struct(F.col("event_type").alias("kind"), F.lit("p").alias("password")).alias("detail"))
+    K.append_events(rows.where(half), path)
+    K.append_events(rows.where(~half), path)
+    return t.spark.read.json(path).where("detail.password = '***'").select("event_id", "token", "detail.kind")
 
 
 @query("save_and_replace", "select r_regionkey, upper(r_name) as r_name from region where r_regionkey > 0")
@@ -500,15 +619,20 @@ def _(t):
     return M.macro_table(t.spark, rows, "year int, quarter int, value int", 2021, 2022)
 
 
-@query("indicator_rows", "select * from (values ('A', 2020, 1.5), ('A', 2022, 2.5)) as t(country, year, value)")
+@query("indicator_rows", "select year(o_orderdate)::int as year, 'C' || cast(o_custkey as varchar) as country_code, 'N' as country, case o_orderstatus when 'F' then 'NY.GDP.ZG' when 'O' then 'SP.POP' else 'SE.ZS' end as indicator_code, 'name' as indicator_name, o_totalprice as value, case o_orderstatus when 'F' then 'USD' when 'O' then 'people' else '%' end as unit, 'test' as source from orders where o_orderkey % 3 <> 0")
 def _(t):
-    records = '[{"country":{"id":"A"},"date":"2022","value":2.5},{"country":{"id":"A"},"date":"2021","value":null},{"country":{"id":"A"},"date":"2020","value":1.5}]'
-    return M.indicator_rows(t.spark.createDataFrame([(records,)], "body string"), "body").withColumn("value", F.col("value").cast("decimal(2,1)"))
+    code = F.when(F.col("o_orderstatus") == "F", "NY.GDP.ZG").when(F.col("o_orderstatus") == "O", "SP.POP").otherwise("SE.ZS")
+    value = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))
+    record = F.struct(F.concat(F.lit("C"), "o_custkey").alias("countryiso3code"), F.struct(F.lit("x").alias("id"), F.lit("N").alias("value")).alias("country"), F.struct(code.alias("id"), F.lit("name").alias("value")).alias("indicator"), F.year("o_orderdate").cast("string").alias("date"), value.alias("value"))
+    bodies = t.orders.groupBy("o_custkey").agg(F.to_json(F.collect_list(record)).alias("body"))
+    return M.indicator_rows(bodies, "body", "test")
 
 
-@query("scan_jsonl", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+@query("by_indicator", "select o_orderstatus as code, count(*) as n from orders where o_orderstatus in ('F', 'O') group by 1")
 def _(t):
-    return t.events.select("event_id", F.from_json("props", "k long").alias("p")).select("event_id", "p.k")
+    parts = V.by_indicator(t.orders, ["F", "O"], "o_orderstatus")
+    each = [df.agg(F.lit(c).alias("code"), F.count("*").alias("n")) for c, df in parts.items()]
+    return each[0].union(each[1])
 
 
 @query("json_flatten", "select event_id, event_type as e_kind, value as e_detail_value from events")
@@ -536,13 +660,32 @@ def _(t):
 
 @query("keyword_search", "select p_partkey, p_name from part where contains(lower(p_name), 'e') order by p_name, p_partkey limit 20")
 def _(t):
-    return t.part.select("p_partkey", "p_name").where(F.contains(F.lower("p_name"), F.lit("e"))).orderBy("p_name", "p_partkey").limit(20)
+    return D.search(t.part.select("p_partkey", "p_name"), "p_name", "E", 20)
+
+
+@query("introspect", "select 'nation' as table_name, n as rows, unnest(['n_nationkey', 'n_name', 'n_regionkey']) as name, unnest(['int', 'string', 'int']) as type, unnest([true, false, false]) as primary_key, unnest([null, null, 'region.r_regionkey']) as foreign_key, unnest([false, true, true]) as nullable from (select count(*) as n from nation)")
+def _(t):
+    keys = {"nation": {"primary": ["n_nationkey"], "required": ["n_nationkey"], "foreign": {"n_regionkey": "region.r_regionkey"}}}
+    found = D.introspect({"nation": t.nation}, keys)
+    rows = [(x["table"], x["rows"], c["name"], c["type"], c["primary_key"], c["foreign_key"], c["nullable"]) for x in found for c in x["columns"]]
+    return t.spark.createDataFrame(rows, "table_name string, rows long, name string, type string, primary_key boolean, foreign_key string, nullable boolean")
+
+
+@query("schema_text", "select '- ' || name || ' (' || cast(n as varchar) || ' rows)' as line from (select 'region' as name, count(*) as n from region union all select 'part', count(*) from part)")
+def _(t):
+    text = P.schema_text(D.introspect({"region": t.region, "part": t.part}))
+    return t.spark.createDataFrame([(x,) for x in text.split("\n") if x.startswith("-")], "line string")
 
 
-@query("introspect", "select 'region' as table_name, count(*) as n from region union all select 'nation', count(*) from nation union all select 'part', count(*) from part")
+@query("join_detect", "select 'n_nationkey' as key")
 def _(t):
-    found = D.introspect({n: getattr(t, n) for n in ("region", "nation", "part")}, samples=0)
-    return t.spark.createDataFrame([(x["table"], x["rows"]) for x in found], "table_name string, n long")
+    right = t.supplier.select(F.col("s_nationkey").alias("n_nationkey"), F.lit("none").alias("n_name"))
+    return t.spark.createDataFrame([(J.detect_join(t.nation, right)[0],)], "key string")
+
+
+@query("head_sample", "select count(*) as n from (select * from orders limit 10)")
+def _(t):
+    return RuleEngine().dry_run("nodes: {a: {operator: AddFields, fields: {twice: \"row['o_totalprice'] * 2\"}}}", t.orders).df.agg(F.count("*").alias("n"))
 
 
 # -- functions ---------------------------------------------------------------
@@ -580,6 +723,30 @@ def _(t):
     return t.documents.select("doc_id", S.fenced(text).alias("code"))
 
 
+@query("extract_json", "select doc_id, '{\"lang\": \"' || lang || '\"}' as j, 'a: ' || lang as y from documents")
+def _(t):
+    body = F.concat(F.lit('{"lang": "'), "lang", F.lit('"}'))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("so:\n```json\n"), body, F.lit("\n```\n"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("well, "), body, F.lit(" it is"))).otherwise(body)
+    yaml = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x\n```yml\na: "), "lang", F.lit("\n```"))).otherwise(F.concat(F.lit("a: "), "lang"))
+    return t.documents.select("doc_id", S.json_object(text).alias("j"), S.yaml_block(yaml).alias("y"))
+
+
+@query("comma_float", "select o_orderkey, floor(o_totalprice) as price from orders")
+def _(t):
+    text = t.orders.select("o_orderkey", F.format_number(F.floor("o_totalprice"), 0).alias("text"))
+    return run(C.AddFields({"price": "float(str(row['text']).replace(',', ''))"}), text).drop("text")
+
+
+@query("safe_text", f"select o_orderkey, coalesce(status, 'null') as status from {HOLES}")
+def _(t):
+    return _holes(t).select("o_orderkey", S.safe_text(F.col("status")).alias("status"))
+
+
+@query("page_range", "select unnest([1, 3, 5, 6, 7]) as page")
+def _(t):
+    return t.spark.createDataFrame([(x,) for x in S.page_range("1,3,5-9", 7)], "page int")
+
+
 @query("floor_modulo", "select l_linenumber, cast(floor((l_linenumber - 4) / 3.0) as bigint) as d, (((l_linenumber - 4) % 3) + 3) % 3 as m from lineitem")
 def _(t):
     rows = t.lineitem.select("l_linenumber")
@@ -657,29 +824,29 @@ def _(t):
     return R.recursive_chunks(t.documents, "doc_id", "text")
 
 
-@query("knn_topk", "select vec_id, round(list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 0)), 6) as similarity from embeddings order by list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 0)) desc, vec_id limit 5")
+@query("knn_topk", "with q as (select vec_id as query_vec_id, cast(embedding as double[]) as e from embeddings where vec_id % 50 = 0), s as (select query_vec_id, vec_id, list_cosine_similarity(cast(embedding as double[]), e) as s from embeddings, q), r as (select *, row_number() over (partition by query_vec_id order by s desc nulls last, vec_id) as rn from s) select query_vec_id, vec_id, round(s, 6) as similarity from r where rn <= 5")
 def _(t):
-    first = t.embeddings.where("vec_id = 0").first().embedding
-    return R.nearest(t.embeddings, "vec_id", "embedding", first, 5).withColumn("similarity", F.round("similarity", 6))
+    return R.nearest(t.embeddings, "vec_id", "embedding", t.embeddings.where("vec_id % 50 = 0"), 5).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("knn_topk_each", "with q as (select vec_id as query_vec_id, cast(embedding as double[]) as e from embeddings where vec_id % 50 = 0), s as (select query_vec_id, vec_id, list_cosine_similarity(cast(embedding as double[]), e) as s from embeddings, q), r as (select *, row_number() over (partition by query_vec_id order by s desc nulls last, vec_id) as rn from s) select query_vec_id, vec_id, round(s, 6) as similarity from r where rn <= 5")
+@query("series_compare", "with y as (select cast(year(o_orderdate) as bigint) as x, sum(o_totalprice) filter (where o_orderstatus = 'F') as f, sum(o_totalprice) filter (where o_orderstatus = 'O') as o from orders group by 1), m as (select max(greatest(coalesce(f, 0), coalesce(o, 0))) as top from y), u as (select case when top >= 1e12 then 1e12 when top >= 1e8 then 1e8 when top >= 1e4 then 1e4 else 1.0 end as size, case when top >= 1e12 then 'trillion' when top >= 1e8 then 'hundred million' when top >= 1e4 then 'ten thousand' else '' end as unit from m) select x, round(f / size, 4) as \"F\", round(o / size, 4) as \"O\", unit from y, u where f is not null or o is not null")
 def _(t):
-    return R.nearest(t.embeddings, "vec_id", "embedding", t.embeddings.where("vec_id % 50 = 0"), 5).withColumn("similarity", F.round("similarity", 6))
+    years = t.orders.groupBy(F.year("o_orderdate").cast("long").alias("x"), "o_orderstatus").agg(F.sum("o_totalprice").alias("y"))
+    out = V.compared_series({s: years.where(F.col("o_orderstatus") == s) for s in ("F", "O")}, "x", "y")
+    return out.select("x", F.round("F", 4).alias("F"), F.round("O", 4).alias("O"), "unit")
 
 
-@query("pie_pairs", "select c_mktsegment as name, count(*) as value from customer group by 1")
+@query("chart_types", "select unnest(['Line', 'Sankey']) as name")
 def _(t):
-    return V.pairs(t.customer.withColumn("n", F.lit(1).cast("long")), "c_mktsegment", "n")
+    return t.spark.createDataFrame([(V.chart_type(x),) for x in ("line", " SANKEY ")], "name string")
 
 
-@query("xy_series", "with y as (select cast(year(o_orderdate) as bigint) as x, count(*) as n from orders where year(o_orderdate) < 1995 group by 1), m as (select max(n) as top from y) select x, round(n / case when top >= 1e12 then 1e12 when top >= 1e8 then 1e8 when top >= 1e4 then 1e4 else 1.0 end, 6) as y, case when top >= 1e12 then 'trillion' when top >= 1e8 then 'hundred million' when top >= 1e4 then 'ten thousand' else '' end as unit from y, m")
+@query("pie_pairs", "select c_mktsegment as name, count(*) as value from customer group by 1")
 def _(t):
-    years = t.orders.where(F.year("o_orderdate") < 1995).groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count("*").alias("value"))
-    return V.xy_series(years, *V.pick_axes(years)).withColumn("y", F.round("y", 6))
+    return V.pairs(t.customer.withColumn("n", F.lit(1).cast("long")), "c_mktsegment", "n")
 
 
-@query("xy_series_all", "with y as (select cast(year(o_orderdate) as bigint) as x, count(*) as n from orders group by 1), m as (select max(n) as top from y) select x, round(n / case when top >= 1e12 then 1e12 when top >= 1e8 then 1e8 when top >= 1e4 then 1e4 else 1.0 end, 6) as y, case when top >= 1e12 then 'trillion' when top >= 1e8 then 'hundred million' when top >= 1e4 then 'ten thousand' else '' end as unit from y, m")
+@query("xy_series", "with y as (select cast(year(o_orderdate) as bigint) as x, count(*) as n from orders group by 1), m as (select max(n) as top from y) select x, round(n / case when top >= 1e12 then 1e12 when top >= 1e8 then 1e8 when top >= 1e4 then 1e4 else 1.0 end, 6) as y, case when top >= 1e12 then 'trillion' when top >= 1e8 then 'hundred million' when top >= 1e4 then 'ten thousand' else '' end as unit from y, m")
 def _(t):
     years = t.orders.groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count("*").alias("value"))
     return V.xy_series(years, *V.pick_axes(years)).withColumn("y", F.round("y", 6))
@@ -695,9 +862,12 @@ def _(t):
     return L.microcompact(t.conversations, 40).select("conv_id", "turn", "text")
 
 
-@query("snip_history", "select conv_id, turn from (select *, count(*) over (partition by conv_id) as c, count(*) filter (where role <> 'system') over (partition by conv_id) as n, row_number() over (partition by conv_id, role <> 'system' order by turn desc) as rn from conversations) where c <= 2 or role = 'system' or rn <= greatest(1, floor(n * 0.5))")
+@query(
+    "snip_history",
+    "with r as (select *, count(*) over (partition by conv_id) as c, count(*) filter (where role <> 'system') over (partition by conv_id) as n, row_number() over (partition by conv_id, role <> 'system' order by turn desc) as rn from conversations), k as (select *, greatest(1, floor(n * 0.5)) as keep from r) select conv_id, turn, role, text from k where c <= 2 or role = 'system' or rn <= keep union all select conv_id, turn, 'system', '[snipped] ' || cast(cast(n - keep as bigint) as varchar) || ' earlier turns left out' from k where c > 2 and role <> 'system' and rn = keep + 1",
+)
 def _(t):
-    return L.snip(t.conversations).select("conv_id", "turn")
+    return L.snip(t.conversations).select("conv_id", "turn", "role", "text")
 
 
 @query("budget_flag", "select conv_id, turn, used, case when used >= 180 then 'budget_exceeded' when rn >= 3 and mx < 60 then 'diminishing' else 'ok' end as flag from (select *, cast(sum(tokens) over (partition by conv_id order by turn) as bigint) as used, max(tokens) over (partition by conv_id order by turn rows between 2 preceding and current row) as mx, row_number() over (partition by conv_id order by turn) as rn from (select conv_id, turn, greatest(1, length(text) // 3) + 4 as tokens from conversations))")

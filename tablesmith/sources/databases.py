@@ -116,12 +116,32 @@ def query_set(spark: SparkSession, mode: str = "auto", query: str | None = None,
     return out
 
 
-def introspect(tables: dict[str, DataFrame], keys: dict[str, str] | None = None, samples: int = 3) -> list[dict]:
-    """Columns, types, rows and sample rows of each table; keys has declared primary keys."""
-    return [
-        {"table": n, "columns": [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields], "primary_key": (keys or {}).get(n), "rows": df.count(), "samples": [r.asDict() for r in df.limit(samples).collect()]}
-        for n, df in tables.items()
-    ]
+def introspect(tables: dict[str, DataFrame], keys: dict[str, dict] | None = None, samples: int = 3) -> list[dict]:
+    """Columns (name, type, nullable, primary_key, foreign_key), rows and sample rows of each table. keys has what Spark
+    does not know: table -> {"primary": [columns], "foreign": {column: "table.column"}, "required": [columns]}."""
+    out = []
+    for name, df in tables.items():
+        known = (keys or {}).get(name, {})
+        columns = [
+            {"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable and f.name not in known.get("required", ()), "primary_key": f.name in known.get("primary", ()), "foreign_key": known.get("foreign", {}).get(f.name)}
+            for f in df.schema.fields
+        ]
+        out.append({"table": name, "columns": columns, "rows": df.count(), "samples": [r.asDict() for r in df.limit(samples).collect()]})
+    return out
+
+
+def sqlite_keys(path: str) -> dict[str, dict]:
+    """Primary and foreign keys and required columns of all tables of a SQLite file, as `introspect` takes them."""
+    import sqlite3
+
+    out = {}
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        for (table,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name").fetchall():
+            quoted = table.replace('"', '""')
+            info = db.execute(f'PRAGMA table_info("{quoted}")').fetchall()
+            links = db.execute(f'PRAGMA foreign_key_list("{quoted}")').fetchall()
+            out[table] = {"primary": [r[1] for r in sorted(info, key=lambda r: r[5]) if r[5]], "required": [r[1] for r in info if r[3]], "foreign": {r[3]: f"{r[2]}.{r[4] or 'rowid'}" for r in links}}
+    return out
 
 
 def jdbc_url(kind: str, host: str, database: str, port: int | None = None) -> str:
@@ -236,8 +256,8 @@ def register_sqlite(spark: SparkSession) -> None:
 
 
 def search(df: DataFrame, column: str, keyword: str, most: int = 20) -> DataFrame:
-    """Rows whose column holds the keyword, whatever the letter case."""
-    return df.where(F.contains(F.lower(column), F.lit(keyword.lower()))).orderBy(column).limit(most)
+    """Rows whose column holds the keyword, whatever the letter case: the first by that column, then by all others."""
+    return df.where(F.contains(F.lower(column), F.lit(keyword.lower()))).orderBy(column, *[c for c in df.columns if c != column]).limit(most)
 
 
 def resolve_keyword(keyword: str, aliases: dict[str, str]) -> str | None:

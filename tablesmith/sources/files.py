@@ -1,45 +1,94 @@
 """File scans: CSV with encoding and separator sniffing, JSON and JSON lines,
 Parquet, Excel, zipped folders, Markdown trees. The readers are Spark's; the
-driver looks at the first bytes of a file only, through Spark as well, so any
-store that Spark reads will do."""
+driver looks at the first bytes of a file only, through Hadoop's file systems, so
+any store that Spark reads will do."""
 
 from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesmith.functions.scalars import null_nans
 from tablesmith.operators.cleaning import ORDER
-from tablesmith.session import package_on_workers
+from tablesmith.session import package_on_workers, shared_dir
+from tablesmith.sources.shaping import fuzzy_union
 
 ENCODINGS = ("utf-8", "gbk", "gb2312", "gb18030", "latin1")
 SEPARATORS = (",", "\t", ";")
-#: Bytes of a file that the sniffers read.
+#: Bytes of a file in which its first line is looked for.
 HEAD_BYTES = 1 << 16
 
 
+def first_file(spark: SparkSession, path: str) -> str | None:
+    """The first data file of a path, which may be a folder or a pattern."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(fs.globStatus(root) or [], key=lambda x: x.getPath().toString())
+    while found:
+        status = found.pop(0)
+        if not status.isDirectory():
+            return status.getPath().toString()
+        inside = [x for x in fs.listStatus(status.getPath()) if not x.getPath().getName().startswith(("_", "."))]
+        found = sorted(inside, key=lambda x: x.getPath().toString()) + found
+    return None
+
+
 def head_bytes(spark: SparkSession, path: str, most: int = HEAD_BYTES) -> bytes:
-    part = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, most).alias("h")).first()
-    return bytes(part.h) if part else b""
+    """The first bytes of the first file, read as a range."""
+    name = first_file(spark, path)
+    if name is None:
+        return b""
+    file = spark._jvm.org.apache.hadoop.fs.Path(name)
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+    try:
+        return bytes(stream.readNBytes(most))
+    finally:
+        stream.close()
+
+
+def _decodes(data: bytes, name: str) -> bool:
+    try:
+        data.decode(name)
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def sniff_encoding(head: bytes) -> str:
     """The first encoding that decodes the bytes; the last few may be cut off."""
-    for name in ENCODINGS:
-        for cut in range(4):
-            try:
-                head[: len(head) - cut].decode(name)
-            except UnicodeDecodeError:
-                continue
-            return name
-    return "utf-8"
+    return next((name for name in ENCODINGS for cut in range(4) if _decodes(head[: len(head) - cut], name)), "utf-8")
+
+
+def find_encoding(spark: SparkSession, path: str) -> str:
+    """The first encoding that decodes every line of the whole input. Valid UTF-8 is found by one scan in the JVM; only
+    other files are decoded line by line for the rest."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    if lines.where(~F.is_valid_utf8("value")).isEmpty():
+        return "utf-8"
+    others = ENCODINGS[1:]
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        failed: set[str] = set()
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                failed |= {n for n in others if n not in failed and not _decodes(data, n)}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(failed), pa.string())], ["name"])
+
+    package_on_workers(spark)
+    failed = {r.name for r in lines.select(F.col("value").cast("binary")).mapInArrow(run, "name string").distinct().collect()}
+    return next(n for n in others if n not in failed)  # the last one decodes anything
 
 
 def sniff_separator(line: str) -> str:
@@ -47,19 +96,21 @@ def sniff_separator(line: str) -> str:
     return next((s for s in SEPARATORS if counts[s] == max(counts.values()) > 0), ",")
 
 
-def with_order(df: DataFrame) -> DataFrame:
-    """Adds the hidden input order of a file scan. Single-partition row numbers
-    are not needed: file name and place in the file order the rows."""
+def with_order(df: DataFrame, parquet: bool = False) -> DataFrame:
+    """Adds the hidden input order of a file scan. Parquet scans give file and row themselves, so filters still reach them;
+    others are numbered by partition."""
+    if parquet:
+        return df.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(ORDER))
     return df.withColumn(ORDER, F.monotonically_increasing_id())
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
-    """With a schema the file is read once; without, Spark infers one."""
-    if encoding is None or separator is None:
-        head = head_bytes(spark, path)
-        encoding = encoding or sniff_encoding(head)
-        separator = separator or sniff_separator(head.decode(encoding, "replace").split("\n")[0])
-    reader = spark.read.option("header", True).option("encoding", encoding).option("sep", separator).option("multiLine", encoding != "utf-8")
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """With a schema the file is read once; without, Spark infers one. An encoding that is not given is looked for in the
+    whole input. multi_line: fields may hold line breaks; such a file is read in one task."""
+    encoding = encoding or find_encoding(spark, path)
+    if separator is None:
+        separator = sniff_separator(head_bytes(spark, path).decode(encoding, "replace").split("\n")[0])
+    reader = spark.read.option("header", True).option("encoding", encoding).option("sep", separator).option("multiLine", multi_line)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
@@ -72,9 +123,12 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """One object for each line, or a list of objects; blank lines are skipped, a
-    bad line is an error that shows it."""
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """One object for each line, or a list of objects; blank lines are skipped, a bad line is an error that shows it
+    (bad_lines has its number). Without a schema Spark infers one."""
+    if schema is None:
+        found = spark.read.json(path).schema
+        schema = T.StructType([f for f in found.fields if f.name != "_corrupt_record"])
     lines = spark.read.text(path).where(F.trim("value") != "")
     shape = schema if isinstance(schema, str) else schema.simpleString()
     shape = shape if shape.startswith("struct<") else f"struct<{shape}>"
@@ -85,9 +139,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return lines.select(F.inline(checked))
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of all lines that are no JSON. Lines are counted by partition first, so that only bad ones move."""
+    numbered = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"), "value")
+    bad = (F.trim("value") != "") & F.try_parse_json("value").isNull()
+    first = numbered.groupBy("file", "part").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = first.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    met = numbered.where(bad).join(before, ["file", "part"])
+    return met.select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), F.col("value").alias("text")).orderBy("file", "line")
+
+
 def read_text_head(spark: SparkSession, path: str, lines: int = 100) -> list[str]:
-    head = head_bytes(spark, path)
-    return head.decode(sniff_encoding(head), "replace").splitlines()[:lines]
+    """The first lines of the first file, whatever their length."""
+    name = first_file(spark, path)
+    found = [] if name is None else [bytes(r.v).removesuffix(b"\r") for r in spark.read.option("lineSep", "\n").text(name).select(F.col("value").cast("binary").alias("v")).limit(lines).collect()]
+    encoding = sniff_encoding(b"\n".join(found))
+    return [x.decode(encoding, "replace") for x in found]
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
@@ -122,22 +189,29 @@ def _sheet_rows(data: bytes) -> list[list[str | None]]:
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of each workbook, first row as header, all columns as text
-    (promote_numeric gives numbers back). A file is parsed in one task."""
+    """The first sheet of each workbook, its first row as header, all columns as text (promote_numeric gives numbers back).
+    Workbooks with other headers add their columns. A file is parsed in one task."""
 
     def run(batches: Iterator):
         import pyarrow as pa
 
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for data in batch.column("content").to_pylist():
                 rows = _sheet_rows(data)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], ["path", "n", "cells"])
+                names = _header(rows[0]) if rows else []
+                cells = [(r + [None] * len(names))[: len(names)] for r in rows[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array([names] * max(1, len(cells)), pa.list_(pa.string())), pa.array(cells or [None], pa.list_(pa.string()))], ["names", "cells"])
 
     package_on_workers(spark)
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, n int, cells array<string>")
-    head = raw.where("n = 0").orderBy("path").first()
-    names = [str(c or f"col_{i}") for i, c in enumerate(head.cells)]
-    return raw.where("n > 0").select(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(names)])
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "names array<string>, cells array<string>")
+    # one row for each different header
+    names = list(dict.fromkeys(n for r in raw.select("names").distinct().orderBy("names").collect() for n in r.names))
+    cell = lambda n: F.get("cells", (F.array_position("names", F.lit(n)) - 1).cast("int"))
+    return raw.where("cells is not null").select(*[F.when(F.array_contains("names", F.lit(n)), cell(n)).alias(n) for n in names])
+
+
+def _header(row: list[str | None]) -> list[str]:
+    return [str(c) if c not in (None, "") else f"col_{i}" for i, c in enumerate(row)]
 
 
 def read_zip(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".csv", ".xls", ".xlsx", ".json", ".parquet")) -> DataFrame:
@@ -164,6 +238,76 @@ def zipped_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (
     return [r.member for r in read_zip(spark, path, suffixes).select("member").collect()]
 
 
+def _member_lines(name: str, data: bytes) -> list[str]:
+    """A tabular member as CSV lines in UTF-8, a JSON member as one line."""
+    import csv
+    import json
+
+    kind, out = PurePosixPath(name).suffix.lower(), io.StringIO()
+    if kind == ".json":
+        return [json.dumps(json.loads(data.decode(sniff_encoding(data))), ensure_ascii=False)]
+    if kind == ".csv":
+        text = data.decode(sniff_encoding(data)).removeprefix("\ufeff")
+        rows = csv.reader(io.StringIO(text, newline=""), delimiter=sniff_separator(text.split("\n")[0]))
+    elif kind == ".parquet":
+        import pyarrow.parquet as pq
+
+        table = pq.read_table(io.BytesIO(data))
+        rows = [table.column_names, *zip(*[c.to_pylist() for c in table.columns], strict=True)]
+    elif kind in (".xlsx", ".xlsm"):
+        rows = _sheet_rows(data)
+        rows = [_header(rows[0]), *rows[1:]] if rows else []
+    else:
+        raise ValueError(f"no reader for {name}")
+    csv.writer(out, lineterminator="\n").writerows([["" if v is None else str(v).replace("\n", " ") for v in r] for r in rows if any(v not in (None, "") for v in r)])
+    return out.getvalue().splitlines()
+
+
+def read_zip_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of an archive, the one with most rows first: CSV, Excel and Parquet members as one fuzzy union, each JSON
+    member by itself. Members that can't be read are left out, unless all fail. Each is parsed in a task and written as
+    lines to the shared folder."""
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, data in zip(batch.column("member").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    lines, error = _member_lines(name, data), None
+                except Exception as e:
+                    lines, error = [None], f"{name}: {e}"
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(lines, pa.string()), pa.array([error] * len(lines), pa.string())], ["member", "line", "error"])
+
+    package_on_workers(spark)
+    place = f"{shared_dir(spark)}/zip-{uuid.uuid4().hex}"
+    read_zip(spark, path).mapInArrow(run, "member string, line string, error string").write.parquet(f"{place}/lines")
+    lines = spark.read.parquet(f"{place}/lines")
+    members = lines.where("error is null").groupBy("member").agg(F.min("line").alias("any")).select("member").orderBy("member")
+    names = [r.member for r in members.collect()]
+    if not names:
+        raise ValueError("no member could be read: " + "; ".join(r.error for r in lines.select("error").distinct().limit(5).collect()))
+    number = F.lit(-1)
+    for i, n in enumerate(names):
+        number = F.when(F.col("member") == n, i).otherwise(number)
+    # a member's lines are in one file of the table, in order
+    lines.where("error is null").select(number.alias("member"), F.col("line").alias("value")).write.partitionBy("member").text(f"{place}/text")
+    tabular: dict[str, DataFrame] = {}
+    tables: dict[str, DataFrame] = {}
+    for i, n in enumerate(names):
+        at, stem = f"{place}/text/member={i}", PurePosixPath(n).stem
+        if PurePosixPath(n).suffix.lower() == ".json":
+            tables[stem if stem not in tables else f"{stem}_{i}"] = read_json(spark, at)
+        else:
+            tabular[stem if stem not in tabular else f"{stem}_{i}"] = read_csv(spark, at, "utf-8", ",")
+    if len(tabular) > 1:
+        tables = {"union": fuzzy_union(tabular), **tables}
+    else:
+        tables = {**tabular, **tables}
+    size = {n: df.count() for n, df in tables.items()}
+    return dict(sorted(tables.items(), key=lambda x: -size[x[0]]))
+
+
 def header_row(rows: list[list[str | None]]) -> tuple[list[str], list[list[str | None]]]:
     """Tables found in pages: the first row names the columns (col_i where it is
     blank), short rows are padded; blank rows go. Fewer than two rows are no table."""
@@ -175,18 +319,27 @@ def header_row(rows: list[list[str | None]]) -> tuple[list[str], list[list[str |
     return names, [r + [None] * (width - len(r)) for r in rows[1:]]
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """By suffix; an unknown one is an error."""
+def read(spark: SparkSession, path: str, ordered: bool = True) -> DataFrame:
+    """By suffix; an unknown one is an error. NaN becomes NULL, and the hidden input order is added unless it is not wanted."""
+    df = _read(spark, path)
+    return null_nans(with_order(df, path.rstrip("/").lower().endswith(".parquet")) if ordered else df)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
     match PurePosixPath(path.rstrip("/")).suffix.lower():
         case ".csv" | ".txt" | ".tsv":
             return read_csv(spark, path)
         case ".json":
             return read_json(spark, path)
+        case ".jsonl":
+            return read_jsonl(spark, path)
         case ".parquet":
             return spark.read.parquet(path)
         case ".xlsx" | ".xlsm":
             return read_excel(spark, path)
         case ".zip":
-            return read_zip(spark, path)
+            return next(iter(read_zip_tables(spark, path).values()))
+        case ".pdf" | ".xls" as suffix:
+            raise ValueError(f"{suffix} files need a library that is not there: {path}")
         case suffix:
             raise ValueError(f"no reader for {suffix or 'files without suffix'}: {path}")

@@ -74,8 +74,10 @@ def table_names(paths: list[str] | tuple[str, ...]) -> list[str]:
 
 
 def read_files(spark: SparkSession, request: Request) -> dict[str, DataFrame]:
-    """One file by its suffix; several tabular ones as one union; others each by
-    itself. The first is the primary table."""
+    """One file by its suffix (an archive gives all its tables); several tabular ones
+    as one union; others each by itself. The first is the primary table."""
+    if len(request.paths) == 1 and request.paths[0].lower().endswith(".zip"):
+        return files.read_zip_tables(spark, request.paths[0])
     names = table_names(request.paths)
     tables = {n: files.read(spark, p) for n, p in zip(names, request.paths, strict=True)}
     if len(tables) > 1 and all(PurePosixPath(p).suffix.lower() in TABULAR for p in request.paths):

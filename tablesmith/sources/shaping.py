@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tablesmith.functions.exprs import to_float
 from tablesmith.functions.scalars import comma_float
-from tablesmith.operators.cleaning import named
+from tablesmith.operators.cleaning import ORDER, named
 
 LEAST_SIMILARITY = 0.65
 LEAST_NUMERIC, LEAST_NUMERIC_COMMAS = 0.5, 0.8
@@ -81,7 +81,8 @@ def match_columns(tables: list[list[str]], least: float = LEAST_SIMILARITY) -> t
 def fuzzy_union(tables: dict[str, DataFrame], least: float = LEAST_SIMILARITY, promote: bool = True) -> DataFrame:
     """All rows under the standard columns, with source_file; columns of one table
     that meet in one name are coalesced from left to right. Types widen to text
-    where they differ."""
+    where they differ. The tables' own input order goes."""
+    tables = {n: df.drop(ORDER) for n, df in tables.items()}
     standard, maps = match_columns([df.columns for df in tables.values()], least)
     kinds: dict[str, set[str]] = {}
     for df, mine in zip(tables.values(), maps, strict=True):

@@ -25,9 +25,9 @@ def test_joins_and_series_cover_all_rows(spark, db):
     """Every row of lineitem is joined, and every order counted."""
     rows, orders, years = (db.execute(f"select {x}").fetchone()[0] for x in ("count(*) from lineitem", "count(*) from orders", "count(distinct year(o_orderdate)) from orders"))
     known = plans.queries()
-    assert known["join_left_all"](spark, oracle.DATA).count() == rows
-    assert known["join_outer_all"](spark, oracle.DATA).where("l_orderkey is not null").count() == rows
-    series = known["xy_series_all"](spark, oracle.DATA).collect()
+    assert known["join_left"](spark, oracle.DATA).count() == rows
+    assert known["join_outer"](spark, oracle.DATA).where("l_orderkey is not null").count() == rows
+    series = known["xy_series"](spark, oracle.DATA).collect()
     assert len(series) == years
     assert round(sum(r.y for r in series)) == orders
 

@@ -41,7 +41,7 @@ def test_excel_zip_markdown(spark, tmp_path):
     with zipfile.ZipFile(book, "w") as z:
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si><si><t>n</t></si><si><t>x</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2" t="s"><v>2</v></c><c r="B2"><v>5</v></c></row><row><c r="B3"><v>6</v></c></row></sheetData></worksheet>')
-    df = shaping.promote_numeric(files.read(spark, str(book)))
+    df = shaping.promote_numeric(files.read(spark, str(book), ordered=False))
     assert [tuple(r) for r in df.collect()] == [("x", 5.0), (None, 6.0)]
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         for n in ("d/a.csv", "__MACOSX/a.csv", ".b.csv", "c.exe"):
@@ -92,11 +92,97 @@ def test_sqlite_types_and_ranges_of_all_rows(spark, tmp_path, monkeypatch):
 def test_zip_members_are_read(spark, tmp_path):
     for name in ("a", "b"):
         with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
-            z.writestr("d/x.csv", f"{name}1")
+            z.writestr("d/x.csv", f"{name}1\n5\n")
             z.writestr("__MACOSX/x.csv", "no")
     got = files.read_zip(spark, str(tmp_path / "*.zip")).collect()
-    assert sorted((r.member, bytes(r.content)) for r in got) == [("d/x.csv", b"a1"), ("d/x.csv", b"b1")]
-    assert files.read(spark, str(tmp_path / "a.zip")).count() == 1
+    assert sorted((r.member, bytes(r.content)) for r in got) == [("d/x.csv", b"a1\n5\n"), ("d/x.csv", b"b1\n5\n")]
+    assert [r.a1 for r in files.read(spark, str(tmp_path / "a.zip")).collect()] == [5]
+
+
+def test_zip_tables(spark, tmp_path):
+    """Tabular members as one union, JSON by itself, the largest first; a broken member is left out."""
+    with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
+        z.writestr("a.csv", "Name;Total\nx;1\n".encode())
+        z.writestr("b.csv", "name,totals\n一月,2\n".encode("gbk"))
+        z.writestr("c.json", '{"rows": [{"k": 1}, {"k": 2}, {"k": 3}]}')
+        z.writestr("bad.json", "{")
+    got = files.read_zip_tables(spark, str(tmp_path / "t.zip"))
+    assert list(got) == ["c", "union"]
+    assert sorted(tuple(r) for r in got["union"].collect()) == [("x", 1, "a"), ("一月", 2, "b")]
+    assert got["c"].count() == 3
+    assert list(default_registry().read(spark, Request(paths=(str(tmp_path / "t.zip"),)))) == ["c", "union"]
+    with zipfile.ZipFile(tmp_path / "u.zip", "w") as z:
+        z.writestr("bad.json", "{")
+    with pytest.raises(ValueError, match="no member could be read"):
+        files.read_zip_tables(spark, str(tmp_path / "u.zip"))
+
+
+def test_encoding_of_the_whole_file(spark, tmp_path):
+    """Bytes that are no UTF-8 after more than the first 64 KB decide the encoding; only a range is read for the head."""
+    path = tmp_path / "late.csv"
+    path.write_bytes(b"k,v\n" + b"1,plain\n" * 12_000 + "2,月份\n".encode("gbk"))
+    assert files.find_encoding(spark, str(path)) == "gbk"
+    assert files.read_csv(spark, str(path)).where("k = 2").first().v == "月份"
+    assert files.head_bytes(spark, str(path), 5) == b"k,v\n1"
+    assert files.read_text_head(spark, str(path), 2) == ["k,v", "1,plain"]
+    big = tmp_path / "big.csv"
+    with big.open("wb") as f:  # a hole of 3 GB, which takes no space
+        f.write(b"a;b\n1;2\n")
+        f.truncate(3 << 30)
+    assert files.head_bytes(spark, str(big), 3) == b"a;b"
+
+
+def test_read_adds_order_and_no_nans(spark, tmp_path):
+    from tablesmith.operators import cleaning as C
+
+    spark.sql("select id, if(id = 2, double('NaN'), double(id)) v from range(5)").coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    df = files.read(spark, str(tmp_path / "t.parquet"))
+    assert df.columns == ["id", "v", C.ORDER]
+    assert [r.id for r in C.Limit(2, 1).run(df.repartition(3))[0].collect()] == [1, 2]
+    assert df.where("v is null").count() == 1
+    plan = C.Filter(condition="row['id'] > 1 and row['id'] < 4").run(df)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,1)" in plan
+    (tmp_path / "t.jsonl").write_text('{"a": 2}\n{"a": 1}\n')
+    assert [r.a for r in C.Limit(1).run(files.read(spark, str(tmp_path / "t.jsonl")))[0].collect()] == [2]
+    for name in ("x.xls", "x.pdf"):
+        with pytest.raises(ValueError, match="library"):
+            files.read(spark, name)
+
+
+def test_excel_with_different_headers(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
+    for name, head in (("a", ("x", "y")), ("b", ("y", "z"))):
+        with zipfile.ZipFile(tmp_path / f"{name}.xlsx", "w") as z:
+            z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData><row>{cell('A1', head[0])}{cell('B1', head[1])}</row><row>{cell('A2', name + '1')}{cell('B2', name + '2')}</row></sheetData></worksheet>")
+    df = files.read_excel(spark, str(tmp_path / "*.xlsx"))
+    assert df.columns == ["x", "y", "z"]
+    assert sorted(tuple(r) for r in df.fillna("").collect()) == [("", "b1", "b2"), ("a1", "a2", "")]
+
+
+def test_sqlite_keys(spark, tmp_path):
+    path = tmp_path / "k.db"
+    with sqlite3.connect(path) as db:
+        db.execute("create table p (id integer primary key, name text not null)")
+        db.execute("create table c (id integer primary key, p_id integer references p(id))")
+    keys = D.sqlite_keys(str(path))
+    assert keys["p"] == {"primary": ["id"], "required": ["name"], "foreign": {}}
+    assert keys["c"]["foreign"] == {"p_id": "p.id"}
+    found = D.introspect({"c": spark.sql("select 1 id, 2 p_id")}, keys)[0]
+    assert P.schema_text([found]).split("\n")[1:4] == ["- c (1 rows)", "    id INT PK NOT NULL", "    p_id INT FK->p.id NOT NULL"]
+
+
+def test_arrays_and_texts(spark, tmp_path):
+    import numpy as np
+
+    arrays = {"s": np.arange(6.0).reshape(2, 3), "t": np.array([1, 2])}
+    sinks.save_arrays(spark, arrays, str(tmp_path / "arrays"))
+    got = sinks.read_arrays(spark, str(tmp_path / "arrays"))
+    assert all((got[n] == a).all() for n, a in arrays.items())
+    text = P.profile_text(P.profile(spark.sql("select 1 a, 'x' b")), "t")
+    assert "rows: 1" in text
+    assert "  row 1: {'a': 1, 'b': 'x'}" in text
+    assert P.table_text(spark.sql("select 1 a, null b"), "t").endswith("  1 | ")
 
 
 @pytest.mark.parametrize("sql", ["DROP TABLE t", "SELECT 1; SELECT 2", "INSERT INTO t SELECT 1", "WITH a AS (SELECT 1 x) INSERT INTO t SELECT * FROM a", "SET x=1", "SELECT * FROM parquet.`/tmp/x`", "SELECT reflect('java.lang.System', 'exit', 1)", "EXPLAIN DROP TABLE t", "SELECT (SELECT count(*) FROM csv.`/etc/passwd`)", "CACHE TABLE t", "TRUNCATE TABLE t"])
