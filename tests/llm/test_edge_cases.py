@@ -1,6 +1,7 @@
 """Nulls, blanks, ties, repeated rows, long texts, empty tables, clashing names."""
 
 import hashlib
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -210,8 +211,51 @@ def test_secret_patterns(spark, text):
 def test_trigram_queries():
     assert secrets.trigram_query(r"[0-9a-f]{24,}") == []
     assert secrets.trigram_query(r"AKIA[A-Z0-9]{16,}") == [{frozenset({"aki", "kia"})}]
+    assert secrets.trigram_query(r"(?:ab){2}c?\x2Dd") == [{frozenset({"aba", "bab", "abc", "bc-", "c-d"}), frozenset({"aba", "bab", "ab-", "b-d"})}]
+    assert secrets.trigram_query(r"^abc(?=xyz)\d+def$") == [{frozenset({"abc"})}, {frozenset({"def"})}]
     (clause,) = secrets.trigram_query("x?(abcd|efg)+y*")
-    assert clause >= {frozenset({"efg"}), frozenset({"abc", "bcd"})} or clause
+    assert clause == {frozenset({"abc", "bcd"}), frozenset({"xab", "abc", "bcd"}), frozenset({"efg"}), frozenset({"xef", "efg"})}
+
+
+def test_trigram_queries_hold_for_matches():
+    """A text made by a rule's regex fulfils its query."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    def held(rule):
+        query = secrets.trigram_query(rule.regex)
+
+        @settings(max_examples=40, deadline=None, database=None)
+        @given(st.from_regex(rule.regex))
+        def holds(text):
+            low = text.lower()
+            found = {low[i : i + 3] for i in range(len(low) - 2)}
+            assert all(any(s <= found for s in clause) for clause in query)
+
+        holds()
+
+    for rule in secrets.RULES:
+        held(rule)
+
+
+def test_trigram_index_is_kept(spark, edge):
+    """Other rules, more documents: postings are read again, texts only where they are candidates. Common trigrams are taken for present."""
+    schema = "doc_id long, text string"
+    docs = [(i, f"plain text number {i}") for i in range(60)] + [(100, "see zorgblat-42 here"), (101, None), (102, "zorgblat")]
+    df = spark.createDataFrame(docs, schema)
+    path = f"{common.shared_dir(spark)}/trigrams-{uuid.uuid4().hex}"
+    secrets.TrigramIndex.build(df, path)
+    rule = secrets.Rule("z", r"zorgblat-\d+")
+    index = secrets.TrigramIndex(spark, path)
+    assert index.candidates((rule,))[0].count() == 1
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.scan(df, (rule,), index).collect()}
+    assert got == {i: [(4, 15)] if i == 100 else [] for i, _ in docs}
+    index.add(spark.createDataFrame([(103, "zorgblat-7"), (100, "see zorgblat-42 here")], schema))
+    assert index.candidates((rule,))[0].count() == 2
+    common_rule = secrets.Rule("t", r"plain text number 7")
+    candidates, whole = index.candidates((common_rule, rule))
+    assert whole == [0]
+    assert {r.doc_id for r in secrets.scan(df, (common_rule, rule), index).where("size(spans) > 0").collect()} == {7, 100}
 
 
 def test_substrings(edge):
@@ -224,7 +268,7 @@ def test_substrings(edge):
 def test_fingerprint_index_over_sessions(spark, texts):
     """Batches that come one by one to an index that is opened anew each time give what one run gives; old runs are gone."""
     rows = sorted(texts.items())[:90]
-    path = f"{common.shared_dir(spark)}/index-of-a-test"
+    path = f"{common.shared_dir(spark)}/index-{uuid.uuid4().hex}"
     df = lambda part: spark.createDataFrame(part, "doc_id long, text string")
     got = {}
     for i, (low, high) in enumerate([(0, 40), (40, 70), (70, 90), (70, 90)]):  # the last batch comes twice
