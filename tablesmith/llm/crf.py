@@ -2,18 +2,26 @@
 
 Each line of a document is good or bad. A line's features are its own shape
 (character classes, word length, common and distinct words, equality with its
-neighbours) and the same features of the line before and after it. Training
-gives every line its document's label and maximizes the conditional likelihood.
-A document's score is the mean of its lines' forward-backward marginals of
-"good", weighted by their length in bytes.
-
-The model is fitted on at most TRAIN_EACH labelled documents of either label,
-those with the smallest hash of doc_id; all documents are scored.
+neighbours) and the same features of the line before and after it. The lines'
+labels are hidden: a label is known for the document alone and tells of each line
+what AGREE says. Training maximizes the likelihood of the document labels: its
+slope is the features and transitions expected under the document's label, less
+those expected without it, so that a bad document's good lines are learned as good
+ones next to bad ones. It begins with lines by themselves, as a chain that learns
+from whole documents at once never tells their lines apart. A document's score is the mean of its lines' forward-backward
+marginals of "good", weighted by their length in bytes.
+
+The model is fitted on at most TRAIN_EACH labelled documents of either label, those
+with the smallest hash of doc_id, as far as they have no more than TRAIN_LINES
+lines together, of at most TRAIN_LONGEST lines each; all documents are scored.
 
 Defined cases: a null or empty text is one empty line; blank lines count with
-weight 1; a null label is no label; without labelled documents every score is
-0.5; repeated rows are scored one by one; an empty table gives no row; other
-columns are ignored. Inputs of a score are the text alone."""
+weight 1; a null label is no label, a label that is repeated counts once, and a
+document labelled both ways is not trained on; without labelled documents every
+score is 0.5; a text of any length is scored whole, in one worker: features are
+made for BLOCK lines at a time, and what is kept takes about 80 bytes a line;
+repeated rows are scored one by one; an empty table gives no row; other columns
+are ignored. Inputs of a score are the text alone."""
 
 from __future__ import annotations
 
@@ -22,15 +30,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import Words, documents, ragged, slices, table, workers
+from tablesmith.llm.common import Words, documents, ragged, saved, slices, table, text_key, workers
 
-#: Labelled documents of either label that the model is fitted on, at most.
-TRAIN_EACH = 2000
+#: Labelled documents of either label that the model is fitted on, at most; their lines, and those of each.
+TRAIN_EACH, TRAIN_LINES, TRAIN_LONGEST = 2000, 120_000, 2000
 THRESHOLD = 0.3
-STEPS, RATE, SHRINK = 250, 0.1, 1e-5
+#: Steps that fit lines by themselves, first labelled as their document, then with hidden labels, and those that fit the chain.
+SURE_STEPS, LINE_STEPS, CHAIN_STEPS, RATE = 100, 100, 120, 0.1
+#: Weight decay of features, and of transitions, which would else tie all lines of a document together.
+SHRINK, SHRINK_TURNS = 1e-5, 0.005
+#: What a document's label tells of each of its lines, as log odds of "good": lines of a good document are good, but a bad
+#: one may have good lines too.
+AGREE = (4.0, -0.5)
+#: Lines whose features are made at once.
+BLOCK = 50_000
 
 COMMON = frozenset(
     "the of and to in a is that for was on are with as be this at by from or "
@@ -54,11 +70,14 @@ def _table() -> np.ndarray:
 FEATURES = _SHAPES + 14
 
 
-def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines, each line's weight, and each text's number of lines."""
+def text_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All lines, and each text's number of lines."""
     parts = pc.split_pattern(texts, "\n")
-    ends = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-    lines = parts.flatten()
+    return parts.flatten(), np.diff(parts.offsets.to_numpy())
+
+
+def line_features(lines: pa.Array, first: np.ndarray) -> np.ndarray:
+    """Features of consecutive lines; first: which of them begin a text. The lines at either end have no neighbour there."""
     n = len(lines)
     _, offsets, data = lines.buffers()
     at = np.frombuffer(offsets, np.int32)[lines.offset : lines.offset + n + 1]
@@ -72,8 +91,6 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pairs = np.unique(words.row * max(1, len(words.vocabulary)) + words.code) // max(1, len(words.vocabulary))
     per_word = np.maximum(words.count, 1)
     same = lines.dictionary_encode().indices.to_numpy()
-    first = np.zeros(n, bool)
-    first[ends[:-1]] = True
     repeats = np.concatenate([[False], same[1:] == same[:-1]]) & ~first
     twice = np.concatenate([[False], (words.code[1:] == words.code[:-1]) & (words.row[1:] == words.row[:-1])])[: len(words.code)]
     shares = shapes / np.maximum(size, 1)[:, None]
@@ -91,7 +108,21 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before[1:], after[:-1] = body[:-1], body[1:]
     before[first] = 0
     after[np.concatenate([first[1:], [True]])[:n]] = 0
-    return np.hstack([body, before, after]), size + 1.0, np.diff(ends)
+    return np.hstack([body, before, after])
+
+
+def line_blocks(lines: pa.Array, counts: np.ndarray) -> Iterator[np.ndarray]:
+    """Features of all lines, a block at a time; a block is made with the two lines before it and the one after it."""
+    first = np.zeros(len(lines) + 1, bool)
+    first[np.cumsum(counts) - counts] = True
+    for begin in range(0, len(lines), BLOCK):
+        a, b = max(begin - 2, 0), min(begin + BLOCK + 1, len(lines))
+        x = line_features(lines.slice(a, b - a), first[a:b])
+        yield x[begin - a : begin - a + BLOCK]
+
+
+def line_weights(lines: pa.Array) -> np.ndarray:
+    return pc.binary_length(lines).to_numpy(zero_copy_only=False) + 1.0
 
 
 def _both(a: np.ndarray) -> np.ndarray:
@@ -127,19 +158,29 @@ def marginals(good: np.ndarray, step: np.ndarray, counts: np.ndarray) -> tuple[n
     return each, moves.sum(0)
 
 
+def _share_of(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+
 def fit(x: np.ndarray, label: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transition scores by gradient ascent with adaptive steps; label: of each document."""
     weights, step = np.zeros(x.shape[1]), np.zeros((2, 2))
     if not len(counts):
         return weights, step
     truth = np.repeat(label, counts).astype(float)
-    stay = np.diag([float((counts - 1)[label == 0].sum()), float((counts - 1)[label == 1].sum())])
+    told = np.where(truth == 1, *AGREE)
     size = len(truth)
+    shrink = np.concatenate([np.full(x.shape[1], SHRINK), np.full(4, SHRINK_TURNS)])
     at = np.zeros(len(weights) + 4)
     mean, square = np.zeros_like(at), np.zeros_like(at)
-    for i in range(1, STEPS + 1):
-        p, moves = marginals(x @ weights, step, counts)
-        slope = np.concatenate([x.T @ (truth - p), (stay - moves).ravel()]) / size - SHRINK * at
+    for i in range(1, SURE_STEPS + LINE_STEPS + CHAIN_STEPS + 1):
+        good = x @ weights
+        if i <= SURE_STEPS + LINE_STEPS:  # each line by itself
+            known, p, turns = truth if i <= SURE_STEPS else _share_of(good + told), _share_of(good), np.zeros((2, 2))
+        else:
+            (known, turns), (p, moves) = marginals(good + told, step, counts), marginals(good, step, counts)
+            turns = turns - moves
+        slope = np.concatenate([x.T @ (known - p), turns.ravel()]) / size - shrink * at
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope**2
         at = at + RATE * (mean / (1 - 0.9**i)) / (np.sqrt(square / (1 - 0.99**i)) + 1e-8)
@@ -149,7 +190,8 @@ def fit(x: np.ndarray, label: np.ndarray, counts: np.ndarray) -> tuple[np.ndarra
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        x, _, counts = line_features(batch.column("text"))
+        lines, counts = text_lines(batch.column("text"))
+        x = np.vstack(list(line_blocks(lines, counts)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), ragged(x.ravel(), counts * x.shape[1], pa.float32())], ["doc_id", "quality", "x"])
 
 
@@ -157,12 +199,24 @@ def held_out(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> tuple[np.ndarray, np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> DataFrame:
+    """(doc_id, text, quality) of the documents that the model is fitted on."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out())
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     order = F.xxhash64("doc_id"), F.col("doc_id")
     some = known.where("quality = 0").orderBy(*order).limit(each).union(known.where("quality = 1").orderBy(*order).limit(each))
     # at most 2 * each rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key().alias("text_key")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id", "text_key"])
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sizes = saved(rows.select("doc_id", "text_key", n.alias("n")).where(F.col("n") <= TRAIN_LONGEST), "sizes")
+    total = F.sum("n").over(Window.orderBy(*order, "text_key"))  # over the rows of this bounded table
+    fit_in = saved(sizes.withColumn("total", total).where(F.col("total") <= TRAIN_LINES).select("doc_id", "text_key"), "fitted")
+    return rows.join(F.broadcast(fit_in), ["doc_id", "text_key"]).select("doc_id", "text", "quality")
+
+
+def train(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> tuple[np.ndarray, np.ndarray]:
+    rows = training_rows(docs, labels, each)
+    # at most TRAIN_LINES lines
     got = rows.mapInArrow(_training, "doc_id long, quality int, x array<float>").toArrow().sort_by("doc_id").combine_chunks()
     width = 3 * FEATURES
     if not len(got):
@@ -179,8 +233,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            x, weight, counts = line_features(batch.column("text"))
-            good, _ = marginals(x @ weights, step, counts)
+            lines, counts = text_lines(batch.column("text"))
+            weight = line_weights(lines)
+            good, _ = marginals(np.concatenate([x @ weights for x in line_blocks(lines, counts)]), step, counts)
             start = np.cumsum(counts) - counts
             score = np.add.reduceat(good * weight, start) / np.add.reduceat(weight, start)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(np.clip(score, 0, 1))], ["doc_id", "n_lines", "score"])

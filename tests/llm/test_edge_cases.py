@@ -252,10 +252,10 @@ def test_trigram_index_is_kept(spark, edge):
     assert got == {i: [(4, 15)] if i == 100 else [] for i, _ in docs}
     index.add(spark.createDataFrame([(103, "zorgblat-7"), (100, "see zorgblat-42 here")], schema))
     assert index.candidates((rule,))[0].count() == 2
-    common_rule = secrets.Rule("t", r"plain text number 7")
+    common_rule = secrets.Rule("t", r"plain text number")
     candidates, whole = index.candidates((common_rule, rule))
     assert whole == [0]
-    assert {r.doc_id for r in secrets.scan(df, (common_rule, rule), index).where("size(spans) > 0").collect()} == {7, 100}
+    assert {r.doc_id for r in secrets.scan(df, (common_rule, rule), index).where("size(spans) > 0").collect()} == {*range(60), 100}
 
 
 def test_substrings(edge):
@@ -344,6 +344,102 @@ def test_crf_marginals():
     assert np.allclose(moves, want_moves)
 
 
+def _crf_documents(rng, n):
+    """Features of made-up documents: good ones of good lines, bad ones with runs of bad lines."""
+    x, label, counts, truth = [], [], [], []
+    for i in range(n):
+        good = np.ones(rng.integers(6, 30))
+        if i % 2 == 0:
+            for _ in range(rng.integers(1, 4)):
+                a = rng.integers(0, len(good))
+                good[a : a + rng.integers(2, 6)] = -1
+        x.append(np.column_stack([np.ones(len(good)), good + rng.normal(0, 0.4, len(good))]))
+        label.append(i % 2)
+        counts.append(len(good))
+        truth.append(good > 0)
+    return np.vstack(x), np.array(label), np.array(counts), np.concatenate(truth)
+
+
+def test_crf_finds_good_lines_in_bad_documents():
+    x, label, counts, truth = _crf_documents(np.random.default_rng(1), 200)
+    weights, step = crf.fit(x, label, counts)
+    good = crf.marginals(x @ weights, step, counts)[0] > 0.5
+    bad = np.repeat(label == 0, counts)
+    assert (good == truth)[bad].mean() > 0.95
+    assert (good == truth)[~bad].mean() > 0.95
+
+
+def test_crf_slope(monkeypatch):
+    """A step of the fit follows the slope of the likelihood of the document labels, by differences of log partition sums."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    x, counts, label = rng.normal(size=(7, 2)), np.array([3, 4]), np.array([1, 0])
+    told = np.where(np.repeat(label, counts) == 1, *crf.AGREE)
+
+    def log_sum(odds, step):
+        total, at = 0.0, 0
+        for n in counts:
+            each = [sum(odds[at + i] for i in range(n) if y[i]) + sum(step[y[i - 1], y[i]] for i in range(1, n)) for y in itertools.product((0, 1), repeat=int(n))]
+            total += np.logaddexp.reduce(each)
+            at += n
+        return total
+
+    def likelihood(v):
+        weights, step = v[:2], v[2:].reshape(2, 2)
+        return log_sum(x @ weights + told, step) - log_sum(x @ weights, step)
+
+    v = rng.normal(size=6)
+    (known, turns), (p, moves) = (crf.marginals(x @ v[:2] + t, v[2:].reshape(2, 2), counts) for t in (told, 0))
+    slope = np.concatenate([x.T @ (known - p), (turns - moves).ravel()])
+    e = np.eye(6) * 1e-5
+    assert np.allclose(slope, [(likelihood(v + d) - likelihood(v - d)) / 2e-5 for d in e], atol=1e-5)
+
+
+def test_crf_features_block_by_block(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["one two\nTWO!! two\n\n12|34", "", "é é é\né é é", "x\n" * 9])
+    lines, counts = crf.text_lines(texts)
+    assert counts.tolist() == [len(t.split("\n")) for t in texts.to_pylist()]
+    assert crf.line_weights(lines).tolist() == [len(x.encode()) + 1 for t in texts.to_pylist() for x in t.split("\n")]
+    whole = np.vstack(list(crf.line_blocks(lines, counts)))
+    for size in (1, 2, 3, 5):
+        monkeypatch.setattr(crf, "BLOCK", size)
+        assert np.allclose(np.vstack(list(crf.line_blocks(lines, counts))), whole)
+    body = whole[:, : crf.FEATURES]
+    repeats = body[:, 17]
+    assert repeats.tolist() == [float(i > 0 and x == t.split("\n")[i - 1]) for t in texts.to_pylist() for i, x in enumerate(t.split("\n"))]
+    assert np.allclose(body[:, 1], [sum(c.islower() and c.isascii() for c in x) / max(1, len(x.encode())) for t in texts.to_pylist() for x in t.split("\n")])
+
+
+def test_crf_score_is_the_weighted_mean_of_marginals(spark, monkeypatch):
+    import pyarrow as pa
+
+    text = "a good line of words\n#$%| ||| ###\n\nanother line"
+    rng = np.random.default_rng(5)
+    model = rng.normal(size=3 * crf.FEATURES), rng.normal(size=(2, 2))
+    monkeypatch.setattr(crf, "train", lambda docs, labels: model)
+    got = crf.classify(spark.createDataFrame([(1, text)], "doc_id long, text string"), None).first()
+    lines, counts = crf.text_lines(pa.array([text]))
+    good, _ = crf.marginals(np.vstack(list(crf.line_blocks(lines, counts))) @ model[0], model[1], counts)
+    weight = np.array([len(x.encode()) + 1 for x in text.split("\n")])
+    assert got.n_lines == 4
+    assert abs(got.score - (good * weight).sum() / weight.sum()) < 1e-9
+
+
+def test_crf_training_rows(spark, monkeypatch):
+    """Repeated labels count once, contradictory ones not at all; long documents and too many lines stay out."""
+    monkeypatch.setattr(crf, "TRAIN_LONGEST", 5)
+    ids = [i for i in range(1, 60) if not brute.held_out(i)][:8]
+    docs = spark.createDataFrame([(i, "x\n" * (9 if i == ids[0] else 2)) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids] + [(ids[1], 0), (ids[2], 1), (ids[3], None)], "doc_id long, quality int")
+    got = Counter(r.doc_id for r in crf.training_rows(docs, labels).collect())
+    assert got == dict.fromkeys(ids[2:], 1)
+    monkeypatch.setattr(crf, "TRAIN_LINES", 7)
+    assert crf.training_rows(docs, labels).count() == 2
+
+
 def test_crf_without_labels(edge, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(abs(r.score - 0.5) < 1e-9 for r in crf.classify(edge, none).collect())
