@@ -1,28 +1,35 @@
 """License scans by diagonal voting. DataFrame functions only.
 
-Templates (licence texts, notices and short phrases) and documents are rows of
-words. The hashes of all rolling K-word grams of every document are joined with
-the templates' gram positions; a match at document word d and template word t
-votes, once its words are compared, for the template on the diagonal d - t.
+Templates (whole licence texts, notices and short phrases) and documents are rows
+of words. The hashes of all rolling word grams of every document are joined with
+the templates' gram positions: grams of K words, and of 2 or 1 for phrases that
+have fewer. Each word is hashed once; a gram's hash rolls up from those of its two
+halves. A match at document word d and template word t votes, once its words are
+compared, for the template on the diagonal d - t.
 Votes are gathered by diagonal; neighbouring diagonals, as words put in or left
 out make them, are merged into spans. A span is verified by the share of the
 template's grams that it holds. A phrase is found where one diagonal holds all
 its grams.
 
 Defined cases: a null or empty text has no words; fewer words than a gram match
-nothing; repeated rows get the same result each; a null doc_id is scanned like
+nothing; a template without words is never found; a text of any length is scanned
+whole; repeated rows get the same result each; a null doc_id is scanned like
 any; an empty table gives no row; other columns are ignored."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablesmith.llm.common import documents
+from tablesmith.llm.license_texts import TEXTS
 
-K = 2
+#: Words of a gram, a power of two.
+K = 4
+#: So many gram positions of templates are broadcast at most; beyond that Spark chooses the join.
+MOST_BROADCAST = 100_000
 #: A diagonal of a template needs so many votes before it is merged with others.
 LEAST_VOTES = 2
 #: Diagonals up to so many words apart belong to one span.
@@ -32,7 +39,7 @@ LEAST_COVER = 0.7
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Public licence texts and notices; a label may have several.
+#: Public licence notices and texts; a label may have several.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -50,6 +57,7 @@ TEMPLATES = [
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    *TEXTS,
 ]
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,8 +68,16 @@ def template_words(text: str) -> list[str]:
     return re.findall(_WORD, text.translate(str.maketrans(_UPPER, _LOWER)))
 
 
-def _gram(words, at):
-    return F.xxhash64(*[F.get(words, at + i) for i in range(K)])
+def gram_words(words: list[str]) -> int:
+    """Words of the grams of a template: K, or the next smaller power of two for a short one."""
+    return min(K, 1 << (max(1, len(words)).bit_length() - 1))
+
+
+def _rolled(halves: Column, size: int) -> Column:
+    """Hashes of all grams of `size` words, from those of half the size."""
+    n = F.size(halves)
+    pairs = F.transform(F.sequence(F.lit(0), n - size // 2 - 1), lambda i: F.xxhash64(F.get(halves, i), F.get(halves, i + size // 2)))
+    return F.when(n > size // 2, pairs).otherwise(F.array().cast("array<bigint>"))
 
 
 def license_spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -69,31 +85,42 @@ def license_spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     of each phrase found) and spans (label, start, end, cover) of templates."""
     spark = docs.sparkSession
     known = [(label, template_words(text), True) for text, label in phrases.items()] + [(label, template_words(text), False) for label, text in templates]
-    rows = [(n, label, phrase, len(words) - K + 1, t, words[t : t + K]) for n, (label, words, phrase) in enumerate(known) for t in range(len(words) - K + 1)]
-    # fixed values, about 20 grams for each template
-    grams = spark.createDataFrame(rows, "template int, label string, phrase boolean, grams int, t int, gram array<string>").withColumn("h", F.xxhash64(*[F.get("gram", F.lit(i)) for i in range(K)]))
+    sized = [(n, label, words, phrase, gram_words(words)) for n, (label, words, phrase) in enumerate(known)]
+    rows = [(n, label, phrase, len(words) - k + 1, k, t, words[t : t + k]) for n, label, words, phrase, k in sized for t in range(len(words) - k + 1)]
+    sizes = [1 << i for i in range(K.bit_length())]
+    # the same hashes as those of the documents, rolled up from the words
+    grams = spark.createDataFrame(rows, "template int, label string, phrase boolean, grams int, k int, t int, gram array<string>").withColumn("_1", F.transform("gram", lambda w: F.xxhash64(w)))
+    for k in sizes[1:]:
+        grams = grams.withColumn(f"_{k}", _rolled(F.col(f"_{k // 2}"), k))
+    grams = grams.withColumn("h", F.coalesce(*[F.when(F.col("k") == k, F.get(f"_{k}", F.lit(0))) for k in sizes])).drop(*[f"_{k}" for k in sizes])
     # the one row that every document meets, so that none is lost in the join
     every = F.lit(0).cast("long")
-    none = spark.range(1).select(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("phrase"), F.lit(1).alias("grams"), F.lit(0).alias("t"), F.lit(None).cast("array<string>").alias("gram"), every.alias("h"))
+    none = spark.range(1).select(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("phrase"), F.lit(1).alias("grams"), F.lit(1).alias("k"), F.lit(0).alias("t"), F.lit(None).cast("array<string>").alias("gram"), every.alias("h"))
+    positions = grams.union(none.select(*grams.columns))
+    positions = F.broadcast(positions) if len(rows) <= MOST_BROADCAST else positions
 
     low = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("words"))
-    base = base.withColumn("n_words", F.size("words").cast("long"))
-    rolled = F.when(F.size("words") >= K, F.transform(F.sequence(F.lit(0), F.size("words") - K), lambda i: _gram("words", i))).otherwise(F.array().cast("array<bigint>"))
-    each = base.select("doc_id", "text_key", "n_words", "words", F.posexplode_outer(F.concat(rolled, F.array(every))).alias("d", "h"))
-    votes = each.join(F.broadcast(grams.union(none.select(*grams.columns))), "h")
-    votes = votes.where((F.col("template") < 0) | (F.slice("words", F.col("d") + 1, F.lit(K)) == F.col("gram")))
-    votes = votes.select("doc_id", "text_key", "n_words", "template", "label", "phrase", "grams", "t", F.when(F.col("template") < 0, 0).otherwise(F.col("d") - F.col("t")).alias("diagonal")).repartition("doc_id", "text_key")
+    base = base.withColumn("n_words", F.size("words").cast("long")).withColumn("_1", F.transform("words", lambda w: F.xxhash64(w)))
+    for k in sizes[1:]:
+        base = base.withColumn(f"_{k}", _rolled(F.col(f"_{k // 2}"), k))
+    used = sorted({k for *_, k in sized})
+    place = lambda h, i: F.struct(i.alias("d"), h.alias("h"))
+    found = F.concat(*[F.transform(f"_{k}", place) for k in used], F.array(F.struct(F.lit(0).alias("d"), every.alias("h"))))
+    each = base.select("doc_id", "text_key", "n_words", "words", F.explode(found).alias("at")).select("doc_id", "text_key", "n_words", "words", "at.*")
+    votes = each.join(positions, "h")
+    votes = votes.where((F.col("template") < 0) | (F.slice("words", F.col("d") + 1, F.col("k")) == F.col("gram")))
+    votes = votes.select("doc_id", "text_key", "n_words", "template", "label", "phrase", "grams", "k", "t", F.when(F.col("template") < 0, 0).otherwise(F.col("d") - F.col("t")).alias("diagonal")).repartition("doc_id", "text_key")
 
     keys = ["doc_id", "text_key", "n_words"]
-    lines = votes.groupBy(*keys, "template", "label", "phrase", "grams", "diagonal").agg(F.collect_set("t").alias("held"), F.count("*").alias("rows"))
+    lines = votes.groupBy(*keys, "template", "label", "phrase", "grams", "k", "diagonal").agg(F.collect_set("t").alias("held"), F.count("*").alias("rows"))
     strong = (F.col("template") >= 0) & F.when(F.col("phrase"), F.size("held") == F.col("grams")).otherwise(F.size("held") >= F.least(F.lit(LEAST_VOTES), F.col("grams")))
     lines = lines.where((F.col("template") < 0) | strong)
     order = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > SLACK, F.lit(True)) | F.col("phrase")
     islands = lines.withColumn("new", apart.cast("int")).withColumn("island", F.sum("new").over(order))
-    spans = islands.groupBy(*keys, "template", "label", "phrase", "grams", "island").agg(
-        F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"), F.min(F.col("diagonal") + F.array_min("held")).alias("start"), F.max(F.col("diagonal") + F.array_max("held") + K).alias("end"), F.max("rows").alias("rows")
+    spans = islands.groupBy(*keys, "template", "label", "phrase", "grams", "k", "island").agg(
+        F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"), F.min(F.col("diagonal") + F.array_min("held")).alias("start"), F.max(F.col("diagonal") + F.array_max("held") + F.col("k")).alias("end"), F.max("rows").alias("rows")
     )
     spans = spans.withColumn("cover", F.size("held") / F.col("grams"))
     found = spans.groupBy(*keys).agg(

@@ -6,7 +6,7 @@ and are held against plain Python in tests/llm."""
 
 from __future__ import annotations
 
-from tablesmith.llm.licenses import LEAST_COVER, LEAST_VOTES, PHRASES, SLACK, TEMPLATES, template_words
+from tablesmith.llm.licenses import LEAST_COVER, LEAST_VOTES, PHRASES, SLACK, TEMPLATES, gram_words, template_words
 from tablesmith.llm.quality import (
     MAX_CLASS_DISTANCE,
     MAX_REPEATED_PERCENT,
@@ -73,12 +73,14 @@ select d.doc_id, {counts}, sha256(coalesce({spans} filter (where no < {len(BASE)
 
 def _licenses() -> str:
     known = [(label, template_words(text), True) for text, label in PHRASES.items()] + [(label, template_words(text), False) for label, text in TEMPLATES]
-    rows = ", ".join(f"({n}, {_quoted(label)}, {phrase}, {len(w) - 1}, {t}, {_quoted(w[t])}, {_quoted(w[t + 1])})" for n, (label, w, phrase) in enumerate(known) for t in range(len(w) - 1))
+    sized = [(n, label, w, phrase, gram_words(w)) for n, (label, w, phrase) in enumerate(known)]
+    rows = ", ".join(f"({n}, {_quoted(label)}, {phrase}, {len(w) - k + 1}, {k}, {t}, {_quoted(' '.join(w[t : t + k]))})" for n, label, w, phrase, k in sized for t in range(len(w) - k + 1))
+    met = " union all ".join(f"select doc_id, template, label, phrase, grams, t, i - 1 - t as diagonal from p join g on g.k = {k} and g.gram = array_to_string(list_slice(ws, i, i + {k - 1}), ' ') where i + {k - 1} <= len(ws)" for k in sorted({k for *_, k in sized}))
     return rf"""
-with g(template, label, phrase, grams, t, w1, w2) as (values {rows}),
+with g(template, label, phrase, grams, k, t, gram) as (values {rows}),
 w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
-p as (select doc_id, ws, unnest(range(1, len(ws))) as i from w where len(ws) > 1),
-v as (select doc_id, template, label, phrase, grams, t, i - 1 - t as diagonal from p join g on ws[i] = w1 and ws[i + 1] = w2),
+p as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from w),
+v as ({met}),
 l as (select doc_id, template, label, phrase, grams, diagonal, count(distinct t) as held from v group by all),
 k as (select *, case when phrase or diagonal - lag(diagonal) over o <= {SLACK} then cast(phrase as int) else 1 end as fresh from l where case when phrase then held = grams else held >= least({LEAST_VOTES}, grams) end window o as (partition by doc_id, template order by diagonal)),
 n as (select *, sum(fresh) over (partition by doc_id, template order by diagonal) as island from k),

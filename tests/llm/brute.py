@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -94,3 +95,64 @@ def held_out(doc_id: int) -> bool:
 def edited(text: str, following: str) -> str:
     k = len(text) // 3
     return text[: len(text) - k] + following[:k]
+
+
+def fingerprint(data: bytes) -> str:
+    """Chunks byte by byte: a hash of the last 7 bytes ends one where its low bits are ones."""
+    ones = []
+    for i in range(len(data)):
+        h = 0
+        for b in data[max(0, i - 6) : i + 1]:
+            h = (h * 2246822519 + (b + 1) * 2654435761) % 2**32
+        h = (h ^ h >> 15) * 3266489917 % 2**32
+        h ^= h >> 13
+        ones.append(len(bin(~h & (h + 1))) - 3 if 6 <= i < len(data) - 1 else -1)
+    k = 3
+    while sum(x >= k for x in ones) >= 64:
+        k += 1
+
+    def letters(least: int) -> str:
+        out, begin = "", 0
+        for i, x in enumerate(ones):
+            if x >= least or i == len(data) - 1:
+                out += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[zlib.crc32(data[begin : i + 1]) % 64]
+                begin = i + 1
+        return out
+
+    return f"{k}:{letters(k)}:{letters(k + 1)}"
+
+
+def edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        old, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(old[j] + (x != y), old[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def likeness(a: str, b: str) -> float:
+    (ka, a1, a2), (kb, b1, b2) = a.split(":"), b.split(":")
+    near = lambda x, y: 1 - edit_distance(x, y) / max(len(x), len(y), 1)
+    if a == b:
+        return 1.0
+    return {0: max(near(a1, b1), near(a2, b2)), 1: near(a1, b2), -1: near(a2, b1)}.get(int(ka) - int(kb), 0.0)
+
+
+def bayes(rows: list[tuple[str, str | None]], texts: list[str | None], bucket: dict[str, int], domains: list[str], buckets: int, smoothing: float, evidence: int) -> list[list[float]]:
+    """Memberships of texts; rows: (domain, text) of the training documents."""
+    split = lambda t: words((t or "").lower())
+    held = [sum(d == x for x, _ in rows) for d in domains]
+    prior = [math.log((h + 1) / (sum(held) + len(domains))) for h in held]
+    counts = [[0] * buckets for _ in domains]
+    for d, t in rows:
+        for w in split(t):
+            counts[domains.index(d)][bucket[w]] += 1
+    like = [[math.log((c + smoothing) / (sum(x) + smoothing * buckets)) for c in x] for x in counts]
+    out = []
+    for t in texts:
+        w = split(t)
+        score = [p + min(1, evidence / max(1, len(w))) * sum(x[bucket[y]] for y in w) for p, x in zip(prior, like, strict=True)]
+        odds = [math.exp(s - max(score)) for s in score]
+        out.append([o / sum(odds) for o in odds])
+    return out

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablesmith.llm import queries as Q
 from tests.llm import brute
@@ -116,16 +117,31 @@ def test_mixing_meets_the_targets(rows):
     assert all(abs(sum(r[f"p_{d}"] for d in TARGETS) - 1) < 1e-9 for r in got)
 
 
-def test_fingerprints(rows, texts):
-    from tablesmith.llm.fingerprints import fingerprints
+def test_memberships(spark, sf_dir, rows, texts):
+    """Naive Bayes in plain Python on the same training documents and word buckets."""
+    from tablesmith.llm import mixing
+
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
+    good = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
+    vocabulary = sorted({w for t in texts.values() for w in brute.words((t or "").lower())})
+    hashed = spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.pmod(F.hash("w"), F.lit(mixing.BUCKETS)).alias("b")).collect()
+    domains = sorted(mixing.TARGETS)
+    trained = [(langs[i], texts[i]) for i in sorted(good) if langs[i] in domains]
+    want = brute.bayes(trained, list(texts.values()), {r.w: r.b for r in hashed}, domains, mixing.BUCKETS, mixing.SMOOTHING, mixing.EVIDENCE_WORDS)
+    got = {r["doc_id"]: [r[f"p_{d}"] for d in domains] for r in rows("op9_mixing")}
+    assert np.allclose([got[i] for i in texts], want, atol=1e-9)
 
+
+def test_fingerprints(rows, texts):
     got = {r["doc_id"]: r for r in rows("op10_fingerprints")}
     order = sorted(texts, reverse=True)
     for i, j in zip(order, [*order[1:], order[0]], strict=True):
         new = brute.edited(texts[i], texts[j])
         assert got[i]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
         assert got[i]["n_chars"] == len(texts[i])
-        assert [got[i]["fingerprint"], got[i]["edited_fingerprint"]] == fingerprints([texts[i].encode(), new.encode()])
+        assert [got[i]["fingerprint"], got[i]["edited_fingerprint"]] == [brute.fingerprint(t.encode()) for t in (texts[i], new)]
+        assert abs(got[i]["near_edited"] - brute.likeness(got[i]["fingerprint"], got[i]["edited_fingerprint"])) < 1e-9
+        assert abs(got[i]["near_next"] - brute.likeness(got[i]["fingerprint"], got[j]["fingerprint"])) < 1e-9
     long = [r for r in got.values() if r["n_chars"] > 400]
     assert np.median([r["near_edited"] for r in long]) > 0.5 > 0.1 > np.median([r["near_next"] for r in long])
 

@@ -190,6 +190,24 @@ def test_packing_special_and_odd_texts(spark):
     assert got == dict(enumerate(want))
 
 
+def test_license_phrases_and_texts(spark):
+    """Phrases of one word and of as many as a gram; whole texts with words put in and left out."""
+    from tablesmith.llm.license_texts import TEXTS
+
+    mit = dict(TEXTS)["mit"].split()
+    changed = " ".join([*mit[:40], "and", "also", *mit[40:90], *mit[93:]])
+    docs = [(1, "Copyleft, copyleft!"), (2, "one copyleft two share alike four words five"), (3, changed), (4, " ".join(mit[:12])), (5, None), (6, dict(TEXTS)["bsd-3-clause"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_spans(df, {"copyleft": "cl", "share alike four words": "sa"}).collect()}
+    assert [[(p.start, p.label) for p in got[i].places] for i in range(1, 6)] == [[(0, "cl"), (1, "cl")], [(1, "cl"), (3, "sa")], [], [], []]
+    covers = {i: {s.label: max(x.cover for x in got[i].spans if x.label == s.label) for s in got[i].spans} for i in got}
+    assert covers[3]["mit"] > 0.8
+    (span,) = [s for s in got[3].spans if s.label == "mit" and s.end - s.start > 100]
+    assert (span.start, span.end) == (0, len(licenses.template_words(changed)))
+    assert covers[6]["bsd-3-clause"] == 1
+    assert covers[4].get("mit", 0) < 0.7
+
+
 def test_secrets(edge):
     got = {r.doc_id: r for r in secrets.scan(edge).collect()}
     assert [(s.start, s.end) for s in got[10].spans if s.kind == 0] == [(0, 40)]
@@ -466,6 +484,27 @@ def test_projected_gradient_against_least_squares(spark):
     assert np.allclose(share, weights, atol=1e-3)
 
 
+def test_rates_are_a_least_squares_solution(spark):
+    """Where the weights can't be met (no document belongs to the last domain alone), the errors are as small as plain
+    projected gradient makes them."""
+    rng = np.random.default_rng(6)
+    p, t = rng.dirichlet([3, 3, 0.3], 25), rng.integers(5, 60, 25).astype(float)
+    p[:, 2] = np.minimum(p[:, 2], 0.15)
+    p /= p.sum(1, keepdims=True)
+    weights = np.array([0.3, 0.3, 0.4])
+    df = spark.createDataFrame([(1, int(n), [float(x) for x in row]) for n, row in zip(t, p, strict=True)], "rows long, n_tokens long, p array<double>")
+    with pytest.warns(RuntimeWarning, match="errors"):
+        moves = mixing.fit_rates(df, weights.tolist(), 0.0)
+    r = np.ones(25)
+    for m in moves:
+        r = np.maximum(0, r - p @ np.array(m))
+    a, goal = (p * t[:, None]).T / t.sum(), weights
+    q = np.ones(25)
+    for _ in range(100_000):
+        q = np.maximum(0, q - a.T @ (a @ q - goal) / np.linalg.norm(a, 2) ** 2)
+    assert np.linalg.norm(a @ r - goal) <= np.linalg.norm(a @ q - goal) * 1.001 + 1e-6
+
+
 @pytest.mark.parametrize("least", [0.0, 1.0])
 def test_mixing_of_a_rare_domain(spark, least):
     """One domain with 1 % of the tokens gets its weight too."""
@@ -618,6 +657,18 @@ def test_member_filter_loses_nothing(spark):
     assert len(found) < 600
 
 
+def test_pipeline_stages_of_an_empty_table(spark, empty, sf_dir):
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, empty, sf_dir)
+        assert got.count() == 0
+        assert name == "packing" or got.columns == empty.columns
+
+
+def test_mixing_without_labels_changes_nothing(spark, edge):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert Counter(r.doc_id for r in mixing.mixed_documents(edge, none).collect()) == Counter(i for i, _ in EDGE)
+
+
 def test_pipeline_stages(spark, sf_dir, edge, texts):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "secret_scan", "mixing", "packing"]
     stages = dict(corpus_pipeline.STAGES)
