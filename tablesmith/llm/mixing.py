@@ -16,7 +16,9 @@ The classifier is fitted on at most TRAIN_DOCUMENTS documents, those with the
 smallest hash of doc_id; memberships and sums cover all documents.
 
 Defined cases: a null or empty text has no words and belongs to each domain by
-the prior; without labelled documents all memberships are equal; repeated rows
+the prior; without labelled documents all memberships are equal and all rates 1;
+labels that are repeated count once; documents of other domains than the targets'
+belong to the targets' by their words, as all do; repeated rows
 get the same rate each; a null doc_id is a row like any; an empty table gives no
 row; other columns are ignored by `rates` and kept by `mixed_documents`."""
 
@@ -150,8 +152,10 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """One row for each different document: doc_id, text_key, rows, n_tokens, p, rate, copies."""
     domains = sorted(targets)
     weights = [targets[d] / sum(targets.values()) for d in domains]
-    known = saved(memberships(docs, *train(docs, labels, domains, domain)), "memberships")
-    moves = fit_rates(known, weights, least, most)
+    prior, model = train(docs, labels, domains, domain)
+    known = saved(memberships(docs, prior, model), "memberships")
+    # without labelled documents nothing is known that a rate could follow
+    moves = fit_rates(known, weights, least, most) if len(set(prior)) > 1 or any(len(set(x)) > 1 for x in model) else []
     by_hash = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(1 << 30)) / float(1 << 30)
     out = known.withColumn("rate", rate(F.col("p"), moves, least, most))
     # a rate within rounding of a whole number is that number
