@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from tablesmith.session import package_on_workers, shared_dir
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 2 << 20
 #: Bits of the membership filter, unless spark.tablesmith.filterBits says otherwise: fixed, so what is broadcast does not
-#: grow. About 8 bits for each wanted row let 3 % of the others through; a cluster's session sets it by what it filters for.
+#: grow. About 8 bits for each wanted row let some 5 % of the others through; a cluster's session sets it by what it filters for.
 FILTER_BITS = 1 << 23
 FILTER_HASHES = 3
 
@@ -158,25 +159,25 @@ def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 def member_filter(keys: DataFrame, key: str, on: str | None = None, bits: int | None = None) -> Column:
     """A condition on a column of the same name (or `on`): false only where no row of
-    `keys` has the value. It is a bitmap of fixed size with FILTER_HASHES hash
-    functions, built on the executors and read as a scalar subquery, so it thins out
-    a scan before a shuffle at any input size; the exact join must still follow."""
+    `keys` has the value. It is a bitmap of fixed size: one hash chooses a word of 64
+    bits, another FILTER_HASHES bits of it. It is built on the executors and read as
+    a scalar subquery, so it thins out a scan before a shuffle at any input size; the
+    exact join must still follow."""
     spark = keys.sparkSession
-    bits = bits or int(spark.conf.get("spark.tablesmith.filterBits", str(FILTER_BITS)))
-
-    def places(column: str) -> list[Column]:
-        return [F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(bits)) for i in range(FILTER_HASHES)]
-
-    word, place = lambda at: (at / 64).cast("int"), lambda at: F.pmod(at, F.lit(64)).cast("int")
-    set_bits = keys.select(F.explode(F.array(*places(key))).alias("_at"))
-    hit = set_bits.groupBy(word(F.col("_at")).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place(F.col("_at")))).alias("_bits"))
-    every = spark.range(bits // 64).select(F.col("id").cast("int").alias("_word"))
-    filled = every.join(hit, "_word", "left").select("_word", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits"))
-    packed = saved(filled.agg(F.sort_array(F.collect_list(F.struct("_word", "_bits"))).getField("_bits").alias("bitmap")), "filter")
-    bitmap, out = packed.scalar(), F.lit(True)
-    for at in places(on or key):
-        out = out & (F.getbit(F.get(bitmap, word(at)), place(at)) == 1)
-    return out
+    words = (bits or int(spark.conf.get("spark.tablesmith.filterBits", str(FILTER_BITS)))) // 64
+
+    def place(column: str) -> tuple[Column, Column]:
+        """Word and mask of a value."""
+        h, one = F.xxhash64(F.lit(1), F.col(column)), F.lit(1).cast("long")
+        places = [F.pmod(F.shiftrightunsigned(h, 6 * i), F.lit(64)).cast("int") for i in range(FILTER_HASHES)]
+        return F.pmod(F.xxhash64(F.lit(0), F.col(column)), F.lit(words)).cast("int"), reduce(Column.bitwiseOR, [F.call_function("shiftleft", one, x) for x in places])
+
+    word, mask = place(key)
+    every = spark.range(0, words, 1, 1).select(F.col("id").cast("int"), F.lit(0).cast("long"))
+    filled = keys.select(word.alias("_word"), mask.alias("_mask")).union(every).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
+    packed = saved(filled.agg(F.sort_array(F.collect_list(F.struct("_word", "_mask"))).getField("_mask").alias("bitmap")), "filter")
+    word, mask = place(on or key)
+    return F.get(packed.scalar(), word).bitwiseAND(mask) == mask
 
 
 def text_key() -> Column:
