@@ -1,5 +1,8 @@
 """Cleaning operators and rule chains on small tables of our own."""
 
+import datetime
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +165,16 @@ def test_detect_join(spark):
     a, b = spark.sql("select 1 id, 'x' s"), spark.sql("select 2 id, 'x' s")
     assert J.detect_join(a, b) == ("s", "s")
     assert J.detect_join(a, spark.sql("select 1 q")) is None
+
+
+@pytest.mark.parametrize(
+    ("kind", "value", "wide", "filled"),
+    [
+        ("int", 0, "int", 0), ("int", 0.5, "double", 0.5), ("int", 3_000_000_000, "bigint", 3_000_000_000), ("int", "7", "int", 7), ("int", "none", "string", "none"),
+        ("double", 1, "double", 1.0), ("string", 0, "string", "0"), ("boolean", True, "boolean", True), ("boolean", "?", "string", "?"), ("date", "2024-02-03", "date", datetime.date(2024, 2, 3)),
+        ("date", "soon", "string", "soon"), ("decimal(6,2)", 1.25, "decimal(6,2)", Decimal("1.25")), ("decimal(6,2)", 0.125, "double", 0.125), ("array<int>", 0, "array<int>", None),
+    ],
+)
+def test_fill_null_widens(spark, kind, value, wide, filled):
+    df = C.FillNull(value=value).run(spark.sql(f"select cast(null as {kind}) a"))[0]
+    assert (df.dtypes, df.first().a) == ([("a", wide)], filled)
