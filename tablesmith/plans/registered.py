@@ -21,7 +21,7 @@ from tablesmith.operators import retrieval as R
 from tablesmith.operators import series as V
 from tablesmith.operators.cleaning import ORDER
 from tablesmith.plans.rules import RuleEngine
-from tablesmith.session import package_on_workers, shared_dir
+from tablesmith.session import java_charsets, package_on_workers, shared_dir
 from tablesmith.sources import databases as D
 from tablesmith.sources import files as I
 from tablesmith.sources import macro as M
@@ -152,10 +152,10 @@ def _(t):
     return run(C.Map("day", "to_datetime"), t.orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
-@query("map_to_datetime_numbers", "select event_id, make_timestamp(event_id * 86400000000 + 5) as ts from events")
+@query("map_to_datetime_numbers", "select event_id, event_id * 86400000000 + 5 as micros from events")
 def _(t):
     nanos = t.events.select("event_id", (F.col("event_id") * 86_400_000_000_000 + 5_999).alias("ts"))
-    return run(C.Map("ts", "to_datetime"), nanos).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return run(C.Map("ts", "to_datetime"), nanos).select("event_id", F.unix_micros("ts").alias("micros"))
 
 
 @query("map_int_and_round", "select event_id, cast(trunc((event_id - 500) / 2.0) as bigint) as cut, cast(round_even((event_id - 500) / 2.0, 0) as bigint) as near from events")
@@ -562,6 +562,7 @@ def _(t):
 @query("scan_csv_encoding", "select p_partkey, p_name || '月份' as name from part")
 def _(t):
     path = _scratch(t, "gbk")
+    java_charsets(t.spark)
     t.part.select("p_partkey", F.concat("p_name", F.lit("月份")).alias("name")).write.option("header", True).option("encoding", "gbk").csv(path)
     return I.read_csv(t.spark, path).withColumn("p_partkey", F.col("p_partkey").cast("long"))
 

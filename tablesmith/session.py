@@ -28,6 +28,11 @@ def session(name: str = "tablesmith", conf: dict[str, str] | None = None) -> Spa
     return spark
 
 
+def java_charsets(spark: SparkSession) -> None:
+    """Lets a session of any builder read and write GBK and its kin."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def package_on_workers(spark: SparkSession) -> None:
     """Python workers of a local session find this package beside its own path. On
     a cluster it is shipped with spark-submit --py-files."""

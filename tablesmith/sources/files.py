@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tablesmith.functions.scalars import null_nans
 from tablesmith.operators.cleaning import ORDER
-from tablesmith.session import package_on_workers, shared_dir
+from tablesmith.session import java_charsets, package_on_workers, shared_dir
 from tablesmith.sources.shaping import fuzzy_union
 
 ENCODINGS = ("utf-8", "gbk", "gb2312", "gb18030", "latin1")
@@ -108,6 +108,8 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, separa
     """With a schema the file is read once; without, Spark infers one. An encoding that is not given is looked for in the
     whole input. multi_line: fields may hold line breaks; such a file is read in one task."""
     encoding = encoding or find_encoding(spark, path)
+    if encoding != "utf-8":
+        java_charsets(spark)
     if separator is None:
         separator = sniff_separator(head_bytes(spark, path).decode(encoding, "replace").split("\n")[0])
     reader = spark.read.option("header", True).option("encoding", encoding).option("sep", separator).option("multiLine", multi_line)
