@@ -6,6 +6,7 @@ and are held against plain Python in tests/llm."""
 
 from __future__ import annotations
 
+from tablesmith.llm.infill import MIDDLE, PREFIX, RATE, SEED, SPM_PERCENT, SUFFIX
 from tablesmith.llm.licenses import LEAST_COVER, LEAST_VOTES, PHRASES, SLACK, TEMPLATES, gram_words, template_words
 from tablesmith.llm.quality import (
     MAX_CLASS_DISTANCE,
@@ -36,6 +37,20 @@ comp as (select a as doc_id, min(b) as component_id from reach group by a)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept from documents d join comp c using (doc_id) left join n using (doc_id)
 """
 
+OP11 = f"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('{SEED}:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (select doc_id, t, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') as u, {", ".join(f"cast('0x' || substr(h, {8 * k + 1}, 8) as bigint) as h{k + 1}" for k in range(4))} from d),
+c as (select *, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b from u),
+p as (
+  select doc_id, t, n, array_to_string(list_slice(u, 1, a), '') as p, array_to_string(list_slice(u, a + 1, b), '') as m, array_to_string(list_slice(u, b + 1, n), '') as s,
+    case when t = '' or contains(t, '{PREFIX}') or contains(t, '{SUFFIX}') or contains(t, '{MIDDLE}') or h3 % 100 >= {RATE} then 'plain' when h4 % 100 < {SPM_PERCENT} then 'spm' else 'psm' end as form
+  from c
+)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'psm' then '{PREFIX}' || p || '{SUFFIX}' || s || '{MIDDLE}' || m when 'spm' then '{SUFFIX}' || s || '{PREFIX}' || p || '{MIDDLE}' || m else t end) as output_sha256, sha256(t) as restored_sha256
+from p
+"""
+
 OP7 = f"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
 p as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from w),
@@ -138,4 +153,4 @@ select *, not base_failed and coalesce(class_distance, 0) <= {MAX_CLASS_DISTANCE
 """
 
 
-SQL = {"op1_quality": _quality(), "op2_licenses": _licenses(), "op4_near_duplicates": OP4, "op6_secrets": _secrets(), "op7_substrings": OP7}
+SQL = {"op1_quality": _quality(), "op2_licenses": _licenses(), "op4_near_duplicates": OP4, "op6_secrets": _secrets(), "op7_substrings": OP7, "op11_fill_in_middle": OP11}
