@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from tablesmith.llm.infill import MIDDLE, PREFIX, RATE, SEED, SPM_PERCENT, SUFFIX
 from tablesmith.llm.licenses import LEAST_COVER, LEAST_VOTES, PHRASES, SLACK, TEMPLATES, gram_words, template_words
+from tablesmith.llm.manifest import FANOUT, FIELDS
 from tablesmith.llm.quality import (
     MAX_CLASS_DISTANCE,
     MAX_REPEATED_PERCENT,
@@ -62,6 +63,56 @@ select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0)
 """
 
 
+def _fields(text: str) -> str:
+    field = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
+    return " || ".join(field(c if c != "text" else text) for c in FIELDS)
+
+
+OP13 = f"""
+with recursive
+bits(n, k, c) as (select cast(range as bigint), 0, cast(range as bigint) from range(256) union all select n, k + 1, case when c % 2 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end from bits where k < 8),
+crc_of as (select n, c from bits where k = 8),
+crc(doc_id, s, i, c) as (
+  select doc_id, cast(doc_id as varchar), 1, 4294967295::bigint from (select distinct doc_id from documents where doc_id is not null)
+  union all select r.doc_id, r.s, r.i + 1, xor(x.c, r.c >> 8) from crc r join crc_of x on x.n = xor(r.c, ascii(substr(r.s, r.i, 1))::bigint) % 256 where r.i <= length(r.s)
+),
+even as (select doc_id from crc where i = length(s) + 1 and xor(c, 4294967295::bigint) % 2 = 0),
+f as (select d.*, case when e.doc_id is null then text else replace(text, chr(10), '') end as other from documents d left join even e using (doc_id)),
+h as (
+  select doc_id, coalesce('=' || source, '') as tree,
+    sha256({_fields('text')}) as leaf, sha256({_fields('other')}) as claimed
+  from f
+),
+l as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as w from h),
+n(tree, level, pos, w, h) as (
+  select tree, 0, pos, w, leaf from l
+  union all select tree, level + 1, pos // {FANOUT}, (w + {FANOUT - 1}) // {FANOUT}, sha256(string_agg(h, '' order by pos)) from n where w > 1 group by tree, level, w, pos // {FANOUT}
+),
+s as (select tree, h, row_number() over (order by tree) - 1 as pos, count(*) over () as w from n where w = 1),
+t(level, pos, w, h) as (
+  select 0, pos, w, h from s
+  union all select level + 1, pos // {FANOUT}, (w + {FANOUT - 1}) // {FANOUT}, sha256(string_agg(h, '' order by pos)) from t where w > 1 group by level, w, pos // {FANOUT}
+),
+place as (select row_number() over () as r, l.doc_id, l.leaf, l.claimed, l.tree, l.pos, s.h as subroot, s.pos as top from l join s using (tree)),
+depth as (select tree, max(level) as levels from n group by tree),
+own as (select r, tree, level, cast(pos // ({FANOUT} ** level) as bigint) as pos from place join depth using (tree), range(40) x(level) where level < levels),
+high as (select r, level, cast(top // ({FANOUT} ** level) as bigint) as pos from place, range(40) x(level) where level < (select max(level) from t)),
+step as (
+  select r, o.level, string_agg(n.h, '' order by n.pos) filter (where n.pos < o.pos) as a, string_agg(n.h, '' order by n.pos) filter (where n.pos > o.pos) as b from own o join n on n.tree = o.tree and n.level = o.level and n.pos // {FANOUT} = o.pos // {FANOUT} group by r, o.level
+  union all
+  select r, 1000 + o.level, string_agg(t.h, '' order by t.pos) filter (where t.pos < o.pos), string_agg(t.h, '' order by t.pos) filter (where t.pos > o.pos) from high o join t on t.level = o.level and t.pos // {FANOUT} = o.pos // {FANOUT} group by r, o.level
+),
+steps as (select r, row_number() over (partition by r order by level) as k, count(*) over (partition by r) as ks, coalesce(a, '') as a, coalesce(b, '') as b from step),
+proof as (select r, sha256(string_agg(a || b, '' order by k)) as proof_sha256 from steps group by r),
+fold(r, k, h) as (
+  select r, 1::bigint, claimed from place
+  union all select fold.r, fold.k + 1, sha256(steps.a || fold.h || steps.b) from fold join steps on steps.r = fold.r and steps.k = fold.k
+),
+folded as (select r, arg_max(h, k) as h from fold group by r)
+select doc_id, leaf, subroot, t.h as root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded.h as folded_root, folded.h = t.h as verified
+from place join folded using (r) left join proof using (r), t where t.w = 1
+"""
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -153,4 +204,4 @@ select *, not base_failed and coalesce(class_distance, 0) <= {MAX_CLASS_DISTANCE
 """
 
 
-SQL = {"op1_quality": _quality(), "op2_licenses": _licenses(), "op4_near_duplicates": OP4, "op6_secrets": _secrets(), "op7_substrings": OP7, "op11_fill_in_middle": OP11}
+SQL = {"op1_quality": _quality(), "op2_licenses": _licenses(), "op4_near_duplicates": OP4, "op6_secrets": _secrets(), "op7_substrings": OP7, "op11_fill_in_middle": OP11, "op13_manifest": OP13}
