@@ -77,7 +77,7 @@ crc(doc_id, s, i, c) as (
   union all select r.doc_id, r.s, r.i + 1, xor(x.c, r.c >> 8) from crc r join crc_of x on x.n = xor(r.c, ascii(substr(r.s, r.i, 1))::bigint) % 256 where r.i <= length(r.s)
 ),
 even as (select doc_id from crc where i = length(s) + 1 and xor(c, 4294967295::bigint) % 2 = 0),
-f as (select d.*, case when e.doc_id is null then text else replace(text, chr(10), '') end as other from documents d left join even e using (doc_id)),
+f as (select *, case when doc_id in (select doc_id from even) then replace(text, chr(10), '') else text end as other from documents),
 h as (
   select doc_id, coalesce('=' || source, '') as tree,
     sha256({_fields('text')}) as leaf, sha256({_fields('other')}) as claimed
@@ -95,8 +95,8 @@ t(level, pos, w, h) as (
 ),
 place as (select row_number() over () as r, l.doc_id, l.leaf, l.claimed, l.tree, l.pos, s.h as subroot, s.pos as top from l join s using (tree)),
 depth as (select tree, max(level) as levels from n group by tree),
-own as (select r, tree, level, cast(pos // ({FANOUT} ** level) as bigint) as pos from place join depth using (tree), range(40) x(level) where level < levels),
-high as (select r, level, cast(top // ({FANOUT} ** level) as bigint) as pos from place, range(40) x(level) where level < (select max(level) from t)),
+own as (select r, tree, level, pos // cast({FANOUT} ** level as bigint) as pos from place join depth using (tree), range(40) x(level) where level < levels),
+high as (select r, level, top // cast({FANOUT} ** level as bigint) as pos from place, range(40) x(level) where level < (select max(level) from t)),
 step as (
   select r, o.level, string_agg(n.h, '' order by n.pos) filter (where n.pos < o.pos) as a, string_agg(n.h, '' order by n.pos) filter (where n.pos > o.pos) as b from own o join n on n.tree = o.tree and n.level = o.level and n.pos // {FANOUT} = o.pos // {FANOUT} group by r, o.level
   union all
