@@ -80,6 +80,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             begin = end
 
 
+def raw(texts: pa.Array) -> list[np.ndarray | None]:
+    """Each text's UTF-8 bytes, without a copy."""
+    texts = texts.cast(pa.large_string())
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else []
+    return [data[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], texts.is_valid().to_pylist(), strict=True)]
+
+
 class Words:
     """Words of some texts, split at ASCII white space (\\x20, \\x09-\\x0D):
     `code` has a number for each word in order, `row` the text it stands in,
@@ -144,6 +152,16 @@ def rolling(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return mixed(total)
 
 
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` consecutive values."""
+    have, size = values, 1
+    while 2 * size <= width:
+        have = np.minimum(have[:-size], have[size:])
+        size *= 2
+    rest = width - size
+    return np.minimum(have[: len(have) - rest], have[rest:]) if rest else have
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesmith.llm.common import documents, member_filter, saved, workers
+from tablesmith.llm.common import documents, member_filter, raw, saved, workers
 
 SEED = 7
 RATE = 100
@@ -93,24 +93,16 @@ def entry(packed: bytes, k: int) -> int:
     return ((place - k) << width) | ((window >> first % 8) & ((1 << width) - 1))
 
 
-def _bytes(texts: pa.Array) -> list[np.ndarray | None]:
-    """Each text's UTF-8 bytes, without a copy."""
-    texts = texts.cast(pa.large_string())
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else []
-    return [data[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], texts.is_valid().to_pylist(), strict=True)]
-
-
 @F.arrow_udf(T.BinaryType())
 def _list(texts: pa.Array) -> pa.Array:
-    return pa.array([packed_list(line_ends(x)) for x in _bytes(texts)], pa.binary())
+    return pa.array([packed_list(line_ends(x)) for x in raw(texts)], pa.binary())
 
 
 @F.arrow_udf(T.StructType([T.StructField(x, T.LongType()) for x in ("n", "begin", "end")]))
 def _cuts(first: pa.Array, second: pa.Array, lists: pa.Array, texts: pa.Array) -> pa.Array:
     """Number of lines and both cuts, in code points; from the text where there is no list."""
     out = []
-    for a, b, have, text in zip(first.to_pylist(), second.to_pylist(), lists.to_pylist(), _bytes(texts), strict=True):
+    for a, b, have, text in zip(first.to_pylist(), second.to_pylist(), lists.to_pylist(), raw(texts), strict=True):
         have = packed_list(line_ends(text)) if have is None else have
         n = list_size(have)
         a, b = sorted((a % (n + 1), b % (n + 1)))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablesmith.llm.bytedup import op12_run_index
 from tablesmith.llm.crf import op8_line_crf
 from tablesmith.llm.fingerprints import op10_fingerprints
 from tablesmith.llm.infill import op11_fill_in_middle
@@ -25,7 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_quality": op1_quality, "op2_licenses": op2_licenses, "op3_pseudonyms": op3_pseudonyms,
         "op4_near_duplicates": op4_near_duplicates, "op5_packing": op5_packing, "op6_secrets": op6_secrets, "op7_substrings": op7_substrings,
         "op8_line_crf": op8_line_crf, "op9_mixing": op9_mixing, "op10_fingerprints": op10_fingerprints, "op11_fill_in_middle": op11_fill_in_middle,
-        "op13_manifest": op13_manifest}
+        "op12_run_index": op12_run_index, "op13_manifest": op13_manifest}
 
 
 def oracle_sql() -> dict[str, str]:
