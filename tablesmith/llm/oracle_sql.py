@@ -18,6 +18,7 @@ from tablesmith.llm.quality import (
     MIN_WORDS,
     WORD_BINS,
 )
+from tablesmith.llm.runindex import WINDOW
 from tablesmith.llm.secrets import BASE, RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -63,6 +64,23 @@ select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0)
 """
 
 
+OP12 = f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select doc_id, unnest(range(0, length(x) // 2 - {WINDOW - 1})) as i, x from d),
+k as (select doc_id, i, substr(x, 2 * i + 1, {2 * WINDOW}) as s from w),
+f as (select s, min(doc_id) as first from k group by s),
+g as (select doc_id, i from k join f using (s) where first < doc_id),
+o as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= {WINDOW} then 0 else 1 end as fresh from g),
+n as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as span from o),
+r as (select doc_id, span, min(i) as a, max(i) + {WINDOW} as b from n group by doc_id, span),
+h as (select doc_id, span, a, b, lag(b, 1, 0) over (partition by doc_id order by a) as before from r),
+m as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed, max(b) as last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) as head from h join d using (doc_id) group by doc_id)
+select d.doc_id, length(x) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when m.n_spans is null then x else m.head || substr(x, 2 * m.last + 1) end)) as kept_sha256
+from d left join m on m.doc_id = d.doc_id
+"""
+
+
 def _fields(text: str) -> str:
     field = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
     return " || ".join(field(c if c != "text" else text) for c in FIELDS)
@@ -204,4 +222,4 @@ select *, not base_failed and coalesce(class_distance, 0) <= {MAX_CLASS_DISTANCE
 """
 
 
-SQL = {"op1_quality": _quality(), "op2_licenses": _licenses(), "op4_near_duplicates": OP4, "op6_secrets": _secrets(), "op7_substrings": OP7, "op11_fill_in_middle": OP11, "op13_manifest": OP13}
+SQL = {"op1_quality": _quality(), "op2_licenses": _licenses(), "op4_near_duplicates": OP4, "op6_secrets": _secrets(), "op7_substrings": OP7, "op11_fill_in_middle": OP11, "op12_run_index": OP12, "op13_manifest": OP13}

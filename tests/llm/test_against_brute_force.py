@@ -23,9 +23,9 @@ def rows(spark, sf_dir):
     return get
 
 
-def test_ten_operators():
+def test_all_operators():
     found = {int(n[2:].split("_")[0]) for n in Q.queries() if n.startswith("op")}
-    assert found == set(range(1, 11))
+    assert found == set(range(1, 14))
 
 
 def test_quality(rows, texts):
