@@ -42,12 +42,12 @@ GRAM = 24
 #: Bytes of a text that are hashed at once.
 BLOCK = 1 << 20
 #: Anchors of one packed group, on average.
-GROUP_ANCHORS = 1 << 21
+GROUP_ANCHORS = 1 << 18
 #: About one anchor for so many bytes of text.
 SPACING = 14
 #: Bytes of different passages in one index, on average, and for one anchor at most.
-INDEX_BYTES = 1 << 20
-MOST_BYTES = 1 << 22
+INDEX_BYTES = 1 << 19
+MOST_BYTES = 1 << 21
 
 
 # -- anchors -------------------------------------------------------------------
