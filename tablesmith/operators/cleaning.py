@@ -1,7 +1,7 @@
 """Table-cleaning operators. Each is built from keyword arguments (unknown ones
 are ignored, as rule files may carry notes) and has run(df, inputs) -> (df, logs).
-Nothing runs before an action: a chain of operators is one Catalyst plan, and
-missing columns are found on the schema.
+A chain of operators is one Catalyst plan, and missing columns are found on the schema.
+Nothing runs before an action, but for medians and deep pages, which need ranks first.
 
 Where the order of rows matters (the first of equal rows, limits, first rows of a
 list) it is given by ORDER, a column that `files.read` adds, and by the last Sort
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from tablesmith.functions.exprs import ExpressionError, compile_condition, compile_expression
 from tablesmith.functions.scalars import MAP_FUNCTIONS
+from tablesmith.operators import ranks
 
 #: Hidden column with the rows' input order.
 ORDER = "_ord"
@@ -270,16 +271,27 @@ class Sort(Operator):
         return df, logs
 
 
+def _leaves(c: Column, kind: T.DataType) -> list[tuple[Column, bool]]:
+    """A column as ascending keys: the parts of a struct, in order."""
+    return [x for f in kind.fields for x in _leaves(c.getField(f.name), f.dataType)] if isinstance(kind, T.StructType) else [(c, True)]
+
+
 class Limit(Operator):
-    """Rows skip to skip + n of the current order. After a Sort it is one top-k plan."""
+    """Rows skip to skip + n of the current order. After a Sort it is one top-k plan; far down, the page's rows are found
+    by rank first."""
 
     def __init__(self, n: int = 0, skip: int = 0, **ignored):
         self.n, self.skip = int(n), max(int(skip), 0)
 
     def run(self, df: DataFrame, inputs: Inputs = None) -> Outcome:
+        logs = [f"Limit: {self.n} after {self.skip}"]
         keys = order_keys(df)
+        if self.skip > ranks.SHALLOW and keys:
+            last = _sorted(df)
+            by = [(named(c), up) for c, up in last] if all(c in df.columns for c, _ in last) else []
+            return ranks.page(df, [*by, *_leaves(named(ORDER), df.schema[ORDER].dataType)], self.skip, self.n), logs
         df = df.orderBy(*keys) if keys else df
-        return (df.offset(self.skip) if self.skip else df).limit(self.n), [f"Limit: {self.n} after {self.skip}"]
+        return (df.offset(self.skip) if self.skip else df).limit(self.n), logs
 
 
 class RemoveFields(Operator):
@@ -360,13 +372,14 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "count": F.count,
     "std": F.stddev_samp,
     "var": F.var_samp,
-    "median": F.median,
+    "median": F.median,  # Group finds it by rank
 }
 
 
 class Group(Operator):
     """One aggregate for each named column, under the column's name, sorted by the
-    keys. Rows with a null key are left out; the sum of nothing is 0."""
+    keys. Rows with a null key are left out; the sum of nothing is 0. A median is found
+    by rank, for which jobs run when the operator does; no group is held in one place."""
 
     def __init__(self, by: str | list[str] = (), aggs: dict[str, str] | None = None, **ignored):
         self.by, self.aggs = as_list(by), aggs or {}
@@ -384,10 +397,18 @@ class Group(Operator):
         if not keys or not columns:
             return df, [*logs, "WARNING Group: nothing to group"]
         # aggregates under other names first, as a key may be aggregated too
-        made = [AGGREGATES[self.aggs[c]](named(c)).alias(f"_agg_{i}") for i, c in enumerate(columns)]
-        out = df.na.drop("any", subset=keys).groupBy(*map(named, keys)).agg(*made)
+        rows, places = df.na.drop("any", subset=keys), list(enumerate(columns))
+        medians = [(f"_agg_{i}", c) for i, c in places if self.aggs[c] == "median"]
+        made = [AGGREGATES[self.aggs[c]](named(c)).alias(f"_agg_{i}") for i, c in places if self.aggs[c] != "median"]
+        out = rows.groupBy(*map(named, keys)).agg(*made) if made else None
+        if medians:
+            names, values = zip(*medians, strict=True)
+            found = ranks.percentiles(rows, keys, values, [0.5], names)
+            found = found.select(*map(named, keys), *[F.get(n, F.lit(0)).alias(n) for n in names])
+            out = found if out is None else out.join(found, keys)
         kept = [named(k) for k in keys if k not in columns]
-        return out.select(*kept, *[F.col(f"_agg_{i}").alias(c) for i, c in enumerate(columns)]).orderBy(*[named(k) for k in keys if k not in columns]), [*logs, f"Group: by {', '.join(keys)}"]
+        done = out.select(*kept, *[F.col(f"_agg_{i}").alias(c) for i, c in places])
+        return (done.orderBy(*kept) if kept else done), [*logs, f"Group: by {', '.join(keys)}"]
 
 
 class DropNull(Operator):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesmith.functions.scalars import token_estimate
+from tablesmith.operators import ranks
 
 MOST_TOKENS = 2000
 MESSAGE_TOKENS = 4
@@ -68,6 +69,6 @@ def cost_rollup(df: DataFrame, prices: DataFrame, default: float) -> DataFrame:
 
 def paged(df: DataFrame, order: str, limit: int = 50, offset: int = 0, most: int = 200) -> DataFrame:
     """Newest first; a page has `most` rows at most."""
-    return df.orderBy(F.col(order).desc()).offset(max(offset, 0)).limit(min(limit, most))
+    return ranks.page(df, [(F.col(order), False)], max(offset, 0), min(limit, most))
 
 

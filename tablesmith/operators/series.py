@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesmith.functions.scalars import scale_of, unit_of
+from tablesmith.operators import ranks
 from tablesmith.operators.cleaning import named
 from tablesmith.operators.joins import align_series
 
@@ -66,6 +67,7 @@ def radar(df: DataFrame, by: str, measures: Sequence[str]) -> DataFrame:
 
 
 def box_summary(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Minimum, quartiles and maximum of each group."""
-    five = df.groupBy(named(by)).agg(F.percentile(named(value), F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("p"))
-    return five.select(named(by), *[F.col("p")[i].alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
+    """Minimum, quartiles and maximum of each group, found by rank (jobs run when this is called)."""
+    names = ("low", "q1", "median", "q3", "high")
+    five = ranks.percentiles(df, [by], [value], [0.0, 0.25, 0.5, 0.75, 1.0], ["_five"])
+    return five.select(named(by), *[F.get("_five", F.lit(i)).alias(n) for i, n in enumerate(names)])

@@ -17,9 +17,11 @@ from tablesmith.operators import cleaning as C
 from tablesmith.operators import conversations as L
 from tablesmith.operators import joins as J
 from tablesmith.operators import profile as P
+from tablesmith.operators import ranks
 from tablesmith.operators import retrieval as R
 from tablesmith.operators import series as V
 from tablesmith.operators.cleaning import ORDER
+from tablesmith.plans import written as W
 from tablesmith.plans.rules import RuleEngine
 from tablesmith.session import java_charsets, package_on_workers, shared_dir
 from tablesmith.sources import databases as D
@@ -461,7 +463,26 @@ def _(t):
 
 @query("moving_average", "select event_id, round(avg(value) over (partition by event_type order by ts, event_id rows between 4 preceding and current row), 4) as moving_average from events")
 def _(t):
-    return S.moving_average(t.events, "value", ["ts", "event_id"], 5, ["event_type"]).select("event_id", F.round("moving_average", 4).alias("moving_average"))
+    return ranks.moving_average(t.events, "value", ["ts", "event_id"], 5, ["event_type"]).select("event_id", F.round("moving_average", 4).alias("moving_average"))
+
+
+@query("moving_average_all", "select event_id, round(avg(value) over (order by ts, event_id rows between 9 preceding and current row), 4) as moving_average from events")
+def _(t):
+    return ranks.moving_average(t.events, "value", ["ts", "event_id"], 10).select("event_id", F.round("moving_average", 4).alias("moving_average"))
+
+
+@query("hot_group_median", "select case when l_orderkey % 10 < 9 then 0 else l_linenumber end as k, round(quantile_cont(l_extendedprice, 0.5), 4) as l_extendedprice, count(l_quantity) as l_quantity, round(quantile_cont(nullif(l_discount, 0.05), 0.5), 4) as discount from lineitem group by 1")
+def _(t):
+    """Most rows in one group."""
+    rows = t.lineitem.select(F.when(F.col("l_orderkey") % 10 < 9, 0).otherwise(F.col("l_linenumber")).alias("k"), "l_extendedprice", "l_quantity", F.nullif("l_discount", F.lit(0.05)).alias("discount"))
+    done = run(C.Group(by=["k"], aggs={"l_extendedprice": "median", "l_quantity": "count", "discount": "median"}), rows)
+    return done.select("k", F.round("l_extendedprice", 4).alias("l_extendedprice"), "l_quantity", F.round("discount", 4).alias("discount"))
+
+
+@query("percentiles_all", "select round(quantile_cont(l_extendedprice, 0.01), 4) as low, round(quantile_cont(l_extendedprice, 0.99), 4) as high from lineitem")
+def _(t):
+    found = ranks.percentiles(t.lineitem, [], ["l_extendedprice"], [0.01, 0.99])
+    return found.select(*[F.round(F.get("l_extendedprice", F.lit(i)), 4).alias(n) for i, n in enumerate(("low", "high"))])
 
 
 @query("cost_rollup", "select 'm-' || role as model, cast(sum(greatest(1, length(text) // 3)) as bigint) as tokens, round(sum(greatest(1, length(text) // 3)) * case role when 'user' then 3.0 else 1.5 end / 1e6, 9) as cost from conversations group by role")
@@ -500,6 +521,14 @@ def _(t):
     return L.paged(rows, "o", 20, 40).drop("o")
 
 
+@query("deep_page", "select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey desc, l_linenumber desc limit 300 offset 40000")
+def _(t):
+    """Rows past half the table at sf 0.01."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
+    keys = [(F.col(c), False) for c in ("l_extendedprice", "l_orderkey", "l_linenumber")]
+    return ranks.page(rows, keys, 40_000, 300)
+
+
 @query("union_fuzzy", "select c_custkey as id, c_name as name, c_acctbal as balance, 'customer' as source_file from customer union all select s_suppkey, s_name, s_acctbal, 'supplier' from supplier")
 def _(t):
     a = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
@@ -559,6 +588,79 @@ def _(t):
     return parts[0].union(parts[1]).union(parts[2])
 
 
+CELL = "chr(34) || source || chr(34) || ',;' || chr(13) || chr(10) || text || chr(10) || chr(34) || lang"
+
+
+@query("scan_csv_line_breaks", f"select doc_id, {CELL} as cell, 'a ' || chr(34) || 'b' || chr(34) as other from documents")
+def _(t):
+    """Cells with line breaks, quotes and separators: the whole texts of `documents` among them."""
+    path = _scratch(t, "csv")
+    cell = F.concat(F.lit('"'), "source", F.lit('",;\r\n'), "text", F.lit('\n"'), "lang")
+    W.csv_file(t.documents.select("doc_id", cell.alias("cell"), F.lit('a "b"').alias("other")), f"{path}/cells.csv")
+    return I.read_csv(t.spark, f"{path}/cells.csv").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _unlike_files(t: Tables) -> DataFrame:
+    """A small file before a large one, both out of the order of keys."""
+    root, small = _scratch(t, "unlike"), F.col("o_orderkey") % 40 == 0
+    rows = t.orders.select("o_orderkey", "o_custkey")
+    rows.where(small).coalesce(1).sortWithinPartitions(F.desc("o_orderkey")).write.option("header", True).csv(f"{root}/a")
+    rows.where(~small).coalesce(1).sortWithinPartitions("o_orderkey").write.option("header", True).csv(f"{root}/b")
+    return I.read_csv(t.spark, f"{root}/*", ordered=True)
+
+
+UNLIKE = "(select o_orderkey, o_custkey, row_number() over (order by o_orderkey % 40 <> 0, case when o_orderkey % 40 = 0 then -o_orderkey else o_orderkey end) as nth from orders)"
+
+
+@query("keep_first_of_files", f"select arg_min(o_orderkey, nth) as o_orderkey, o_custkey from {UNLIKE} group by o_custkey")
+def _(t):
+    return run(C.Dedup(by=["o_custkey"]), _unlike_files(t)).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"))
+
+
+@query("limit_of_files", f"select o_orderkey, o_custkey from {UNLIKE} where nth > 7 and nth <= 507")
+def _(t):
+    return run(C.Limit(500, 7), _unlike_files(t)).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"))
+
+
+@query("scan_json_list", "select event_id, event_type, user_id, value, cast(json_extract_string(props, '$.k') as bigint) as k, row_number() over (order by event_id) - 1 as nth from events")
+def _(t):
+    """One list in one file, its elements with strings that hold JSON."""
+    path = f"{_scratch(t, 'list')}/events.json"
+    rows = t.events.orderBy("event_id").select(F.to_json(F.struct("event_id", "event_type", "user_id", "value", "props")))
+    W.json_list(rows, path)
+    df = I.read_json(t.spark, path, ordered=True)
+    return df.select("event_id", "event_type", "user_id", "value", F.get_json_object("props", "$.k").cast("long").alias("k"), F.col(ORDER)["row"].alias("nth"))
+
+
+@query("scan_zip", f"select doc_id, {CELL} as cell, 'cells' as source_file from documents union all select n_nationkey, n_name, 'nations' from nation")
+def _(t):
+    """An archive of two tables; line breaks in cells stay."""
+    root = _scratch(t, "zip")
+    cell = F.concat(F.lit('"'), "source", F.lit('",;\r\n'), "text", F.lit('\n"'), "lang")
+    W.csv_file(t.documents.select("doc_id", cell.alias("cell")), f"{root}/cells.csv")
+    W.csv_file(t.nation.select(F.col("n_nationkey").alias("doc_id"), F.col("n_name").alias("cell")), f"{root}/nations.csv")
+    W.archive(t.spark, {"in/cells.csv": f"{root}/cells.csv", "in/nations.csv": f"{root}/nations.csv", "__MACOSX/x.csv": f"{root}/nations.csv", "in/.y.csv": f"{root}/nations.csv"}, f"{root}/all.zip")
+    union = I.read_zip_tables(t.spark, f"{root}/all.zip")["union"].drop(ORDER)
+    return union.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@query("scan_zip_parquet", "select o_orderkey, o_custkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') as day from orders")
+def _(t):
+    """Types of a Parquet member are its own."""
+    root = _scratch(t, "zip")
+    t.orders.select("o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("day")).coalesce(1).write.parquet(f"{root}/p")
+    W.archive(t.spark, {"orders.parquet": next(x for x in I.list_files(t.spark, f"{root}/p"))}, f"{root}/all.zip")
+    df = I.read(t.spark, f"{root}/all.zip", ordered=False)
+    return df.withColumn("day", F.date_format("day", "yyyy-MM-dd"))  # fails unless it is a date
+
+
+@query("scan_excel", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') as day, o_totalprice > 100000 as large from orders")
+def _(t):
+    path = f"{_scratch(t, 'book')}/orders.xlsx"
+    W.workbook(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("day"), (F.col("o_totalprice") > 100000).alias("large")), path)
+    return I.read(t.spark, path, ordered=False).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @query("scan_csv_encoding", "select p_partkey, p_name || '月份' as name from part")
 def _(t):
     path = _scratch(t, "gbk")
@@ -583,7 +685,7 @@ def _(t):
     root = _scratch(t, "files")
     t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).write.option("header", True).csv(f"{root}/nations.csv")
     t.region.select(F.col("r_name").alias("Name"), F.col("r_regionkey").alias("ID")).write.option("header", True).csv(f"{root}/regions.csv")
-    return default_registry().read(t.spark, Request(paths=(f"{root}/nations.csv", f"{root}/regions.csv")))["union"]
+    return default_registry().read(t.spark, Request(paths=(f"{root}/nations.csv", f"{root}/regions.csv")))["union"].drop(ORDER)
 
 
 @query("event_log", "select event_id, '***' as token, event_type as kind from events")

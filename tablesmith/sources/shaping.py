@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tablesmith.functions.exprs import to_float
 from tablesmith.functions.scalars import comma_float
-from tablesmith.operators.cleaning import ORDER, named
+from tablesmith.operators.cleaning import ORDER, named, visible
 
 LEAST_SIMILARITY = 0.65
 LEAST_NUMERIC, LEAST_NUMERIC_COMMAS = 0.5, 0.8
@@ -81,20 +81,22 @@ def match_columns(tables: list[list[str]], least: float = LEAST_SIMILARITY) -> t
 def fuzzy_union(tables: dict[str, DataFrame], least: float = LEAST_SIMILARITY, promote: bool = True) -> DataFrame:
     """All rows under the standard columns, with source_file; columns of one table
     that meet in one name are coalesced from left to right. Types widen to text
-    where they differ. The tables' own input order goes."""
-    tables = {n: df.drop(ORDER) for n, df in tables.items()}
-    standard, maps = match_columns([df.columns for df in tables.values()], least)
+    where they differ. If all tables have an input order, so has the union: the tables
+    one after the other."""
+    ordered = all(ORDER in df.columns for df in tables.values()) and len({df.schema[ORDER].dataType.simpleString() for df in tables.values()}) == 1
+    orders = [F.struct(F.lit(i).alias("table"), F.col(ORDER).alias("row")).alias(ORDER) for i in range(len(tables))] if ordered else [None] * len(tables)
+    standard, maps = match_columns([visible(df) for df in tables.values()], least)
     kinds: dict[str, set[str]] = {}
     for df, mine in zip(tables.values(), maps, strict=True):
         for c, s in mine.items():
             kinds.setdefault(s, set()).add(df.schema[c].dataType.simpleString())
     parts = []
-    for (source, df), mine in zip(tables.items(), maps, strict=True):
+    for (source, df), mine, order in zip(tables.items(), maps, orders, strict=True):
         columns = []
         for s in standard:
-            from_ = [named(c) if len(kinds[s]) == 1 else named(c).cast("string") for c in df.columns if mine[c] == s]
+            from_ = [named(c) if len(kinds[s]) == 1 else named(c).cast("string") for c in visible(df) if mine[c] == s]
             kind = next(iter(kinds[s])) if len(kinds.get(s, ())) == 1 else "string"
             columns.append((F.coalesce(*from_) if from_ else F.lit(None).cast(kind)).alias(s))
-        parts.append(df.select(*columns, F.lit(source).alias("source_file")))
+        parts.append(df.select(*columns, F.lit(source).alias("source_file"), *[order] * ordered))
     out = reduce(DataFrame.unionByName, parts)
     return promote_numeric(out) if promote else out

@@ -8,6 +8,7 @@ import pytest
 from tablesmith.functions.scalars import page_range
 from tablesmith.operators import profile as P
 from tablesmith.operators import series as V
+from tablesmith.operators.cleaning import ORDER
 from tablesmith.sources import databases as D
 from tablesmith.sources import files, shaping, sinks
 from tablesmith.sources.registry import Request, default_registry, table_names
@@ -94,8 +95,7 @@ def test_zip_members_are_read(spark, tmp_path):
         with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
             z.writestr("d/x.csv", f"{name}1\n5\n")
             z.writestr("__MACOSX/x.csv", "no")
-    got = files.read_zip(spark, str(tmp_path / "*.zip")).collect()
-    assert sorted((r.member, bytes(r.content)) for r in got) == [("d/x.csv", b"a1\n5\n"), ("d/x.csv", b"b1\n5\n")]
+    assert files.zipped_members(spark, str(tmp_path / "b.zip")) == ["d/x.csv"]
     assert [r.a1 for r in files.read(spark, str(tmp_path / "a.zip")).collect()] == [5]
 
 
@@ -108,7 +108,7 @@ def test_zip_tables(spark, tmp_path):
         z.writestr("bad.json", "{")
     got = files.read_zip_tables(spark, str(tmp_path / "t.zip"))
     assert list(got) == ["c", "union"]
-    assert sorted(tuple(r) for r in got["union"].collect()) == [("x", 1, "a"), ("一月", 2, "b")]
+    assert sorted(tuple(r) for r in got["union"].drop(ORDER).collect()) == [("x", 1, "a"), ("一月", 2, "b")]
     assert got["c"].count() == 3
     assert list(default_registry().read(spark, Request(paths=(str(tmp_path / "t.zip"),)))) == ["c", "union"]
     with zipfile.ZipFile(tmp_path / "u.zip", "w") as z:
@@ -224,7 +224,7 @@ def test_registry(spark, tmp_path):
     for n in ("a", "b"):
         (tmp_path / f"{n}.csv").write_text("Name,Total\nx,1\n" if n == "a" else "name,Totals\ny,2\n")
     got = registry.read(spark, Request(paths=(str(tmp_path / "a.csv"), str(tmp_path / "b.csv"))))
-    assert sorted(tuple(r) for r in got["union"].collect()) == [("x", 1, "a"), ("y", 2, "b")]
+    assert sorted(tuple(r) for r in got["union"].drop(ORDER).collect()) == [("x", 1, "a"), ("y", 2, "b")]
     assert table_names(["x/a.csv", "y/a.csv"]) == ["a", "a_1"]
     with pytest.raises(LookupError):
         registry.find(Request())
@@ -270,3 +270,189 @@ def test_stateless_operators_stream(spark, tmp_path):
         stream = op.run(stream)[0]
     run_available(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     assert sorted(r.d for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [8, 10, 12, 14, 16, 18]
+
+
+CELLS = ['plain', 'a "quoted" one', 'two\nlines', 'three\r\n"x,y"\nlines', ',', '', '5" disk', '"', '\n', 'x;y', '一\n月']
+
+
+def _csv_text(rows, quoted=False):
+    import csv
+    import io
+
+    out = io.StringIO()
+    csv.writer(out, quoting=csv.QUOTE_ALL if quoted else csv.QUOTE_MINIMAL).writerows(rows)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "gbk"])
+def test_csv_cells_with_line_breaks(spark, tmp_path, encoding):
+    """Rows as Python's reader has them, from one split and from splits of a few bytes."""
+    rows = [(i, CELLS[i % len(CELLS)], CELLS[(i * 7) % len(CELLS)]) for i in range(150)]
+    path = tmp_path / "t.csv"
+    path.write_bytes(_csv_text([("id", "first\nname", "v"), *rows]).encode(encoding))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "300b", "37b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            df = files.read(spark, str(path))
+            assert df.columns == ["id", "first\nname", "v", ORDER]
+            got = [tuple(r)[:3] for r in df.orderBy(ORDER).collect()]
+            assert got == [(i, a or None, b or None) for i, a, b in rows]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_splits_beyond_the_broadcast_bound(spark, tmp_path, monkeypatch):
+    from tablesmith.sources import records
+
+    rows = [(i, CELLS[i % len(CELLS)]) for i in range(60)]
+    (tmp_path / "t.csv").write_text(_csv_text([("id", "v"), *rows]), newline="")
+    monkeypatch.setattr(records, "MOST_BROADCAST", 0)
+    scan = records.CsvScan(b",")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        states = records.split_states(spark, str(tmp_path), scan)
+        assert len(states) > 10
+        got = records.records(spark, str(tmp_path), scan, states)
+        assert got.count() == 61
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_quotes_within_cells(spark, tmp_path):
+    """A quote that does not begin a cell opens nothing; columns, blank lines and schemas are as without line breaks."""
+    (tmp_path / "t.csv").write_text('id,v,w\n1,5" disk,x\n\n2,"a\nb"\n3,,"c"\n')
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "t.csv"), ordered=True).orderBy(ORDER).drop(ORDER).collect()] == [(1, '5" disk', "x"), (2, "a\nb", None), (3, None, "c")]
+    df = files.read_csv(spark, str(tmp_path / "t.csv"), schema="k string, v string, w string")
+    assert {r.k for r in df.collect()} == {"1", "2", "3"}
+    (tmp_path / "u.csv").write_text('a,a,\n1,"x ""y"" z",2.5\n')
+    df = files.read_csv(spark, str(tmp_path / "u.csv"))
+    assert (df.columns, tuple(df.first())) == (["a0", "a1", "_c2"], (1, 'x "y" z', 2.5))
+
+
+def test_input_order_of_files_of_unlike_sizes(spark, tmp_path):
+    """A small first file and a large second one: Spark reads the large one first, the rows' order is that of the files."""
+    from tablesmith.operators import cleaning as C
+
+    for kind, small, large in (("csv", "k,src\n7,a\n", "k,src\n" + "".join(f"{i % 50},b{i}\n" for i in range(3000))), ("jsonl", '{"k": 7, "src": "a"}\n', "".join(f'{{"k": {i % 50}, "src": "b{i}"}}\n' for i in range(3000)))):
+        folder = tmp_path / f"in.{kind}"
+        folder.mkdir()
+        (folder / f"a.{kind}").write_text(small)
+        (folder / f"b.{kind}").write_text(large)
+        df = files.read(spark, str(folder))
+        first = {r.k: r.src for r in C.Dedup(by=["k"]).run(df)[0].collect()}
+        assert first == {7: "a"} | {i: f"b{i}" for i in range(50) if i != 7}
+        assert [r.src for r in C.Limit(3, 0).run(df)[0].collect()] == ["a", "b0", "b1"]
+
+
+ODD = ["plain", 'quote " one', "back\\", '\\"', "[1, 2", "}],{", "a,b", "", "月\n"]
+
+
+def test_json_list_in_many_tasks(spark, tmp_path):
+    """Elements of one list, however splits fall; also as the only value of an object."""
+    import json
+
+    rows = [{"id": i, "s": ODD[i % len(ODD)], "deep": {"xs": [i, [i, ODD[(i * 5) % len(ODD)]][0]], "t": ODD[(i * 3) % len(ODD)]}} for i in range(120)]
+    (tmp_path / "list.json").write_text(json.dumps(rows))
+    (tmp_path / "object.json").write_text(json.dumps({"the \"rows\"": rows}, indent=2, ensure_ascii=False))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "1000b", "41b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            for name in ("list", "object"):
+                df = files.read_json(spark, str(tmp_path / f"{name}.json"), ordered=True)
+                assert ("_jsonl_row_idx" in df.columns) == (name == "object")
+                got = df.orderBy(ORDER).collect()
+                assert [{"id": r.id, "s": r.s, "deep": r.deep.asDict()} for r in got] == rows
+                assert name == "list" or [r._jsonl_row_idx for r in got] == list(range(120))
+            assert size == "128m" or df.rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize(("text", "want"), [("[]", []), (" [ ] ", []), ('[{"a": 1}]', [1]), ('{"k": [{"a": 1}, {"a": 2}]}\n', [1, 2]), ('{"a": 1}', [1]), ('{"a": 1, "b": [{"a": 2}, {"a": 3}]}', [1]), ('{"b": [{"a": 2}, {"a": 3}], "a": 5}', [5])])
+def test_json_roots(spark, tmp_path, text, want):
+    (tmp_path / "t.json").write_text(text)
+    df = files.read_json(spark, str(tmp_path / "t.json"))
+    assert [r.a for r in df.collect()] == want if want else df.count() == 0
+
+
+@pytest.mark.parametrize("text", ["[1, 2]", '[{"a": 1}', '{"a": ', '[{"a": 1},, {"a": 2}]'])
+def test_bad_json_is_an_error(spark, tmp_path, text):
+    (tmp_path / "t.json").write_text(text)
+    with pytest.raises(Exception):
+        files.read_json(spark, str(tmp_path / "t.json")).collect()
+
+
+def test_zip_members_are_kept_as_they_are(spark, tmp_path):
+    """Line breaks in cells, types of Parquet members, order, and encodings that show late; only the members' own bytes are read."""
+    from tablesmith.sources import archives
+
+    spark.sql("select id, timestamp'2024-01-02 03:04:05' t, date'2024-02-03' d, cast(id as decimal(10,2)) m, array(id) xs from range(3)").coalesce(1).write.parquet(str(tmp_path / "p"))
+    part = next((tmp_path / "p").glob("part-*")).read_bytes()
+    rows = [(i, CELLS[i % len(CELLS)]) for i in range(40)]
+    for name, how in (("stored", zipfile.ZIP_STORED), ("packed", zipfile.ZIP_DEFLATED)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", how) as z:
+            z.writestr("cells.csv", _csv_text([("id", "v"), *rows]))
+        with zipfile.ZipFile(tmp_path / f"{name}-p.zip", "w", how) as z:
+            z.writestr("typed.parquet", part)
+        got = files.read(spark, str(tmp_path / f"{name}.zip"))
+        assert [tuple(r)[:2] for r in got.orderBy(ORDER).collect()] == [(i, v or None) for i, v in rows]
+        got = files.read(spark, str(tmp_path / f"{name}-p.zip"), ordered=False)
+        assert got.dtypes == spark.read.parquet(str(tmp_path / "p")).dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, spark.read.parquet(str(tmp_path / "p")).collect()))
+    with zipfile.ZipFile(tmp_path / "late.zip", "w") as z:
+        z.writestr("late.csv", b"k,v\n" + b"1,plain\n" * 200_000 + "2,月份\n".encode("gbk"))
+        z.writestr("x.txt", "no")
+    assert files.read(spark, str(tmp_path / "late.zip")).where("k = 2").first().v == "月份"
+    assert archives.members(str(tmp_path / "late.zip")) == ["late.csv"]
+
+
+def workbook(path, sheets, order, styles="", book="", links=True):
+    """A workbook of sheets (part number -> rows of XML cells), listed in `order`."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">{book}<sheets>{"".join(f"""<sheet name="s{n}" sheetId="{n}" r:id="rId{n}"/>""" for n in order)}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(f"""<Relationship Id="rId{n}" Target="worksheets/sheet{n}.xml"/>""" for n in sheets)}</Relationships>')
+        z.writestr("xl/styles.xml", f"<styleSheet {ns}>{styles}</styleSheet>")
+        for n, rows in sheets.items():
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f"<worksheet {ns}><sheetData>{''.join(f'<row>{r}</row>' for r in rows)}</sheetData></worksheet>")
+
+
+def test_workbook_types_dates_and_sheets(spark, tmp_path):
+    """The first sheet by the workbook's order; dates by number format; columns of one kind keep it."""
+    import datetime
+
+    text = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
+    head = text("A1", "n") + text("B1", "day") + text("C1", "x") + text("D1", "ok") + text("E1", "mixed") + text("F1", "code")
+    one = '<c r="A2"><v>5</v></c><c r="B2" s="1"><v>45000</v></c><c r="C2"><v>1.5</v></c><c r="D2" t="b"><v>1</v></c><c r="E2"><v>7</v></c>' + text("F2", "007")
+    two = '<c r="A3"><v>6</v></c><c r="B3" s="2"><v>45000.5</v></c><c r="D3" t="b"><v>0</v></c>' + text("E3", "seven")
+    styles = '<numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm\\-dd\\ hh:mm"/><numFmt numFmtId="171" formatCode="&quot;days&quot; 0"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs>'
+    workbook(tmp_path / "t.xlsx", {1: [text("A1", "wrong")], 2: [head, one, "", two]}, [2, 1], styles)
+    df = files.read_excel(spark, str(tmp_path / "t.xlsx"), ordered=True)
+    assert [t for _, t in df.drop(ORDER).dtypes] == ["bigint", "timestamp", "double", "boolean", "string", "string"]
+    got = [tuple(r)[:6] for r in df.orderBy(ORDER).collect()]
+    assert got == [(5, datetime.datetime(2023, 3, 15), 1.5, True, "7", "007"), (6, datetime.datetime(2023, 3, 15, 12), None, False, "seven", None)]
+    workbook(tmp_path / "u.xlsx", {1: [text("A1", "d"), '<c r="A2" s="3"><v>2</v></c>']}, [1], styles, '<workbookPr date1904="1"/>')
+    assert files.read_excel(spark, str(tmp_path / "u.xlsx")).dtypes == [("d", "bigint")]
+    workbook(tmp_path / "v.xlsx", {1: [text("A1", "d"), '<c r="A2" s="1"><v>2</v></c>']}, [1], styles, '<workbookPr date1904="1"/>')
+    assert files.read_excel(spark, str(tmp_path / "v.xlsx")).first().d == datetime.datetime(1904, 1, 3)
+
+
+def test_line_numbers_of_bad_lines_over_splits(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text("".join("bad\n" if i % 97 == 5 else f'{{"a": {i}}}\n' for i in range(1000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "777b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert [r.line for r in files.bad_lines(spark, str(tmp_path / "t.jsonl")).collect()] == [i + 1 for i in range(1000) if i % 97 == 5]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
