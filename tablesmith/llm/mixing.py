@@ -6,11 +6,11 @@ its language). Every document gets a rate, how often it is to appear, so that
 the expected tokens of each domain (words times rate times membership) match the
 target weights: nonnegative least squares by projected gradient. One step moves
 a document's rate against the domains' errors, as far as it belongs to them, and
-puts it back between the bounds; the errors, and how they follow a move, by which
-the step is scaled, are distributed sums. A rate follows from a document's
-memberships and the sum of all steps so far, so no state is kept between steps.
-Rates have no upper bound, so a rare domain reaches its weight too. `copies` rounds the rate up or down by
-the document's hash, so that its expectation is the rate.
+puts it back between the bounds; the errors, and how far the rates went, by which the
+next step is scaled, are distributed sums. A rate is a fold of a document's
+memberships over all steps so far, so no state is kept between steps. Rates have no
+upper bound, so a rare domain reaches its weight too. `copies` rounds the rate up or
+down by the document's hash, so that its expectation is the rate.
 
 The classifier is fitted on at most TRAIN_DOCUMENTS documents, those with the
 smallest hash of doc_id; memberships and sums cover all documents.
@@ -39,12 +39,11 @@ BUCKETS = 1 << 12
 SMOOTHING = 0.1
 #: Words beyond this number add no certainty: their evidence is averaged.
 EVIDENCE_WORDS = 50
-#: Steps before fit_rates gives up, with an error.
-MOST_STEPS = 200
+#: Moves that are tried at most, and those of them with weighted errors.
+MOST_STEPS, SCALED_STEPS = 120, 10
 CLOSE = 1e-4
-#: Least weight of the rates' distance from 1 against the errors. It falls to this as long as the errors fall with it, so
-#: that the rates stay defined where the weights can't be met.
-LEAST_DAMPING = 1e-8
+#: So many moves must take this share off the squared errors, or the fit has come to rest.
+CALM, LEAST_GAIN = 6, 0.02
 
 
 def _word_rows(docs: DataFrame, *more: str) -> DataFrame:
@@ -89,63 +88,74 @@ def _dot(p: Column, errors: Column) -> Column:
     return F.aggregate(F.zip_with(p, errors, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
 
-def rate(p: Column, moves: list[list[float]], least: float, most: float) -> Column:
-    """The rate after all moves so far, each given as step times error of each domain."""
+def rate(p: Column, moves: list[list[float]], least: float, most: float, start: Column | None = None) -> Column:
+    """The rate after all moves, each given as length times error of each domain; it starts at 1."""
+    start = F.lit(1.0) if start is None else start
     if not moves:
-        return F.lit(1.0)
+        return start
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in moves])
-    return F.aggregate(steps, F.lit(1.0), lambda r, m: F.greatest(F.lit(least), F.least(F.lit(most), r - _dot(p, m))))
+    return F.aggregate(steps, start, lambda r, m: F.greatest(F.lit(least), F.least(F.lit(most), r - _dot(p, m))))
 
 
 def fit_rates(known: DataFrame, weights: list[float], least: float, most: float = math.inf) -> list[list[float]]:
-    """Moves of the projected gradient; known: rows, n_tokens, p. Warns with the remaining errors where the documents can't
-    meet the weights within the bounds, and raises where the steps do not come to an end."""
-    n, k = len(weights), range(len(weights))
+    """Moves of the projected gradient; known: rows, n_tokens, p. A move takes all rates against the gradient of the squared
+    errors at once (rate - p * move), then puts each back between the bounds. Its length is that which would have made the
+    last two gradients equal (Barzilai and Borwein), at least 1 / the largest eigenvalue of the domains' curvature; a move
+    after which the errors are larger than after the last few is tried again shorter.
+
+    The first moves weight each domain's error by its curvature, so that rare domains keep pace; where all weights can be
+    met they come to an end within a few moves. If they do not, plain least squares follow. Where the errors fall no more
+    (the documents can't meet the weights within the bounds) or after MOST_STEPS, the best rates so far stand, with a
+    warning that names the errors left."""
+    k = range(len(weights))
+    p = [F.col("p")[i] for i in k]
     tokens = F.col("rows") * F.col("n_tokens")
-    upper = [(i, j) for i in k for j in range(i, n)]
-
-    def totals(move: list[float]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each domain, and how they follow the move: what documents between the bounds share of each two domains."""
-        r = rate(F.col("p"), [move], least, most)
-        at = known.select("p", tokens.alias("t"), r.alias("r"))
-        free = F.when((F.col("r") > least) & (F.col("r") < most), F.col("t")).otherwise(0)
-        p = [F.col("p")[i] for i in k]
-        found = at.agg(*[F.sum(F.col("t") * F.col("r") * x) for x in p], *[F.sum(free * p[i] * p[j]) for i, j in upper]).collect()[0]
-        values = [x or 0.0 for x in found]
-        bend = np.zeros((n, n))
-        for (i, j), x in zip(upper, values[n:], strict=True):
-            bend[i, j] = bend[j, i] = x
-        return np.array(values[:n]), bend
-
-    target, move = np.array(weights), np.zeros(n)
-    now, bend = totals(move.tolist())
-    start = now
+    upper = [(i, j) for i in k for j in k if i <= j]
+    sums = known.agg(*[F.sum(tokens * x) for x in p], *[F.sum(tokens * p[i] * p[j]) for i, j in upper]).first()
+    start, bend = np.array([x or 0.0 for x in sums[: len(weights)]]), np.zeros((len(weights), len(weights)))
+    for (i, j), x in zip(upper, sums[len(weights) :], strict=True):
+        bend[i, j] = bend[j, i] = x or 0.0
     if not start.sum():
         return []
+    target = np.array(weights)
     # Where no document may be left out, the smallest corpus in which the largest domain has its share; else as many tokens as there are.
     size = (start / target).max() if least >= 1 else start.sum()
-    errors, steps, kept = now / size - target, 0, None
-    damping = float(min(1e-3, max(1e-6, start.min() / size / 10)))  # below the share of the rarest domain, which it would hold back
-    while np.abs(errors).max() >= CLOSE:
-        worst, rest = np.abs(errors).max(), errors - damping * move
-        if np.abs(rest).max() < max(CLOSE, worst) / 10:
-            if kept is not None and (worst > 0.9 * kept[0] or damping < LEAST_DAMPING):  # the bounds allow no more
-                move, errors = kept[1:]
-                warnings.warn(f"mixing: the documents do not meet the weights; errors {[round(float(e), 6) for e in errors]}", RuntimeWarning, stacklevel=2)
-                break
-            kept, damping = (worst, move, errors), damping / 10
-            continue
-        if steps >= MOST_STEPS:
-            raise RuntimeError(f"mixing: no rates after {steps} steps; errors {[round(float(e), 6) for e in errors]}")
-        step = np.linalg.solve(bend / size + damping * np.eye(n), rest)
-        for half in range(12):
-            trial = move + step / 2**half
-            now, bend_there = totals(trial.tolist())
-            steps, there = steps + 1, now / size - target
-            if (there - damping * trial) @ step >= -(rest @ step) / 2:  # not far past the best place in this direction
+
+    def after(moves: list[list[float]], move: list[float]) -> tuple[np.ndarray, float]:
+        """The errors after one more move, and how far it took the rates (squares, by tokens)."""
+        at = known.select("p", tokens.alias("t"), rate(F.col("p"), moves, least, most).alias("r"))
+        at = at.withColumn("to", rate(F.col("p"), [move], least, most, F.col("r")))
+        found = at.agg(*[F.sum(F.col("t") * F.col("to") * x) for x in p], F.sum(F.col("t") * (F.col("to") - F.col("r")) ** 2)).first()
+        return np.array(found[:-1]) / size - target, found[-1] / size
+
+    moves: list[list[float]] = []
+    errors, left = start / size - target, MOST_STEPS
+    for scale, tries in ((np.maximum(np.diag(bend) / size, 1e-12), SCALED_STEPS), (np.ones(len(weights)), MOST_STEPS)):
+        shortest = 1 / np.linalg.eigvalsh(bend / size / np.sqrt(np.outer(scale, scale))).max()
+        length, cost = shortest, lambda e: float((e * e / scale).sum())  # noqa: B023
+        past, best = [cost(errors)], (cost(errors), len(moves), errors)
+        while np.abs(errors).max() >= CLOSE and left > 0 and len(past) <= tries:
+            if len(past) > CALM and min(past[-CALM:]) > (1 - LEAST_GAIN) * min(past[:-CALM]):
                 break
-        move, bend, errors = trial, bend_there, there
-    return [move.tolist()] if move.any() else []
+            move, left = (length * errors / scale).tolist(), left - 1
+            there, moved = after(moves, move)
+            change = there - errors
+            bent = cost(change)
+            if not bent:
+                break  # all rates that could move are at a bound, or the errors cancel out in each document
+            if cost(there) > max(past[-4:]) and length > 1.001 * shortest:
+                length = max(shortest, length * max(0.1, -float((errors * change / scale).sum()) / bent / 2))
+                continue
+            moves.append(move)
+            errors = there
+            past.append(cost(errors))
+            if past[-1] < best[0]:
+                best = (past[-1], len(moves), errors)
+            length = min(max(moved / bent, shortest), 1000 * shortest)
+        moves, errors = moves[: best[1]], best[2]
+    if np.abs(errors).max() >= CLOSE:
+        warnings.warn(f"mixing: the documents do not meet the weights; errors {[round(float(e), 6) for e in errors]}", RuntimeWarning, stacklevel=2)
+    return moves
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang", least: float = 0.0, most: float = math.inf) -> DataFrame:

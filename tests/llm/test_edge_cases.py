@@ -505,6 +505,38 @@ def test_rates_are_a_least_squares_solution(spark):
     assert np.linalg.norm(a @ r - goal) <= np.linalg.norm(a @ q - goal) * 1.001 + 1e-6
 
 
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_each_move_is_one_of_plain_projected_gradient(spark, least):
+    """A move is a positive multiple of the gradient at the rates before it (first of errors weighted by domain, then of
+    plain ones), and the rates are those of a step in numpy with projection."""
+    rng = np.random.default_rng(9)
+    p, t = rng.dirichlet([2, 1, 0.4], 60), rng.integers(1, 90, 60).astype(float)
+    weights = np.array([0.2, 0.5, 0.3])
+    df = spark.createDataFrame([(1, int(n), [float(x) for x in row]) for n, row in zip(t, p, strict=True)], "rows long, n_tokens long, p array<double>")
+    moves = mixing.fit_rates(df, weights.tolist(), least)
+    size = (t @ p / weights).max() if least else t.sum()
+    curvature = (t @ (p * p)) / size
+    r, costs = np.ones(60), []
+    for m in moves:
+        errors = (t * r) @ p / size - weights
+        lengths = [(np.array(m) * c @ errors / (errors @ errors), np.array(m) * c) for c in (curvature, np.ones(3))]
+        assert any(n > 0 and np.allclose(x, n * errors, rtol=1e-6, atol=1e-12) for n, x in lengths)
+        costs.append(errors @ errors)
+        r = np.maximum(least, r - p @ np.array(m))
+    got = [x.r for x in df.select(mixing.rate(F.col("p"), moves, least, np.inf).alias("r")).collect()]
+    assert np.allclose(got, r)
+    final = (t * r) @ p / size - weights
+    assert moves and (final @ final) < costs[0] / 10
+
+
+def test_fit_ends_where_steps_run_out(spark, monkeypatch):
+    """No error, but the best rates so far."""
+    monkeypatch.setattr(mixing, "MOST_STEPS", 1)
+    df = spark.createDataFrame([(1, 10, [0.9, 0.1]), (1, 10, [0.2, 0.8])], "rows long, n_tokens long, p array<double>")
+    with pytest.warns(RuntimeWarning, match="errors"):
+        assert len(mixing.fit_rates(df, [0.3, 0.7], 1.0)) == 1
+
+
 @pytest.mark.parametrize("least", [0.0, 1.0])
 def test_mixing_of_a_rare_domain(spark, least):
     """One domain with 1 % of the tokens gets its weight too."""
