@@ -4,8 +4,10 @@ Templates (whole licence texts, notices and short phrases) and documents are row
 of words. The hashes of all rolling word grams of every document are joined with
 the templates' gram positions: grams of K words, and of 2 or 1 for phrases that
 have fewer. Each word is hashed once; a gram's hash rolls up from those of its two
-halves. A match at document word d and template word t votes, once its words are
-compared, for the template on the diagonal d - t.
+halves. A match at document word d and template word t votes for the template on the
+diagonal d - t. The rows that are joined hold a hash and its place, no words; the
+documents that have matches are read again, and their words compared at those places, so
+the work grows with a text's length alone.
 Votes are gathered by diagonal; neighbouring diagonals, as words put in or left
 out make them, are merged into spans. A span is verified by the share of the
 template's grams that it holds. A phrase is found where one diagonal holds all
@@ -23,7 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import documents
+from tablesmith.llm.common import documents, member_filter, saved, text_key
 from tablesmith.llm.license_texts import TEXTS
 
 #: Words of a gram, a power of two.
@@ -93,43 +95,46 @@ def license_spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     for k in sizes[1:]:
         grams = grams.withColumn(f"_{k}", _rolled(F.col(f"_{k // 2}"), k))
     grams = grams.withColumn("h", F.coalesce(*[F.when(F.col("k") == k, F.get(f"_{k}", F.lit(0))) for k in sizes])).drop(*[f"_{k}" for k in sizes])
-    # the one row that every document meets, so that none is lost in the join
-    every = F.lit(0).cast("long")
-    none = spark.range(1).select(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("phrase"), F.lit(1).alias("grams"), F.lit(1).alias("k"), F.lit(0).alias("t"), F.lit(None).cast("array<string>").alias("gram"), every.alias("h"))
-    positions = grams.union(none.select(*grams.columns))
-    positions = F.broadcast(positions) if len(rows) <= MOST_BROADCAST else positions
+    positions = F.broadcast(grams) if len(rows) <= MOST_BROADCAST else grams
 
     low = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("words"))
-    base = base.withColumn("n_words", F.size("words").cast("long")).withColumn("_1", F.transform("words", lambda w: F.xxhash64(w)))
+    words = F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), words.alias("words"))
+    keys = ["doc_id", "text_key"]
+    counted = base.select(*keys, F.size("words").cast("long").alias("n_words")).groupBy(*keys).agg(F.first("n_words").alias("n_words"), F.count("*").alias("rows"))
+    rolled = base.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("_1"))
     for k in sizes[1:]:
-        base = base.withColumn(f"_{k}", _rolled(F.col(f"_{k // 2}"), k))
+        rolled = rolled.withColumn(f"_{k}", _rolled(F.col(f"_{k // 2}"), k))
     used = sorted({k for *_, k in sized})
     place = lambda h, i: F.struct(i.alias("d"), h.alias("h"))
-    found = F.concat(*[F.transform(f"_{k}", place) for k in used], F.array(F.struct(F.lit(0).alias("d"), every.alias("h"))))
-    each = base.select("doc_id", "text_key", "n_words", "words", F.explode(found).alias("at")).select("doc_id", "text_key", "n_words", "words", "at.*")
-    votes = each.join(positions, "h")
-    votes = votes.where((F.col("template") < 0) | (F.slice("words", F.col("d") + 1, F.col("k")) == F.col("gram")))
-    votes = votes.select("doc_id", "text_key", "n_words", "template", "label", "phrase", "grams", "k", "t", F.when(F.col("template") < 0, 0).otherwise(F.col("d") - F.col("t")).alias("diagonal")).repartition("doc_id", "text_key")
-
-    keys = ["doc_id", "text_key", "n_words"]
-    lines = votes.groupBy(*keys, "template", "label", "phrase", "grams", "k", "diagonal").agg(F.collect_set("t").alias("held"), F.count("*").alias("rows"))
-    strong = (F.col("template") >= 0) & F.when(F.col("phrase"), F.size("held") == F.col("grams")).otherwise(F.size("held") >= F.least(F.lit(LEAST_VOTES), F.col("grams")))
-    lines = lines.where((F.col("template") < 0) | strong)
+    each = rolled.select(*keys, F.explode(F.concat(*[F.transform(f"_{k}", place) for k in used])).alias("at")).select(*keys, "at.*")
+    # a gram's row has its hash alone; words are compared once for each document, at the places that matched
+    met = each.join(positions, "h").groupBy(*keys).agg(F.collect_list(F.struct("template", "label", "phrase", "grams", "k", "t", "d", "gram")).alias("votes"))
+    met = saved(met.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), "votes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").where(member_filter(met, "_key", on="text_key"))
+    both = texts.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).dropDuplicates(keys).select(*keys, words.alias("words"), "votes")
+    sure = F.filter("votes", lambda v: F.slice("words", v["d"] + 1, v["k"]) == v["gram"])
+    votes = both.select(*keys, F.inline(sure)).withColumn("diagonal", F.col("d") - F.col("t"))
+
+    lines = votes.groupBy(*keys, "template", "label", "phrase", "grams", "k", "diagonal").agg(F.collect_set("t").alias("held"))
+    strong = F.when(F.col("phrase"), F.size("held") == F.col("grams")).otherwise(F.size("held") >= F.least(F.lit(LEAST_VOTES), F.col("grams")))
+    lines = lines.where(strong)
     order = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > SLACK, F.lit(True)) | F.col("phrase")
     islands = lines.withColumn("new", apart.cast("int")).withColumn("island", F.sum("new").over(order))
     spans = islands.groupBy(*keys, "template", "label", "phrase", "grams", "k", "island").agg(
-        F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"), F.min(F.col("diagonal") + F.array_min("held")).alias("start"), F.max(F.col("diagonal") + F.array_max("held") + F.col("k")).alias("end"), F.max("rows").alias("rows")
+        F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"), F.min(F.col("diagonal") + F.array_min("held")).alias("start"), F.max(F.col("diagonal") + F.array_max("held") + F.col("k")).alias("end")
     )
     spans = spans.withColumn("cover", F.size("held") / F.col("grams"))
     found = spans.groupBy(*keys).agg(
-        F.max(F.when(F.col("template") < 0, F.col("rows"))).alias("rows"),
         F.array_sort(F.collect_list(F.when(F.col("phrase"), F.struct("start", "label")))).alias("places"),
-        F.array_sort(F.collect_list(F.when((F.col("template") >= 0) & ~F.col("phrase"), F.struct("start", "end", "label", "cover")))).alias("spans"),
-    )
-    copies = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return copies.select("doc_id", "n_words", "places", "spans")
+        F.array_sort(F.collect_list(F.when(~F.col("phrase"), F.struct("start", "end", "label", "cover")))).alias("spans"),
+    )
+    found = found.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    every = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    nothing = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("places", "spans")]
+    copies = every.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return copies.select("doc_id", "n_words", *nothing)
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
