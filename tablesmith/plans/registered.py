@@ -774,6 +774,32 @@ def _(t):
     return t.spark.createDataFrame(rows, "table_name string, rows long, name string, type string, primary_key boolean, foreign_key string, nullable boolean")
 
 
+@query("scan_sqlite", "select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey > 500 and o_orderstatus in ('F', 'P') and o_totalprice <= 200000.5")
+def _(t):
+    """A database written from `orders`; the conditions are part of its statements."""
+    path = f"{_scratch(t, 'db')}/orders.db".removeprefix("file://")
+    W.sqlite_table(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey"), path, "orders")
+    return D.read_sqlite(t.spark, path, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"], [("o_orderkey", ">", 500), ("o_orderstatus", "in", ["F", "P"]), ("o_totalprice", "<=", 200000.5)])
+
+
+KEYED = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus"]}
+
+
+def _keys_sql() -> str:
+    """Each pair of columns: no value of the first is missing in the second, and the second has each value once."""
+    columns = [(t, c, "n" if c.endswith("key") else "t") for t, cs in KEYED.items() for c in cs]
+    return " union all ".join(
+        f"select '{t}' as table_name, '{c}' as column_name, '{u}' as ref_table, '{d}' as ref_column where (select count({c}) from {t}) > 0 and (select count({d}) = count(distinct {d}) from {u}) and not exists (select 1 from {t} where {c} is not null and {c} not in (select {d} from {u} where {d} is not null))"
+        for t, c, k in columns for u, d, m in columns if k == m and (t, c) != (u, d)
+    )
+
+
+@query("find_keys", _keys_sql())
+def _(t):
+    found = D.find_keys({n: getattr(t, n).select(*cs) for n, cs in KEYED.items()})
+    return t.spark.createDataFrame(found, "table_name string, column_name string, ref_table string, ref_column string")
+
+
 @query("schema_text", "select '- ' || name || ' (' || cast(n as varchar) || ' rows)' as line from (select 'region' as name, count(*) as n from region union all select 'part', count(*) from part)")
 def _(t):
     text = P.schema_text(D.introspect({"region": t.region, "part": t.part}))

@@ -121,3 +121,20 @@ def archive(spark: SparkSession, members: dict[str, str], path: str) -> None:
                     shutil.copyfileobj(a, b)
 
     _in_one_task(spark.range(1), write)
+
+
+def sqlite_table(df: DataFrame, path: str, table: str) -> None:
+    """A table of a new SQLite file; path: a local one."""
+    names = df.columns
+
+    def write(batches: Iterator) -> None:
+        import sqlite3
+        from pathlib import Path
+
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        with sqlite3.connect(path) as db:
+            db.execute(f"CREATE TABLE {table} ({', '.join(names)})")
+            for batch in batches:
+                db.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(names))})", zip(*(c.to_pylist() for c in batch.columns), strict=True))
+
+    _in_one_task(df, write)

@@ -3,16 +3,18 @@ introspection, a SQLite reader and JDBC options."""
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import quote_plus
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tablesmith.session import package_on_workers
+from tablesmith.session import package_on_workers, written
 
 MOST_ROWS = 100_000
 MOST_QUERIES = 5
@@ -154,14 +156,82 @@ def jdbc_url(kind: str, host: str, database: str, port: int | None = None) -> st
     return f"jdbc:oracle:thin:@//{host}:{port}/{database}" if kind == "oracle" else f"jdbc:{kind}://{host}:{port}/{quote_plus(database)}"
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, user: str, password: str, **options: str) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, query=query, user=user, password=password, **options).load()
+def read_jdbc(spark: SparkSession, url: str, query: str, user: str = "", password: str = "", column: str | None = None, parts: int = 0, **options: str) -> DataFrame:
+    """A query's rows. With column (a number, a date or a time) they are read by ranges of it: its least and greatest value
+    are asked for first, and `parts` tasks (by default as many as the session has cores) read a range each; rows without
+    a value come with the first. Filters and columns reach the database either way."""
+    connect = lambda **what: spark.read.format("jdbc").options(url=url, user=user, password=password, **options, **what)
+    if column is None:
+        return connect(query=query).load()
+    low, high = connect(query=f"SELECT min({column}) AS low, max({column}) AS high FROM ({query}) q").load().first()
+    reader = connect(dbtable=f"({query}) q")
+    if low is None:
+        return reader.load()
+    return reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts or spark.sparkContext.defaultParallelism)).load()
+
+
+def jdbc_keys(spark: SparkSession, url: str, tables: list[str], user: str = "", password: str = "", schema: str | None = None) -> dict[str, dict]:
+    """Primary and foreign keys and required columns of tables, from the database's own metadata, as `introspect` takes them."""
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, user, password)
+    try:
+        about = connection.getMetaData()
+
+        def rows(found, *names: str) -> list[tuple]:
+            out = []
+            while found.next():
+                out.append(tuple(found.getString(n) for n in names))
+            found.close()
+            return out
+
+        out = {}
+        for t in tables:
+            primary = sorted((int(n), c) for c, n in rows(about.getPrimaryKeys(None, schema, t), "COLUMN_NAME", "KEY_SEQ"))
+            links = rows(about.getImportedKeys(None, schema, t), "FKCOLUMN_NAME", "PKTABLE_NAME", "PKCOLUMN_NAME")
+            columns = rows(about.getColumns(None, schema, t, "%"), "COLUMN_NAME", "IS_NULLABLE")
+            out[t] = {"primary": [c for _, c in primary], "required": [c for c, nullable in columns if nullable == "NO"], "foreign": {c: f"{ref}.{of}" for c, ref, of in links}}
+        return out
+    finally:
+        connection.close()
+
+
+#: Least estimated share of a column's values in another, for the pair to be looked at: sketches are within some 5 % of it.
+LEAST_SHARED = 0.85
+
+
+def find_keys(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, str]]:
+    """(table, column, other table, its column) where all values of a column are values of the other, which has each of its
+    own once: what a foreign key would be. One pass over each table makes a sketch of every column of whole numbers, text
+    or dates; the sketches of all pairs are met, and what may be included is verified on the rows by anti joins. A
+    column without values is none."""
+    families = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "bigint": "bigint", "string": "string", "date": "date"}
+    parts = []
+    for name, df in tables.items():
+        mine = [(c, families[k]) for c, k in df.dtypes if k in families]
+        made = []
+        for i, (c, family) in enumerate(mine):
+            value = F.col(f"`{c}`").cast("string" if family == "date" else family)
+            made += [F.count(value).alias(f"n{i}"), F.theta_sketch_agg(value).alias(f"s{i}")]
+        if made:
+            columns = [F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"), F.lit(family).alias("family"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("sketch")) for i, (c, family) in enumerate(mine)]
+            parts.append(df.agg(*made).select(F.inline(F.array(*columns))))
+    if not parts:
+        return []
+    found = written(reduce(DataFrame.union, parts).where("n > 0").withColumn("different", F.theta_sketch_estimate("sketch")), "sketches")
+    a, b = found.alias("a"), found.alias("b")
+    other = (F.col("a.table") != F.col("b.table")) | (F.col("a.column") != F.col("b.column"))
+    met = a.join(b, (F.col("a.family") == F.col("b.family")) & other & (F.col("b.different") >= LEAST_SHARED * F.col("b.n")))
+    near = F.theta_sketch_estimate(F.theta_intersection("a.sketch", "b.sketch")) >= LEAST_SHARED * F.col("a.different")
+    pairs = [tuple(r) for r in met.where(near).select("a.table", "a.column", "b.table", "b.column").collect()]
+    values = lambda t, c: tables[t].select(F.col(f"`{c}`").alias("v")).where("v is not null")
+    once = {x: values(*x).groupBy("v").count().where("count > 1").isEmpty() for x in {p[2:] for p in pairs}}
+    return sorted(p for p in pairs if once[p[2:]] and values(*p[:2]).distinct().join(values(*p[2:]), "v", "left_anti").isEmpty())
 
 
 class SqliteSource(DataSource):
     """spark.read.format("sqlite").option("path", ...).option("query", ...): one
     partition for each range of rowid where the query is a table's name or takes
-    all of a table; another query is read in one task."""
+    columns of all its rows; another query is read in one task. Option conditions:
+    a JSON list of what else rows must meet (read_sqlite makes it)."""
 
     @classmethod
     def name(cls) -> str:
@@ -174,26 +244,27 @@ class SqliteSource(DataSource):
 
     def _table(self) -> str | None:
         """The table that the query names or selects as a whole, if it has rowids; quoted."""
-        m = re.fullmatch(r"""\s*(?:select\s+\*\s+from\s+)?("?)(\w+)\1\s*;?\s*""", self.options["query"], re.IGNORECASE)
+        m = re.fullmatch(r"""\s*(?:select\s+(?P<columns>\*|\w+(?:\s*,\s*\w+)*)\s+from\s+)?("?)(\w+)\2\s*;?\s*""", self.options["query"], re.IGNORECASE)
         if not m:
             return None
+        self.columns = m.group("columns") or "*"
         import sqlite3
 
         with self._connect() as db:
             try:
-                if not db.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND lower(name) = lower(?)", [m.group(2)]).fetchone():
+                if not db.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND lower(name) = lower(?)", [m.group(3)]).fetchone():
                     return None
-                names = [d[0].lower() for d in db.execute(f'SELECT * FROM "{m.group(2)}" LIMIT 0').description]
-                db.execute(f'SELECT rowid FROM "{m.group(2)}" LIMIT 0')
+                names = [d[0].lower() for d in db.execute(f'SELECT * FROM "{m.group(3)}" LIMIT 0').description]
+                db.execute(f'SELECT rowid FROM "{m.group(3)}" LIMIT 0')
             except sqlite3.Error:
                 return None
         if "rowid" in names:  # a column of that name hides the real one
             return None
-        return f'"{m.group(2)}"'
+        return f'"{m.group(3)}"'
 
     def statement(self) -> str:
         table = self._table()
-        return f"SELECT * FROM {table}" if table else self.options["query"].strip().rstrip(";")
+        return f"SELECT {self.columns} FROM {table}" if table else self.options["query"].strip().rstrip(";")
 
     def schema(self) -> str:
         """Types of all rows: whole numbers among others with a fraction make a double, other mixtures text."""
@@ -208,7 +279,7 @@ class SqliteSource(DataSource):
         return ", ".join(f"`{n}` {kind(s)}" for n, s in zip(names, sets, strict=True))
 
     def reader(self, schema) -> DataSourceReader:
-        return _SqliteReader(self, [f.dataType.simpleString() for f in schema.fields])
+        return _SqliteReader(self, [f.dataType.simpleString() for f in schema.fields], schema.names)
 
 
 class _Rows(InputPartition):
@@ -225,9 +296,34 @@ def _as_kind(v, kind: str):
     return {"double": float, "string": str, "bigint": int, "binary": bytes}[kind](v)
 
 
+SIGNS = ("=", "<>", ">", ">=", "<", "<=", "in", "null", "not null")
+Condition = tuple[str, str, object]
+
+
+def _condition(name: str, sign: str, value, kinds: dict[str, str]) -> tuple[str, list] | None:
+    """SQL that holds for at least the rows for which the condition does; None if that can't be said of the column."""
+    if sign in ("null", "not null"):
+        return f'"{name}" IS {sign.upper()}', []
+    return _compared(name, sign.upper(), list(value) if sign == "in" else [value], kinds)
+
+
+def _compared(name: str, sign: str, values: list, kinds: dict[str, str]) -> tuple[str, list] | None:
+    kind = kinds.get(name)
+    if kind not in ("bigint", "double", "string") or not all(isinstance(v, {"bigint": int, "double": int | float, "string": str}[kind]) for v in values):
+        return None
+    name = '"' + name.replace('"', '""') + '"'
+    places = f"({', '.join('?' * len(values))})" if sign == "IN" else "?"
+    if kind == "string":  # a column of text may have other values, which Spark sees as text
+        return f"(typeof({name}) <> 'text' OR {name} COLLATE BINARY {sign} {places})", values
+    return f"{f'CAST({name} AS REAL)' if kind == 'double' else name} {sign} {places}", values
+
+
 class _SqliteReader(DataSourceReader):
-    def __init__(self, source: SqliteSource, kinds: list[str]):
+    def __init__(self, source: SqliteSource, kinds: list[str], names: list[str] | None = None):
         self.source, self.kinds = source, kinds
+        known = dict(zip(names or [], kinds, strict=False))
+        made = [_condition(*c, known) for c in json.loads(source.options.get("conditions", "[]"))]
+        self.conditions = [c for c in made if c]
 
     def partitions(self) -> list[_Rows]:
         table = self.source._table()
@@ -240,10 +336,17 @@ class _SqliteReader(DataSourceReader):
         width = max(PARTITION_ROWS, -(-(last - first + 1) // MOST_PARTITIONS))
         return [_Rows(i, min(i + width - 1, last)) for i in range(first, last + 1, width)]
 
+    def statement(self, partition: _Rows) -> tuple[str, list]:
+        """What a partition's task asks, and its values."""
+        ranged = partition.first is not None
+        conditions = [("rowid BETWEEN ? AND ?", [partition.first, partition.last])] * ranged + self.conditions
+        query = self.source.statement() if ranged or not conditions else f"SELECT * FROM ({self.source.statement()})"
+        where = " WHERE " + " AND ".join(c for c, _ in conditions) if conditions else ""
+        return query + where, [v for _, values in conditions for v in values]
+
     def read(self, partition):
-        where, bounds = ("", []) if partition.first is None else (" WHERE rowid BETWEEN ? AND ?", [partition.first, partition.last])
         with self.source._connect() as db:
-            for row in db.execute(self.source.statement() + where, bounds):
+            for row in db.execute(*self.statement(partition)):
                 yield tuple(None if v is None else _as_kind(v, k) for v, k in zip(row, self.kinds, strict=True))
 
 
@@ -252,6 +355,22 @@ def register_sqlite(spark: SparkSession) -> None:
     spark.dataSource.register(SqliteSource)
 
 
+def read_sqlite(spark: SparkSession, path: str, table: str, columns: list[str] | None = None, conditions: list[Condition] = ()) -> DataFrame:
+    """Columns of a table's rows that meet all conditions (column, one of SIGNS, value), which SQLite checks; Spark checks
+    them again, as a column of text may hold other values. They are given here and not taken from `where`: Spark 4.1
+    keeps filters that it has pushed into a Python source for later queries over the same DataFrame."""
+    if bad := [c for c in conditions if c[1] not in SIGNS]:
+        raise ValueError(f"no such condition: {bad[0]}")
+    register_sqlite(spark)
+    query = f"select {', '.join(columns)} from {table}" if columns else table
+    df = spark.read.format("sqlite").options(path=path, query=query, conditions=json.dumps(list(conditions))).load()
+    for name, sign, value in conditions:
+        c = F.col(f"`{name}`")
+        other = None if sign in ("in", "null", "not null") else F.lit(value)
+        df = df.where({"=": lambda: c == other, "<>": lambda: c != other, ">": lambda: c > other, ">=": lambda: c >= other, "<": lambda: c < other, "<=": lambda: c <= other, "in": lambda: c.isin(list(value)), "null": c.isNull, "not null": c.isNotNull}[sign]())  # noqa: B023
+    return df
+
+
 # -- keywords --------------------------------------------------------------
 
 

@@ -456,3 +456,53 @@ def test_line_numbers_of_bad_lines_over_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_sqlite_filters_become_conditions(spark, tmp_path):
+    path = tmp_path / "f.db"
+    with sqlite3.connect(path) as db:
+        db.execute("create table s (n, x, name collate nocase, odd)")
+        db.executemany("insert into s values (?, ?, ?, ?)", [(i, i / 2 if i % 3 else i, ["a", "B", "b", None][i % 4], [i, "text", None][i % 3]) for i in range(200)])
+    rows = D.read_sqlite(spark, str(path), "s")
+    plain = spark.createDataFrame(rows.collect(), rows.schema)
+    cases = [([("n", ">", 50)], "n > 50"), ([("n", "in", [3, 4, 500])], "n in (3, 4, 500)"), ([("x", "<=", 20.5), ("name", "=", "b")], "x <= 20.5 and name = 'b'"), ([("x", ">", 20)], "x > 20"), ([("name", ">", "B")], "name > 'B'"), ([("name", "null", None)], "name is null"), ([("name", "not null", None), ("n", "<>", 4)], "name is not null and n <> 4"), ([("odd", "=", "text")], "odd = 'text'"), ([("odd", "=", "3")], "odd = '3'"), ([("odd", ">=", "2")], "odd >= '2'")]
+    for conditions, where in cases:
+        got = D.read_sqlite(spark, str(path), "s", None, conditions)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.where(where).collect())), where
+    assert rows.count() == 200
+    with pytest.raises(ValueError, match="no such condition"):
+        D.read_sqlite(spark, str(path), "s", None, [("n", "like", 1)])
+    source = D.SqliteSource({"path": str(path), "query": "select n, name from s", "conditions": '[["n", ">", 50], ["name", "=", "b"], ["n", "in", [60, 62]]]'})
+    reader = D._SqliteReader(source, ["bigint", "string"], ["n", "name"])
+    (part,) = reader.partitions()
+    text, values = reader.statement(part)
+    assert text.startswith('SELECT n, name FROM "s" WHERE rowid BETWEEN ? AND ? AND "n" > ? AND')
+    assert values == [1, 200, 50, "b", 60, 62]
+    assert list(reader.read(part)) == [(62, "b")]
+
+
+def test_jdbc_by_ranges_and_its_keys(spark):
+    url = "jdbc:derby:memory:keys;create=true"
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    for text in ("create table p (id int primary key, name varchar(9) not null)", "create table c (id int primary key, p_id int references p(id), v double)"):
+        connection.createStatement().execute(text)
+    connection.close()
+    spark.range(40).selectExpr("cast(id as int) id", "concat('n', id) name").write.jdbc(url, "p", "append")
+    spark.range(90).selectExpr("cast(id as int) id", "cast(id % 40 as int) p_id", "id / 4 v").write.jdbc(url, "c", "append")
+    df = D.read_jdbc(spark, url, "select id, v from c", column="id", parts=3)
+    assert df.rdd.getNumPartitions() == 3
+    assert sorted(tuple(r) for r in df.collect()) == [(i, i / 4) for i in range(90)]
+    assert D.read_jdbc(spark, url, "select id from c where v > 99", column="id").count() == 0
+    assert D.read_jdbc(spark, url, "select count(*) as n from p").first()[0] == 40
+    keys = D.jdbc_keys(spark, url, ["P", "C"])
+    assert keys["P"] == {"primary": ["ID"], "required": ["ID", "NAME"], "foreign": {}}
+    assert keys["C"] == {"primary": ["ID"], "required": ["ID"], "foreign": {"P_ID": "P.ID"}}
+
+
+def test_find_keys(spark):
+    """Large sets that differ by one value, nulls, values that repeat, other types, columns without values."""
+    a = spark.range(30_000).selectExpr("id", "if(id % 7 = 0, null, id) some", "id + 1 shifted", "cast(id as string) t", "cast(null as int) nothing")
+    b = spark.range(60_000).selectExpr("id k", "id % 30000 twice", "cast(id as string) u")
+    got = D.find_keys({"a": a, "b": b})
+    assert got == [("a", "id", "b", "k"), ("a", "shifted", "b", "k"), ("a", "some", "a", "id"), ("a", "some", "a", "shifted"), ("a", "some", "b", "k"), ("a", "t", "b", "u"), ("b", "twice", "a", "id"), ("b", "twice", "b", "k")]
+    assert D.find_keys({"x": spark.range(3).selectExpr("array(id) l")}) == []
