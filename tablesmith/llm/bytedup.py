@@ -9,7 +9,7 @@ anchors. So whatever the corpus has of one string meets under one anchor:
 2. The other documents' anchors are dealt by hash in packed batches. Those of one
    document alone go. An anchor that stands in several documents of a batch is known to
    be shared at once, and only one row of it is dealt, so a hot anchor counts once a batch.
-3. The passages (all strings in a row with one shared anchor) become rows. Equal passages
+3. The passages (up to MOST_STRINGS strings in a row with one shared anchor) become rows. Equal passages
    are one, with its first and last document, before they are gathered.
 4. Passages are gathered by anchor, up to INDEX_BYTES at a time, in a run-compressed
    Burrows-Wheeler index with sampled run ends (`runindex`). Their matching statistics
@@ -32,13 +32,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.llm.common import documents, least, member_filter, raw, rolling, saved, slices, text_key, without, workers
 from tablesmith.llm.runindex import END, WINDOW, RunIndex
 
-GRAM = 24
+GRAM = 20
+#: Strings of one passage: periodic text has one anchor for as long as it goes on.
+MOST_STRINGS = 64
 #: Bytes of a text that are hashed at once.
 BLOCK = 1 << 20
 #: Anchors of one packed group, on average.
@@ -46,7 +48,7 @@ GROUP_ANCHORS = 1 << 18
 #: About one anchor for so many bytes of text.
 SPACING = 14
 #: Bytes of different passages in one index, on average, and for one anchor at most.
-INDEX_BYTES = 1 << 19
+INDEX_BYTES = 1 << 18
 MOST_BYTES = 1 << 21
 
 
@@ -78,28 +80,33 @@ def _together(pieces: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np
     return doc, place, data
 
 
-def _stretches(doc: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Strings in a row with one anchor: the first one's place in data, their number, the anchor."""
-    hashes = rolling(data.astype(np.uint64) + np.uint64(1), GRAM)
+def _letters(data: np.ndarray) -> np.ndarray:
+    return data.astype(np.uint64) + np.uint64(1)
+
+
+def _stretches(data: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings in a row with one anchor: the first one's place in data, their number, the anchor. hashes: of all grams."""
     anchors = least(hashes, WINDOW - GRAM + 1)
     closed = np.cumsum(data == END)
     whole = np.flatnonzero(closed[WINDOW - 1 :] == np.concatenate([[0], closed[:-WINDOW]]))
     mine = anchors[whole]
     new = np.concatenate([[True], (mine[1:] != mine[:-1]) | (whole[1:] != whole[:-1] + 1)]) if len(whole) else np.zeros(0, bool)
     begin = np.flatnonzero(new)
+    within = np.arange(len(whole)) - np.repeat(begin, np.diff(begin, append=len(whole)))
+    begin = np.flatnonzero(within % MOST_STRINGS == 0)
     return whole[begin], np.diff(begin, append=len(whole)), mine[begin]
 
 
 def _anchors(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Anchors and the row keys that have them, packed by group. In group -1 are those that several rows of the batch have;
-    their own group has such an anchor once, with row key 0."""
+    """Anchors and the row keys that have them, packed by group. Those that several rows of the batch have are in a group
+    below 0; their own group has such an anchor once, with row key 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             keys = batch.column("row_key").to_numpy()
             found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for doc, _, data in _blocks(raw(batch.column("text"))):
-                at, _, anchor = _stretches(doc, data)
+                at, _, anchor = _stretches(data, rolling(_letters(data), GRAM))
                 found.append(anchor)
                 owner.append(doc[at])
             found, owner = np.concatenate(found), np.concatenate(owner)
@@ -116,33 +123,25 @@ def _anchors(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             group = ((dealt >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
             begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])[: len(group)])
             ends = [*begin[1:], len(group)]
-            rows = [(-1, found[several], keys[owner[several]])] + [(int(group[a]), dealt[a:b], marked[a:b]) for a, b in zip(begin, ends, strict=True)]
+            known = -1 - int(keys[0]) % groups
+            rows = [(known, found[several], keys[owner[several]])] + [(int(group[a]), dealt[a:b], marked[a:b]) for a, b in zip(begin, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([g for g, *_ in rows], pa.int32()), pa.array([x.tobytes() for _, x, _ in rows], pa.binary()), pa.array([x.tobytes() for *_, x in rows], pa.binary())], ["group", "anchors", "keys"])
 
     return run
 
 
-def _packed(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("anchors", np.uint64), ("keys", np.int64)))
-
-
-def _shared(table: pa.Table) -> pa.Table:
+def _shared(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
     """Of a group: the anchors of more than one row, with their row keys."""
-    anchors, keys = _packed(table)
-    order = np.argsort(anchors)
-    anchors, keys = anchors[order], keys[order]
-    first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])[: len(anchors)])
-    times = np.diff(first, append=len(anchors))
-    marked = np.add.reduceat(keys == 0, first) > 0 if len(first) else np.zeros(0, bool)
-    kept = np.repeat((times > 1) | marked, times) & (keys != 0)
-    return pa.table({"row_key": keys[kept], "anchor": anchors[kept].view(np.int64)})
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        anchors, keys = _packed(batch)
-        for a in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(anchors[a : a + 100_000].view(np.int64))], ["row_key", "anchor"])
+    anchors, keys = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("anchors", np.uint64), ("keys", np.int64)))
+    if key[0].as_py() >= 0:
+        order = np.argsort(anchors)
+        anchors, keys = anchors[order], keys[order]
+        first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])[: len(anchors)])
+        times = np.diff(first, append=len(anchors))
+        marked = np.add.reduceat(keys == 0, first) > 0 if len(first) else np.zeros(0, bool)
+        kept = np.repeat((times > 1) | marked, times) & (keys != 0)
+        anchors, keys = anchors[kept], keys[kept]
+    return pa.table({"row_key": keys, "anchor": anchors.view(np.int64)})
 
 
 # -- passages ------------------------------------------------------------------
@@ -155,7 +154,8 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, bounds = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         listed = [np.sort(listed[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         for doc, place, data in _blocks(raw(batch.column("text"))):
-            at, number, anchor = _stretches(doc, data)
+            hashes = rolling(_letters(data), GRAM)
+            at, number, anchor = _stretches(data, hashes)
             owner = doc[at]
             ends = np.searchsorted(owner, np.arange(owner[0], owner[-1] + 2)) if len(owner) else []
             hit = [np.zeros(0, np.int64)]
@@ -174,8 +174,8 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _matched(table: pa.Table) -> pa.Table:
     """Runs of strings with one least document, earlier than the passage's last, of each passage of an index."""
-    contents = table.column("content").to_pylist()
     first, last = (table.column(c).to_numpy() for c in ("first", "last"))
+    contents = table.column("content").to_pylist()
     place, source = RunIndex(contents, first).least_document(contents)
     size = np.array([len(x) for x in contents], np.int64)
     begin = np.cumsum(size) - size
@@ -185,27 +185,32 @@ def _matched(table: pa.Table) -> pa.Table:
     new = np.concatenate([[True], (place[1:] != place[:-1] + 1) | (passage[1:] != passage[:-1]) | (source[1:] != source[:-1])])[: len(place)]
     at = np.flatnonzero(new)
     p = passage[at]
-    return pa.table({"p1": table.column("p1").combine_chunks().take(pa.array(p)), "p2": table.column("p2").combine_chunks().take(pa.array(p)), "offset": (place[at] - begin[p]).astype(np.int32), "n": np.diff(at, append=len(place)).astype(np.int32), "source": source[at]})
+    return pa.table({"anchor": table.column("anchor").take(pa.array(p)), "content_key": table.column("content_key").take(pa.array(p)), "offset": (place[at] - begin[p]).astype(np.int32), "n": np.diff(at, append=len(place)).astype(np.int32), "source": source[at]})
+
+
+def _content_key() -> Column:
+    """With the anchor 128 bits, by which matches come back to a passage."""
+    return F.xxhash64("content").alias("content_key")
 
 
-_MATCH = "p1 long, p2 long, offset int, n int, source long"
+_MATCH = "anchor long, content_key long, offset int, n int, source long"
 
 
 def _by_strings(passages: DataFrame) -> DataFrame:
     """The same for anchors with very many different passages: their strings, grouped by bytes."""
-    strings = passages.select("p1", "p2", "first", "last", F.explode(F.sequence(F.lit(0), F.length("content") - WINDOW)).alias("offset"), "content")
+    strings = passages.select("anchor", _content_key(), "first", "last", F.explode(F.sequence(F.lit(0), F.length("content") - WINDOW)).alias("offset"), "content")
     strings = strings.withColumn("string", F.substring("content", F.col("offset") + 1, F.lit(WINDOW))).drop("content")
     sources = strings.groupBy("string").agg(F.min("first").alias("source"))
-    return strings.join(sources, "string").where("source < last").select("p1", "p2", "offset", F.lit(1).alias("n"), "source")
+    return strings.join(sources, "string").where("source < last").select("anchor", "content_key", "offset", F.lit(1).alias("n"), "source")
 
 
 def _matches(passages: DataFrame) -> DataFrame:
-    """passages (anchor, content, first, last, p1, p2), different ones of an anchor: _MATCH."""
+    """passages (anchor, content, first, last), different ones of an anchor: _MATCH."""
     passages = passages.withColumn("size", F.length("content"))
     large = saved(passages.groupBy("anchor").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > MOST_BYTES).select("anchor"), "large")
     whole = passages.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     groups = max(1, -(-whole // INDEX_BYTES))
-    indexed = lambda df: df.select(F.pmod("anchor", F.lit(groups)).alias("group"), "content", "first", "last", "p1", "p2").groupBy("group").applyInArrow(_matched, _MATCH)
+    indexed = lambda df: df.select(F.pmod("anchor", F.lit(groups)).alias("group"), "anchor", "content", "first", "last", _content_key()).groupBy("group").applyInArrow(_matched, _MATCH)
     if large.isEmpty():
         return indexed(passages)
     return indexed(passages.join(large, "anchor", "left_anti")).union(_by_strings(passages.join(large, "anchor")))
@@ -241,18 +246,16 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     kept = without(rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW)), copies)
     kept = kept.withColumn("text_key", text_key()).withColumn("row_key", row_key)
     groups = max(1, (able.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]) // (SPACING * GROUP_ANCHORS))
-    packed = saved(kept.select("row_key", "text").mapInArrow(_anchors(groups), "group int, anchors binary, keys binary"), "anchors")
-    kind = "row_key long, anchor long"
-    shared = packed.where("group >= 0").groupBy("group").applyInArrow(_shared, kind)
-    shared = shared.union(packed.where("group < 0").select("anchors", "keys").mapInArrow(_unpack, kind))
+    packed = kept.select("row_key", "text").mapInArrow(_anchors(groups), "group int, anchors binary, keys binary")
+    shared = packed.groupBy("group").applyInArrow(_shared, "row_key long, anchor long")
     listed = saved(shared.groupBy("row_key").agg(F.collect_set("anchor").alias("listed")), "shared")
 
     found = kept.where(member_filter(listed, "row_key")).join(listed, "row_key").select("doc_id", "text_key", "text", "listed")
     found = found.mapInArrow(_passages, "doc_id long, text_key long, begin long, anchor long, content binary")
-    found = saved(found.withColumns({"p1": F.xxhash64("content"), "p2": F.xxhash64(F.lit(1), "content", "anchor")}), "passages")
-    different = saved(found.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("p1").alias("p1"), F.first("p2").alias("p2")), "different")
+    found = saved(found, "passages")
+    different = saved(found.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "different")
     matches = saved(_matches(different), "matches")
-    spans = found.select("doc_id", "text_key", "begin", "p1", "p2").join(matches, ["p1", "p2"]).where("source < doc_id")
+    spans = found.select("doc_id", "text_key", "begin", "anchor", _content_key()).join(matches, ["anchor", "content_key"]).where("source < doc_id")
     spans = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct((F.col("begin") + F.col("offset")).alias("begin"), "n")).alias("found"))
     spans = saved(spans, "spans")
 

@@ -89,12 +89,15 @@ class RunIndex:
         """docs: the least document that holds each passage."""
         self.data, begin = joined(passages)
         n = len(self.data)
+        if not n:
+            self.first = np.zeros(0, np.int64)
+            return
         passage = np.repeat(np.arange(len(passages)), np.diff(begin, append=n))
         end = np.append(begin[1:], n) - 1
         rest = end[passage] - np.arange(n)
         self.eight = eights(self.data)
         order, rank = suffix_order(self.eight, rest)
-        self.padded = np.concatenate([self.data, np.full(MOST, END, np.uint8)])
+        self.view = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.data, np.full(MOST, END, np.uint8)]), MOST)
 
         last = self.data[order - 1]  # the byte before each suffix
         self.start = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
@@ -123,8 +126,7 @@ class RunIndex:
         for bits in range(8, 72, 8):
             out += differ < np.uint64(1 << 64 - bits) if bits < 64 else differ == 0
         long = np.flatnonzero(out == 8)
-        view = np.lib.stride_tricks.sliding_window_view(self.padded, MOST)
-        other = view[a[long]] != view[b[long]]
+        other = self.view[a[long]] != self.view[b[long]]
         out[long] = np.where(other.any(axis=1), other.argmax(axis=1), MOST)
         return out
 
@@ -174,6 +176,8 @@ class RunIndex:
     def least_document(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of each place of the texts where a string of WINDOW bytes begins that is in the index: the place, and the least
         document that holds the string."""
+        if not len(self.data) or not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         lengths, rows = self.statistics(texts)
         hit = np.flatnonzero(lengths >= WINDOW)
         return hit, self.first[self.interval.upto(rows[hit]) - 1]

@@ -175,6 +175,9 @@ def test_bytes_of_generated_documents(spark, monkeypatch):
     rng = random.Random(5)
     parts = ["".join(rng.choice("abé ") for _ in range(rng.choice([30, 49, 50, 51, 90, 200]))) for _ in range(25)]
     rows = [(rng.randrange(40), "".join(rng.choice([rng.choice(parts), "".join(rng.choice("xyz") for _ in range(rng.randint(0, 60)))]) for _ in range(rng.randint(0, 6)))) for _ in range(70)]
+    tail = "".join(rng.choice("mnop") for _ in range(26))
+    for i, gram in enumerate(("q" * 3 + "r" * 21, "qr" * 12, "q" * 24)):  # anchors that stand more than once around one string
+        rows += [(60 + 4 * i + j, head + gram + tail + end) for j, (head, end) in enumerate((("", ""), (gram, "x"), (gram[:7], gram), ("z" + gram, "")))]
     rows += [(None, parts[5] * 2), (50, parts[5]), (51, "ab" * 300), (52, "b" + "ab" * 200), rows[3], (53, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = Counter(cut_bytes(rows))
@@ -192,7 +195,7 @@ def test_blocks_give_each_string_once(monkeypatch):
         monkeypatch.setattr(bytedup, "BLOCK", size)
         seen = Counter()
         for doc, place, data in bytedup._blocks(texts):
-            at, number, _ = bytedup._stretches(doc, data)
+            at, number, _ = bytedup._stretches(data, bytedup.rolling(bytedup._letters(data), bytedup.GRAM))
             for a, n in zip(at, number, strict=True):
                 for k in range(a, a + n):
                     assert data[k : k + 50].tobytes() == texts[doc[k]][place[k] : place[k] + 50].tobytes()
