@@ -50,13 +50,20 @@ def join_chain(sources: list[DataFrame], keys: list[tuple[str, str]], how: str =
 def detect_join(left: DataFrame, right: DataFrame) -> tuple[str, str] | None:
     """The shared column with the largest share of its distinct left values found on the right."""
     shared = [c for c in left.columns if c in right.columns and left.schema[c].dataType == right.schema[c].dataType]
-    best = None
-    for c in shared:
-        values = left.select(named(c)).where(named(c).isNotNull()).distinct()
-        total, met = values.count(), values.join(right.select(named(c)).distinct(), c, "left_semi").count()
-        if met and (best is None or met / total > best[0]):
-            best = (met / total, c)
-    return best and (best[1], best[1])
+    if not shared:
+        return None
+
+    def values(df: DataFrame) -> DataFrame:
+        """The distinct values of all shared columns, as (column number, text): one job for all."""
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), named(c).cast("string").alias("v")) for i, c in enumerate(shared)]))
+        return df.select(each.alias("x")).select("x.*").where("v is not null").distinct()
+
+    met = values(left).join(values(right).withColumn("met", F.lit(1)), ["i", "v"], "left")
+    shares = {r.i: r.share for r in met.groupBy("i").agg(F.avg(F.coalesce("met", F.lit(0))).alias("share")).collect() if r.share}
+    if not shares:
+        return None
+    best = shared[max(shares, key=lambda i: (shares[i], -i))]
+    return best, best
 
 
 def align_series(series: dict[str, DataFrame], x: str, y: str) -> DataFrame:

@@ -806,15 +806,17 @@ def _(t):
     return t.spark.createDataFrame([(x,) for x in text.split("\n") if x.startswith("-")], "line string")
 
 
-@query("join_detect", "select 'n_nationkey' as key")
+@query("join_detect", "select key from (select 'n_name' as key, avg(case when n_name in ('FRANCE', 'none') then 1.0 else 0 end) as share from nation union all select 'n_nationkey', avg(case when n_nationkey in (select s_nationkey from supplier) then 1.0 else 0 end) from nation) where share > 0 order by share desc, key desc limit 1")
 def _(t):
-    right = t.supplier.select(F.col("s_nationkey").alias("n_nationkey"), F.lit("none").alias("n_name"))
+    right = t.supplier.select(F.col("s_nationkey").alias("n_nationkey"), F.lit("none").alias("n_name")).union(t.nation.where("n_name = 'FRANCE'").select("n_nationkey", "n_name"))
     return t.spark.createDataFrame([(J.detect_join(t.nation, right)[0],)], "key string")
 
 
-@query("head_sample", "select count(*) as n from (select * from orders limit 10)")
+@query("head_sample", "select o_orderkey, o_totalprice * 2 as twice from orders order by o_totalprice, o_orderkey limit 10")
 def _(t):
-    return RuleEngine().dry_run("nodes: {a: {operator: AddFields, fields: {twice: \"row['o_totalprice'] * 2\"}}}", t.orders).df.agg(F.count("*").alias("n"))
+    """The first rows by the table's order."""
+    rows = t.orders.select("o_orderkey", "o_totalprice", F.struct("o_totalprice", "o_orderkey").alias(ORDER))
+    return RuleEngine().dry_run("nodes: {a: {operator: AddFields, fields: {twice: \"row['o_totalprice'] * 2\"}}}", rows).df.select("o_orderkey", "twice")
 
 
 # -- functions ---------------------------------------------------------------
@@ -908,9 +910,12 @@ def _(t):
     return got["good"]
 
 
-@query("per_table_sample", "select count(*) as n from (select * from orders limit 1000)")
+@query("per_table_sample", "select least(1000, count(*)) as n, least(1000, count(distinct o_orderkey)) as different, least(1000, count(*)) as found from orders")
 def _(t):
-    return D.query_set(_views(t, "orders"), mode="per_table", planner=None, query=D.per_table(t.spark, ["orders"])[0].body)["query"].agg(F.count("*").alias("n"))
+    """Any 1000 rows: no row twice, all of them rows of the table."""
+    some = D.query_set(_views(t, "orders"), mode="per_table", planner=None, query=D.per_table(t.spark, ["orders"])[0].body)["query"]
+    marked = some.join(t.orders.withColumn("_found", F.lit(1)), some.columns, "left")
+    return marked.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("different"), F.count("_found").alias("found"))
 
 
 @query("sales_by_month", f"select strftime(o_orderdate, '%Y-%m') as month, {MONEY.format('o_totalprice')} as total from orders group by 1")

@@ -18,7 +18,7 @@ import yaml
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
-from tablesmith.operators.cleaning import REGISTRY, Operator
+from tablesmith.operators.cleaning import REGISTRY, Limit, Operator
 
 SAMPLE_ROWS = 10
 
@@ -61,9 +61,10 @@ class RuleEngine:
         return RuleOutcome(True, out, logs, None, rules)
 
     def dry_run(self, rules: str, df: DataFrame, inputs: dict[str, DataFrame] | None = None, rows: int = SAMPLE_ROWS) -> RuleOutcome:
-        """On the first rows of each table, and really run."""
-        few = {k: v.limit(rows) for k, v in inputs.items()} if inputs else inputs
-        return self.execute(rules, df.limit(rows), few, eager=True)
+        """On the first rows of each table (by its input order, if it has one), and really run."""
+        first = lambda t: Limit(rows).run(t)[0]
+        few = {k: first(v) for k, v in inputs.items()} if inputs else inputs
+        return self.execute(rules, first(df), few, eager=True)
 
     def _read(self, rules: str) -> dict:
         try:
