@@ -1,5 +1,6 @@
 """Files that registered queries write from the given tables and read back: formats
-that Spark has no writer for. Each is one file, made by one task as a stream."""
+that Spark has no writer for. Tables are folders with a file for each partition; a JSON
+list, an archive and a database are one file, made by one task as a stream."""
 
 from __future__ import annotations
 
@@ -37,6 +38,24 @@ def _in_one_task(df: DataFrame, write) -> None:
     df.coalesce(1).mapInArrow(run, "done boolean").collect()
 
 
+def _in_each_task(df: DataFrame, write) -> None:
+    """Calls write(partition's number, batches) for each partition where its rows are; only the first may be without rows."""
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        from itertools import chain
+
+        from pyspark import TaskContext
+
+        number, first = TaskContext.get().partitionId(), next(batches, None)
+        if first is not None or number == 0:
+            write(number, chain([first] if first is not None else [], batches))
+        yield pa.RecordBatch.from_arrays([pa.array([True])], ["done"])
+
+    package_on_workers(df.sparkSession)
+    df.mapInArrow(run, "done boolean").agg({"done": "count"}).collect()
+
+
 def json_list(df: DataFrame, path: str) -> None:
     """One list of objects; df: a column of objects as text."""
 
@@ -72,9 +91,13 @@ def csv_file(df: DataFrame, path: str) -> None:
     _in_one_task(df, write)
 
 
-def workbook(df: DataFrame, path: str) -> None:
-    """A workbook with two sheets, the rows in the second part, which comes first by the workbook's order. Dates are numbers
-    with a date format."""
+#: Rows of one workbook, about; a sheet has room for 1,048,576.
+BOOK_ROWS = 25_000
+
+
+def workbooks(df: DataFrame, path: str) -> None:
+    """A folder of workbooks with about BOOK_ROWS rows each, one task a workbook: two sheets, the rows in the second part, which
+    comes first by the workbook's order. Dates are numbers with a date format."""
     names = df.columns
 
     def cell(v) -> str:
@@ -88,9 +111,9 @@ def workbook(df: DataFrame, path: str) -> None:
             return f"<c><v>{v!r}</v></c>"
         return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
 
-    def write(batches: Iterator) -> None:
+    def write(number: int, batches: Iterator) -> None:
         row = lambda values: f"<row>{''.join(map(cell, values))}</row>".encode()
-        with output(path) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+        with output(f"{path}/{number:05d}.xlsx") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("xl/workbook.xml", f'<workbook {_MAIN} xmlns:r="{_LINKS}"><sheets><sheet name="rows" sheetId="2" r:id="b"/><sheet name="other" sheetId="1" r:id="a"/></sheets></workbook>')
             z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="worksheets/sheet2.xml"/></Relationships>')
             z.writestr("xl/styles.xml", f'<styleSheet {_MAIN}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
@@ -102,7 +125,7 @@ def workbook(df: DataFrame, path: str) -> None:
                         sheet.write(row(values))
                 sheet.write(b"</sheetData></worksheet>")
 
-    _in_one_task(df, write)
+    _in_each_task(df.repartition(max(1, -(-df.count() // BOOK_ROWS))), write)
 
 
 def archive(spark: SparkSession, members: dict[str, str], path: str) -> None:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tablesmith.functions.scalars import null_nans
 from tablesmith.operators.cleaning import ORDER
-from tablesmith.session import java_charsets, package_on_workers, shared_dir
+from tablesmith.session import java_charsets, package_on_workers, shared_dir, written
 from tablesmith.sources import archives, records
 from tablesmith.sources.shaping import fuzzy_union
 
@@ -259,7 +259,7 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
 def read_excel(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
     """The first sheet (in the workbook's order) of each workbook, its first row as header. Numbers, dates and truths keep
     their types where a column has nothing else; other columns are text. Workbooks with other headers add their columns. A
-    workbook is read row by row in one task, as its parts are compressed."""
+    workbook is read once, row by row in one task, as its parts are compressed; its cells are kept in the shared folder."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -279,7 +279,7 @@ def read_excel(spark: SparkSession, path: str, ordered: bool = False) -> DataFra
         raise FileNotFoundError(path)
     each = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, file string").repartition(len(paths), "i")
     found = each.select("file").mapInArrow(run, "file string, number long, names array<string>, kinds array<string>, cells array<string>")
-    df = _typed_cells(found.withColumn(ORDER, _order(F.col("file"), 0, F.col("number"))))
+    df = _typed_cells(written(found, "cells").withColumn(ORDER, _order(F.col("file"), 0, F.col("number"))))
     return df if ordered else df.drop(ORDER)
 
 

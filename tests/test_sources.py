@@ -506,3 +506,21 @@ def test_find_keys(spark):
     got = D.find_keys({"a": a, "b": b})
     assert got == [("a", "id", "b", "k"), ("a", "shifted", "b", "k"), ("a", "some", "a", "id"), ("a", "some", "a", "shifted"), ("a", "some", "b", "k"), ("a", "t", "b", "u"), ("b", "twice", "a", "id"), ("b", "twice", "b", "k")]
     assert D.find_keys({"x": spark.range(3).selectExpr("array(id) l")}) == []
+
+
+def test_workbooks_are_written_by_many_tasks_and_parsed_once(spark, tmp_path, monkeypatch):
+    """No task has all rows, and no later step parses a workbook again."""
+    from pathlib import Path
+
+    from tablesmith.plans import written as W
+
+    monkeypatch.setattr(W, "BOOK_ROWS", 40)
+    rows = spark.range(200).selectExpr("id", "if(id % 3 = 0, null, concat('<', id)) t", "date_add(date'2020-01-01', cast(id as int)) d")
+    W.workbooks(rows, f"file://{tmp_path}")
+    books = sorted(Path(tmp_path).glob("*.xlsx"))
+    assert len(books) == 5
+    df = files.read(spark, f"file://{tmp_path}/*.xlsx", ordered=False)
+    for book in books:
+        book.unlink()
+    got = df.selectExpr("id", "t", "cast(d as date) d").exceptAll(rows)
+    assert df.count() == 200 and got.isEmpty()
