@@ -27,9 +27,12 @@ def to_int(c: Column) -> Column:
 
 
 def to_datetime(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Texts by the formats in turn, whole numbers as nanoseconds since 1970; NULL for what is neither."""
-    number = F.timestamp_micros(F.call_function("div", c.try_cast("bigint"), F.lit(1000).cast("bigint")))
-    return F.when(F.typeof(c).isin("tinyint", "smallint", "int", "bigint"), number).otherwise(_parsed(c, formats))
+    """Texts by the formats in turn, whole numbers as nanoseconds since 1970; NULL for what is neither. A bigint ends with the
+    year 2262, a decimal without places goes further."""
+    micros = lambda n: F.timestamp_micros(F.call_function("div", n, F.lit(1000).cast("bigint")))
+    kind = F.typeof(c)
+    whole = F.when(kind.isin("tinyint", "smallint", "int", "bigint"), micros(c.try_cast("bigint")))
+    return whole.when(kind.rlike(r"^decimal\(\d+,0\)$"), micros(c.cast("string").try_cast("decimal(38,0)"))).otherwise(_parsed(c, formats))
 
 
 def _parsed(c: Column, formats: Sequence[str]) -> Column:

@@ -156,7 +156,8 @@ def _(t):
 
 @query("map_to_datetime_numbers", "select event_id, event_id * 86400000000 + 5 as micros from events")
 def _(t):
-    nanos = t.events.select("event_id", (F.col("event_id") * 86_400_000_000_000 + 5_999).alias("ts"))
+    """A day for each id: past 106,751 days the nanoseconds are more than a long holds."""
+    nanos = t.events.select("event_id", (F.col("event_id").cast("decimal(20,0)") * 86_400_000_000_000 + 5_999).alias("ts"))
     return run(C.Map("ts", "to_datetime"), nanos).select("event_id", F.unix_micros("ts").alias("micros"))
 
 

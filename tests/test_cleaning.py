@@ -178,3 +178,12 @@ def test_detect_join(spark):
 def test_fill_null_widens(spark, kind, value, wide, filled):
     df = C.FillNull(value=value).run(spark.sql(f"select cast(null as {kind}) a"))[0]
     assert (df.dtypes, df.first().a) == ([("a", wide)], filled)
+
+
+def test_whole_numbers_beyond_a_long_are_datetimes(spark):
+    """Decimals without places are nanoseconds as longs are; other decimals are no whole numbers."""
+    df = spark.sql("select cast('86400000000000005999' as decimal(20,0)) a, 86400000005999L b, cast(1.5 as decimal(6,2)) c, cast(null as decimal(20,0)) d")
+    for c in df.columns:
+        df = C.Map(c, "to_datetime").run(df)[0]
+    got = df.selectExpr("unix_micros(a) a", "unix_micros(b) b", "c", "d").first()
+    assert (got.a, got.b, got.c, got.d) == (86_400_000_000_000_005, 86_400_000_005, None, None)
