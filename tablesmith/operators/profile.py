@@ -1,6 +1,8 @@
 """Profiles and quality rules. All measures of all columns come from one
 aggregate, the number of different rows from a second one, and samples from the
-first rows; only a column with hardly a value there is scanned for some.
+first rows; only a column with hardly a value there is scanned for some. Exact counts
+have a job of their own: beside them, Spark would keep all other measures (sketches
+among them) once for each distinct value.
 
 Distinct values are counted approximately (each column on its own would copy the
 table) unless `exact` is asked for; columns that are named as ids are counted
@@ -104,16 +106,19 @@ def first_values(df: DataFrame, columns: list[str], n: int = SAMPLES) -> dict[st
 def profile(df: DataFrame, samples: int = SAMPLES, exact: bool = False) -> Profile:
     columns = visible(df)
     kinds = {c: logical_type(df.schema[c].dataType) for c in columns}
+    counted = [c for c in columns if exact or ID_NAME.match(c)]
     made = [F.count("*").alias("rows")]
     if columns:
         made.append(F.count_if(_all_null(columns)).alias("empty"))
     for i, c in enumerate(columns):
-        made += [F.count(named(c)).alias(f"n{i}"), _distinct(df, c, exact).alias(f"d{i}")]
+        made.append(F.count(named(c)).alias(f"n{i}"))
+        if c not in counted:
+            made.append(F.approx_count_distinct(_hashable(df, c), 0.01).alias(f"d{i}"))
         if kinds[c] in ("int", "float"):
             made += [F.min(named(c)).cast("double").alias(f"lo{i}"), F.max(named(c)).cast("double").alias(f"hi{i}"), F.avg(named(c)).alias(f"m{i}")]
         if isinstance(df.schema[c].dataType, T.StringType):
             made.append(F.collect_set(value_kind(named(c))).alias(f"k{i}"))
-    got = df.agg(*made).first().asDict()
+    got = df.agg(*made).first().asDict() | {f"d{columns.index(c)}": n for c, n in exact_distinct(df, counted).items()}
     keys = order_keys(df)
     head = (df.orderBy(*keys) if keys else df).limit(10 * samples).select(*map(named, columns)).collect() if columns else []
     some = {c: [str(r[c]) for r in head if r[c] is not None][:samples] for c in columns}
@@ -126,10 +131,10 @@ def profile(df: DataFrame, samples: int = SAMPLES, exact: bool = False) -> Profi
     return Profile(got["rows"], out, duplicate_rate(df) if columns else 0.0, sum(x.nulls for x in out) / cells if cells else 0.0, bool(got.get("empty")), [r.asDict() for r in head[:samples]])
 
 
-def _distinct(df: DataFrame, c: str, exact: bool) -> Column:
-    if exact or ID_NAME.match(c):
-        return F.count_distinct(_hashable(df, c))
-    return F.approx_count_distinct(_hashable(df, c), 0.01)
+def exact_distinct(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """How many different values, without nulls, each column has: one job, in which only the column itself is shuffled."""
+    parts = [df.select(_hashable(df, c).alias("v")).where("v is not null").distinct().agg(F.lit(c).alias("c"), F.count("*").alias("n")) for c in columns]
+    return {r.c: r.n for r in reduce(DataFrame.unionAll, parts).collect()} if parts else {}
 
 
 def _nested(df: DataFrame, c: str) -> list[str]:

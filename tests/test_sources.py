@@ -524,3 +524,12 @@ def test_workbooks_are_written_by_many_tasks_and_parsed_once(spark, tmp_path, mo
         book.unlink()
     got = df.selectExpr("id", "t", "cast(d as date) d").exceptAll(rows)
     assert df.count() == 200 and got.isEmpty()
+
+
+def test_ids_are_counted_apart_from_sketches(spark):
+    """Beside an exact count Spark would keep a sketch of each column for every different id."""
+    df = spark.range(50_000).selectExpr("id", "if(id % 2 = 0, id, null) uuid", "cast(id % 7 as string) s")
+    found = {c.name: c.distinct for c in P.profile(df).columns}
+    assert (found["id"], found["uuid"], found["s"]) == (50_000, 25_000, 7)
+    assert P.exact_distinct(df, ["uuid", "s"]) == {"uuid": 25_000, "s": 7}
+    assert P.exact_distinct(df, []) == {}
