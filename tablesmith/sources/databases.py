@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tablesmith.session import package_on_workers, written
+from tablesmith.session import package_on_workers
 
 MOST_ROWS = 100_000
 MOST_QUERIES = 5
@@ -194,37 +194,27 @@ def jdbc_keys(spark: SparkSession, url: str, tables: list[str], user: str = "",
         connection.close()
 
 
-#: Least estimated share of a column's values in another, for the pair to be looked at: sketches are within some 5 % of it.
-LEAST_SHARED = 0.85
-
-
 def find_keys(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, str]]:
     """(table, column, other table, its column) where all values of a column are values of the other, which has each of its
-    own once: what a foreign key would be. One pass over each table makes a sketch of every column of whole numbers, text
-    or dates; the sketches of all pairs are met, and what may be included is verified on the rows by anti joins. A
-    column without values is none."""
+    own once: what a foreign key would be. Columns of whole numbers, text or dates are taken, one kind against itself. Each
+    different value of a column is met once with those of all others; the columns that hold a value make pairs, and a
+    pair with as many common values as the first column has is included. A column without values is none."""
     families = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "bigint": "bigint", "string": "string", "date": "date"}
-    parts = []
+    columns, parts = [], []
     for name, df in tables.items():
         mine = [(c, families[k]) for c, k in df.dtypes if k in families]
-        made = []
-        for i, (c, family) in enumerate(mine):
-            value = F.col(f"`{c}`").cast("string" if family == "date" else family)
-            made += [F.count(value).alias(f"n{i}"), F.theta_sketch_agg(value).alias(f"s{i}")]
-        if made:
-            columns = [F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"), F.lit(family).alias("family"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("sketch")) for i, (c, family) in enumerate(mine)]
-            parts.append(df.agg(*made).select(F.inline(F.array(*columns))))
+        cells = [F.struct(F.lit(len(columns) + i).alias("column"), F.lit(family).alias("family"), F.col(f"`{c}`").cast("string").alias("value")) for i, (c, family) in enumerate(mine)]
+        columns += [(name, c) for c, _ in mine]
+        if cells:
+            parts.append(df.select(F.inline(F.array(*cells))).where("value is not null"))
     if not parts:
         return []
-    found = written(reduce(DataFrame.union, parts).where("n > 0").withColumn("different", F.theta_sketch_estimate("sketch")), "sketches")
-    a, b = found.alias("a"), found.alias("b")
-    other = (F.col("a.table") != F.col("b.table")) | (F.col("a.column") != F.col("b.column"))
-    met = a.join(b, (F.col("a.family") == F.col("b.family")) & other & (F.col("b.different") >= LEAST_SHARED * F.col("b.n")))
-    near = F.theta_sketch_estimate(F.theta_intersection("a.sketch", "b.sketch")) >= LEAST_SHARED * F.col("a.different")
-    pairs = [tuple(r) for r in met.where(near).select("a.table", "a.column", "b.table", "b.column").collect()]
-    values = lambda t, c: tables[t].select(F.col(f"`{c}`").alias("v")).where("v is not null")
-    once = {x: values(*x).groupBy("v").count().where("count > 1").isEmpty() for x in {p[2:] for p in pairs}}
-    return sorted(p for p in pairs if once[p[2:]] and values(*p[:2]).distinct().join(values(*p[2:]), "v", "left_anti").isEmpty())
+    each = reduce(DataFrame.union, parts).groupBy("column", "family", "value").agg((F.count("*") > 1).alias("twice"))
+    held = each.groupBy("family", "value").agg(F.sort_array(F.collect_list(F.struct("column", "twice"))).alias("held"))
+    alike = held.groupBy("held").agg(F.count("*").alias("n")).withColumn("a", F.explode("held")).withColumn("b", F.explode("held"))
+    common = {(r.a, r.b): r for r in alike.groupBy("a.column", F.col("b.column").alias("b")).agg(F.sum("n").alias("n"), F.bool_or("b.twice").alias("twice")).toDF("a", "b", "n", "twice").collect()}
+    included = [(a, b) for (a, b), r in common.items() if a != b and r.n == common[a, a].n and not common[b, b].twice]
+    return sorted((*columns[a], *columns[b]) for a, b in included)
 
 
 class SqliteSource(DataSource):

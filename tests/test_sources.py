@@ -533,3 +533,10 @@ def test_ids_are_counted_apart_from_sketches(spark):
     assert (found["id"], found["uuid"], found["s"]) == (50_000, 25_000, 7)
     assert P.exact_distinct(df, ["uuid", "s"]) == {"uuid": 25_000, "s": 7}
     assert P.exact_distinct(df, []) == {}
+
+
+def test_find_keys_of_few_values_in_many(spark):
+    """A handful of values among very many, of which a sketch would keep hardly one."""
+    few = spark.range(5).selectExpr("id * 9973 k", "concat('n', id * 9973) t")
+    many = spark.range(60_000).selectExpr("id", "concat('n', id) name", "if(id = 7, 8, id) other")
+    assert D.find_keys({"few": few, "many": many}) == [("few", "k", "many", "id"), ("few", "t", "many", "name"), ("many", "other", "many", "id")]
