@@ -65,3 +65,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["sql_intersect", "sql_except"])
+def test_set_operations_join_different_values(spark, name):
+    """Copies are gone before the join, on both sides."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plans.queries()[name](spark, oracle.DATA)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan[plan.index("Join ") :].count("Aggregate ") == 2
