@@ -602,11 +602,11 @@ def _(t):
 
 
 def _unlike_files(t: Tables) -> DataFrame:
-    """A small file before a large one, both out of the order of keys."""
+    """A folder of few rows before one of many, both out of the order of keys; each is sorted by ranges, its files by name."""
     root, small = _scratch(t, "unlike"), F.col("o_orderkey") % 40 == 0
     rows = t.orders.select("o_orderkey", "o_custkey")
-    rows.where(small).coalesce(1).sortWithinPartitions(F.desc("o_orderkey")).write.option("header", True).csv(f"{root}/a")
-    rows.where(~small).coalesce(1).sortWithinPartitions("o_orderkey").write.option("header", True).csv(f"{root}/b")
+    rows.where(small).orderBy(F.desc("o_orderkey")).write.option("header", True).csv(f"{root}/a")
+    rows.where(~small).orderBy("o_orderkey").write.option("header", True).csv(f"{root}/b")
     return I.read_csv(t.spark, f"{root}/*", ordered=True)
 
 

@@ -76,3 +76,19 @@ def test_set_operations_join_different_values(spark, name):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan[plan.index("Join ") :].count("Aggregate ") == 2
+
+
+def test_unlike_files_are_sorted_by_ranges(spark):
+    """No task sorts a whole folder, and the files' names keep its order."""
+    from tablesmith.operators.cleaning import ORDER
+    from tablesmith.plans import registered
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = registered._unlike_files(registered.Tables(spark, oracle.DATA)).orderBy(ORDER).select("o_orderkey", F.col(ORDER)["file"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    keys = [int(r[0]) for r in rows]
+    small = [k for k in keys if k % 40 == 0]
+    assert len({r[1] for r in rows}) > 2
+    assert keys == sorted(small, reverse=True) + sorted(set(keys) - set(small))
