@@ -594,11 +594,12 @@ CELL = "chr(34) || source || chr(34) || ',;' || chr(13) || chr(10) || text || ch
 
 @query("scan_csv_line_breaks", f"select doc_id, {CELL} as cell, 'a ' || chr(34) || 'b' || chr(34) as other from documents")
 def _(t):
-    """Cells with line breaks, quotes and separators: the whole texts of `documents` among them."""
+    """Cells with line breaks, quotes and separators: the whole texts of `documents` among them. A file for each partition,
+    which is read in as many splits as it has."""
     path = _scratch(t, "csv")
     cell = F.concat(F.lit('"'), "source", F.lit('",;\r\n'), "text", F.lit('\n"'), "lang")
-    W.csv_file(t.documents.select("doc_id", cell.alias("cell"), F.lit('a "b"').alias("other")), f"{path}/cells.csv")
-    return I.read_csv(t.spark, f"{path}/cells.csv").withColumn("doc_id", F.col("doc_id").cast("long"))
+    W.csv_files(t.documents.select("doc_id", cell.alias("cell"), F.lit('a "b"').alias("other")), path)
+    return I.read_csv(t.spark, f"{path}/*").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _unlike_files(t: Tables) -> DataFrame:
@@ -635,14 +636,17 @@ def _(t):
 
 @query("scan_zip", f"select doc_id, {CELL} as cell, 'cells' as source_file from documents union all select n_nationkey, n_name, 'nations' from nation")
 def _(t):
-    """An archive of two tables; line breaks in cells stay."""
+    """An archive of tables, one for each partition of `documents` and one of nations; line breaks in cells stay. Members of
+    one name are told apart by a number behind it."""
     root = _scratch(t, "zip")
     cell = F.concat(F.lit('"'), "source", F.lit('",;\r\n'), "text", F.lit('\n"'), "lang")
-    W.csv_file(t.documents.select("doc_id", cell.alias("cell")), f"{root}/cells.csv")
-    W.csv_file(t.nation.select(F.col("n_nationkey").alias("doc_id"), F.col("n_name").alias("cell")), f"{root}/nations.csv")
-    W.archive(t.spark, {"in/cells.csv": f"{root}/cells.csv", "in/nations.csv": f"{root}/nations.csv", "__MACOSX/x.csv": f"{root}/nations.csv", "in/.y.csv": f"{root}/nations.csv"}, f"{root}/all.zip")
+    W.csv_files(t.documents.select("doc_id", cell.alias("cell")), f"{root}/in", "cells")
+    W.csv_files(t.nation.select(F.col("n_nationkey").alias("doc_id"), F.col("n_name").alias("cell")).coalesce(1), f"{root}/in/n", "nations")
+    files = {x.partition("/in/")[2]: x for x in I.list_files(t.spark, f"{root}/in")}
+    nations = files["n/00000/nations.csv"]
+    W.archive(t.spark, {**{f"in/{n}": x for n, x in files.items()}, "__MACOSX/x.csv": nations, "in/.y.csv": nations}, f"{root}/all.zip")
     union = I.read_zip_tables(t.spark, f"{root}/all.zip")["union"].drop(ORDER)
-    return union.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return union.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("source_file", F.regexp_replace("source_file", r"_\d+$", ""))
 
 
 @query("scan_zip_parquet", "select o_orderkey, o_custkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') as day from orders")

@@ -72,15 +72,15 @@ def json_list(df: DataFrame, path: str) -> None:
     _in_one_task(df, write)
 
 
-def csv_file(df: DataFrame, path: str) -> None:
-    """A header and rows, quoted where they must be."""
+def csv_files(df: DataFrame, path: str, stem: str = "part") -> None:
+    """A folder of <number>/<stem>.csv, one for each partition: a header and rows, quoted where they must be."""
     import csv
     import io
 
     names = df.columns
 
-    def write(batches: Iterator) -> None:
-        with output(path) as f:
+    def write(number: int, batches: Iterator) -> None:
+        with output(f"{path}/{number:05d}/{stem}.csv") as f:
             text = io.TextIOWrapper(f, encoding="utf-8", newline="")
             rows = csv.writer(text)
             rows.writerow(names)
@@ -88,7 +88,7 @@ def csv_file(df: DataFrame, path: str) -> None:
                 rows.writerows(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             text.flush()
 
-    _in_one_task(df, write)
+    _in_each_task(df, write)
 
 
 #: Rows of one workbook, about; a sheet has room for 1,048,576.

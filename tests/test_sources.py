@@ -540,3 +540,28 @@ def test_find_keys_of_few_values_in_many(spark):
     few = spark.range(5).selectExpr("id * 9973 k", "concat('n', id * 9973) t")
     many = spark.range(60_000).selectExpr("id", "concat('n', id) name", "if(id = 7, 8, id) other")
     assert D.find_keys({"few": few, "many": many}) == [("few", "k", "many", "id"), ("few", "t", "many", "name"), ("many", "other", "many", "id")]
+
+
+def test_csv_files_are_written_by_each_partition(spark, tmp_path):
+    from tablesmith.plans import written as W
+
+    rows = spark.range(90).selectExpr("concat('\"', id, ',\r\n\"') a", "cast(id as string) b")
+    W.csv_files(rows.repartition(3), f"file://{tmp_path}", "rows")
+    assert len(list(tmp_path.glob("*/rows.csv"))) == 3
+    got = files.read_csv(spark, f"file://{tmp_path}/*", schema="a string, b string")
+    assert got.count() == 90 and got.exceptAll(rows).isEmpty()
+    W.csv_files(rows.where("b = 'x'").repartition(3), f"file://{tmp_path}/none")
+    assert len(list(tmp_path.glob("none/*/part.csv"))) == 1
+
+
+def test_archive_has_a_member_for_each_partition(spark, monkeypatch):
+    from tests import oracle
+    from tablesmith.plans import registered
+
+    found = []
+    write, pack = registered.W.csv_files, registered.W.archive
+    monkeypatch.setattr(registered.W, "csv_files", lambda df, path, stem: write(df.repartition(3) if stem == "cells" else df, path, stem))
+    monkeypatch.setattr(registered.W, "archive", lambda spark, members, path: (found.extend(members), pack(spark, members, path)))
+    got = registered.QUERIES["scan_zip"](spark, oracle.DATA)
+    assert sum(n.endswith("cells.csv") for n in found) == 3
+    assert {r[0]: r[1] for r in got.groupBy("source_file").count().collect()} == {"cells": 1000, "nations": 25}
