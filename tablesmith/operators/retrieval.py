@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablesmith.session import written
+
 SIZE, OVERLAP = 1500, 200
 #: From the strongest break to the weakest.
 SEPARATORS = ("\n```", "\n## ", "\n### ", "\n#### ", "\n\n", "\n", "。", "；", " ", "")
@@ -66,6 +68,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Rows compared at a time: of the table, and of the queries.
 ROW_BLOCK, QUERY_BLOCK = 4096, 512
+#: Blocks of a partition, about. A task gets the pairs of two partitions, and Spark may send all of them to Python at once.
+BLOCKS = 4
 
 
 def nearest(df: DataFrame, key: str, vector: str, query: Sequence[float] | DataFrame, k: int = 3) -> DataFrame:
@@ -99,8 +103,14 @@ def _blocks(df: DataFrame, key: str, vector: str, rows: int, prefix: str) -> Dat
     return df.select(key, F.col(vector).cast("array<double>")).mapInArrow(run, f"{prefix}keys array<{kind}>, {prefix}width int, {prefix}data binary")
 
 
+def _dealt(blocks: DataFrame) -> DataFrame:
+    kept = written(blocks, "blocks")
+    return kept.repartition(max(1, -(-kept.count() // BLOCKS)))
+
+
 def _nearest_each(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """Blocks of rows against blocks of queries: the top k of each query within a block, then over all blocks."""
+    """Blocks of rows against blocks of queries: the top k of each query within a block, then over all blocks. Blocks are made
+    once and dealt to small partitions, so that what a task holds does not grow with the tables; the number of tasks does."""
     import numpy as np
     import pyarrow as pa
 
@@ -128,7 +138,7 @@ def _nearest_each(df: DataFrame, key: str, vector: str, queries: DataFrame, k: i
                     out += [(query_ids[i], j, None if s == np.inf else -s) for s, j in top]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], batch.schema.field(3).type.value_type), pa.array([x[1] for x in out], batch.schema.field(0).type.value_type), pa.array([x[2] for x in out], pa.float64())], [of, key, "similarity"])
 
-    pairs = _blocks(df, key, vector, ROW_BLOCK, "row_").hint("shuffle_replicate_nl").crossJoin(_blocks(queries, key, vector, QUERY_BLOCK, "query_"))
+    pairs = _dealt(_blocks(df, key, vector, ROW_BLOCK, "row_")).hint("shuffle_replicate_nl").crossJoin(_dealt(_blocks(queries, key, vector, QUERY_BLOCK, "query_")))
     partial = pairs.mapInArrow(best, f"{of} {query_kind}, {key} {kind}, similarity double")
     nth = F.row_number().over(Window.partitionBy(of).orderBy(F.desc("similarity"), key))
     return partial.withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")

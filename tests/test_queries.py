@@ -92,3 +92,14 @@ def test_unlike_files_are_sorted_by_ranges(spark):
     small = [k for k in keys if k % 40 == 0]
     assert len({r[1] for r in rows}) > 2
     assert keys == sorted(small, reverse=True) + sorted(set(keys) - set(small))
+
+
+def test_blocks_are_dealt_to_small_partitions(spark, monkeypatch):
+    """However many rows a table has, a task gets the pairs of a few blocks."""
+    from tablesmith.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCKS", 2)
+    df = spark.range(100).selectExpr("id", "array(cast(id as double), 1D) v").coalesce(1)
+    dealt = retrieval._dealt(retrieval._blocks(df, "id", "v", 10, "row_"))
+    assert dealt.count() == 10
+    assert dealt.rdd.getNumPartitions() == 5
