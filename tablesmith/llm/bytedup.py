@@ -41,10 +41,13 @@ from tablesmith.llm.runindex import END, WINDOW, RunIndex
 GRAM = 20
 #: Strings of one passage: periodic text has one anchor for as long as it goes on.
 MOST_STRINGS = 64
-#: Bytes of a text that are hashed at once.
-BLOCK = 1 << 20
+#: Bytes of a text that are hashed at once: arrays of so many numbers stay in a core's cache and below the size from
+#: which each new one is mapped from the system page by page.
+BLOCK = 1 << 15
 #: Anchors of one packed group, on average.
 GROUP_ANCHORS = 1 << 18
+#: Groups below 0, so many that batches hardly share one: what is in them only passes through.
+KNOWN_GROUPS = 1 << 30
 #: About one anchor for so many bytes of text.
 SPACING = 14
 #: Bytes of different passages in one index, on average, and for one anchor at most.
@@ -110,8 +113,11 @@ def _anchors(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 found.append(anchor)
                 owner.append(doc[at])
             found, owner = np.concatenate(found), np.concatenate(owner)
-            order = np.lexsort((owner, found))
+            order = np.argsort(found)
             found, owner = found[order], owner[order]
+            alike = found[1:] == found[:-1]
+            tied = np.flatnonzero(np.concatenate([[False], alike]) | np.concatenate([alike, [False]])) if len(found) else order
+            owner[tied] = owner[tied][np.lexsort((owner[tied], found[tied]))]
             once = np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])])[: len(found)]
             found, owner = found[once], owner[once]
             first = np.concatenate([[True], found[1:] != found[:-1]])[: len(found)]
@@ -123,7 +129,7 @@ def _anchors(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             group = ((dealt >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
             begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])[: len(group)])
             ends = [*begin[1:], len(group)]
-            known = -1 - int(keys[0]) % groups
+            known = -1 - int(keys[0]) % KNOWN_GROUPS
             rows = [(known, found[several], keys[owner[several]])] + [(int(group[a]), dealt[a:b], marked[a:b]) for a, b in zip(begin, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([g for g, *_ in rows], pa.int32()), pa.array([x.tobytes() for _, x, _ in rows], pa.binary()), pa.array([x.tobytes() for *_, x in rows], pa.binary())], ["group", "anchors", "keys"])
 
@@ -172,11 +178,28 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array(place[at[hit]]), pa.array(anchor[hit].view(np.int64)), content], ["doc_id", "text_key", "begin", "anchor", "content"])
 
 
+def _sides(anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which passages can be a source, as one with their anchor has a later document, and which can lose bytes, as one
+    has an earlier document."""
+    order = np.argsort(anchor)
+    begin = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])[: len(order)])
+    latest, earliest = np.empty_like(last), np.empty_like(first)
+    if len(order):
+        size = np.diff(begin, append=len(order))
+        latest[order] = np.repeat(np.maximum.reduceat(last[order], begin), size)
+        earliest[order] = np.repeat(np.minimum.reduceat(first[order], begin), size)
+    return first < latest, last > earliest
+
+
 def _matched(table: pa.Table) -> pa.Table:
-    """Runs of strings with one least document, earlier than the passage's last, of each passage of an index."""
-    first, last = (table.column(c).to_numpy() for c in ("first", "last"))
+    """Runs of strings with one least document, earlier than the passage's last, of each passage of an index. Only
+    passages that can be a source are in the index, and only those that can lose bytes are streamed through it."""
+    anchor, first, last = (table.column(c).to_numpy() for c in ("anchor", "first", "last"))
+    sources, losers = (np.flatnonzero(x) for x in _sides(anchor, first, last))
+    index = RunIndex(table.column("content").take(pa.array(sources)).to_pylist(), first[sources])
+    table, last = table.take(pa.array(losers)), last[losers]
     contents = table.column("content").to_pylist()
-    place, source = RunIndex(contents, first).least_document(contents)
+    place, source = index.least_document(contents)
     size = np.array([len(x) for x in contents], np.int64)
     begin = np.cumsum(size) - size
     passage = np.searchsorted(begin, place, side="right") - 1

@@ -105,12 +105,13 @@ class RunIndex:
         stop = np.append(self.start[1:], n)
         self.head = last[self.start]
         self.first_place, self.last_place, self.last_row = order[self.start], order[stop - 1], stop - 1
-        # LF of a run's first row: bytes that are less, and equal ones in runs before
+        # LF moves all rows of a run alike; the first goes to: bytes that are less, and equal ones in runs before
         by = np.argsort(self.head, kind="stable")
         size = (stop - self.start)[by]
-        self.lf = np.empty(len(by), np.int64)
-        self.lf[by] = np.cumsum(size) - size
-        self.of_byte = self.head[by].astype(np.int64) * len(by) + by
+        self.move = np.empty(len(by), np.int64)
+        self.move[by] = np.cumsum(size) - size
+        self.move -= self.start
+        self.run_of_byte, self.of_byte = by, self.head[by].astype(np.int64) * len(by) + by
 
         whole = np.flatnonzero(rest[order] >= WINDOW)
         at = order[whole]
@@ -136,40 +137,41 @@ class RunIndex:
         data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size)
         lengths, rows = np.zeros(len(data), np.int8), np.zeros(len(data), np.int64)
         by = np.argsort(-size, kind="stable")
+        less, ends = -size[by], ends[by]
         row, place, length = (np.zeros(len(by), np.int64) for _ in range(3))
         place[:] = self.first_place[0]
         runs = len(self.start)
         for step in range(1, int(size.max(initial=0)) + 1):
-            active = int(np.searchsorted(-size[by], -step, side="right"))
-            by, row, place, length = by[:active], row[:active], place[:active], length[:active]
-            at = ends[by] - step
+            active = int(np.searchsorted(less, -step, side="right"))
+            row, place, length = row[:active], place[:active], length[:active]
+            at = ends[:active] - step
             byte = data[at]
             run = self.starts.upto(row) - 1
             length += 1
             other = np.flatnonzero(self.head[run] != byte)
+            lost = other[:0]
             if len(other):
-                key = byte[other].astype(np.int64) * runs + run[other]
-                after = np.searchsorted(self.of_byte, key)
+                theirs = byte[other]
+                after = np.searchsorted(self.of_byte, theirs.astype(np.int64) * runs + run[other])
                 best, new_run, new_row, new_place = (np.full(len(other), -1, np.int64) for _ in range(4))
                 for side, where, places in ((after, self.start, self.first_place), (after - 1, self.last_row, self.last_place)):
                     have = np.flatnonzero((side >= 0) & (side < runs))
-                    have = have[self.of_byte[side[have]] // runs == byte[other[have]]]
-                    found = self.of_byte[side[have]] % runs
+                    found = self.run_of_byte[side[have]]
+                    same = self.head[found] == theirs[have]
+                    have, found = have[same], found[same]
                     shared = np.minimum(self._shared(place[other[have]], places[found]), length[other[have]] - 1)
                     better = shared > best[have]
                     mine, found = have[better], found[better]
                     best[mine], new_run[mine], new_row[mine], new_place[mine] = shared[better], found, where[found], places[found]
                 met = best >= 0
                 length[other] = best + 1  # 0 where the byte is nowhere
-                moved = other[met]
+                moved, lost = other[met], other[~met]
                 run[moved], row[moved], place[moved] = new_run[met], new_row[met], new_place[met]
-                stay = np.ones(active, bool)
-                stay[other[~met]] = False
-            else:
-                stay = np.ones(active, bool)
             np.minimum(length, MOST, out=length)
-            row[stay] = (self.lf[run] + row - self.start[run])[stay]
-            place[stay] -= 1
+            held = row[lost], place[lost]
+            row += self.move[run]
+            place -= 1
+            row[lost], place[lost] = held
             lengths[at], rows[at] = length, row
         return lengths, rows
 

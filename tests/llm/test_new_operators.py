@@ -7,6 +7,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +205,59 @@ def test_blocks_give_each_string_once(monkeypatch):
         assert seen == Counter((d, k) for d, t in enumerate(texts) for k in range(len(t) - 49))
 
 
+def test_blocks_make_small_arrays():
+    """A block's arrays of 64-bit numbers stay below the size from which each is mapped anew (common.workers), also for a long text."""
+    texts = [np.full(n, 97, np.uint8) for n in (3, 40_000, 200_000, 60, 0)]
+    assert max(8 * len(data) for *_, data in bytedup._blocks(texts)) < 1 << 20
+
+
+def test_index_has_sources_and_losers_only(monkeypatch):
+    """One of two passages with an anchor is indexed, the other streamed; the runs are those of an index of all."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abc ") for _ in range(70)).encode() for _ in range(12)]
+    rows = []
+    for anchor, text in enumerate(base):
+        for _ in range(rng.randint(1, 4)):
+            docs = sorted(rng.choices(range(9), k=rng.randint(1, 3)))
+            at = rng.randrange(70)
+            rows.append((anchor, rng.randrange(1 << 60), text[:at] + rng.choice([b"", b"x"]) + text[at:], docs[0], docs[-1]))
+    rows += [(99, 1, b"p" * 60, 1, 1), (99, 2, b"p" * 61, 2, 2)]
+    rng.shuffle(rows)
+    table = pa.Table.from_pylist([dict(zip(("anchor", "content_key", "content", "first", "last"), r, strict=True)) for r in rows])
+    held = []
+
+    class Seen(runindex.RunIndex):
+        def __init__(self, passages, docs):
+            held.append(len(passages))
+            super().__init__(passages, docs)
+
+        def least_document(self, texts):
+            held.append(len(texts))
+            return super().least_document(texts)
+
+    monkeypatch.setattr(bytedup, "RunIndex", Seen)
+    strings = lambda t: {(r["anchor"], r["content_key"], r["offset"] + k, r["source"]) for r in t.to_pylist() for k in range(r["n"])}
+    want = set()
+    for anchor, key, text, _, last in rows:
+        for k in range(len(text) - 49):
+            source = min(f for _, _, t, f, _ in rows if text[k : k + 50] in t)
+            want |= {(anchor, key, k, source)} if source < last else set()
+    assert strings(bytedup._matched(table)) == want
+    assert max(held) < len(rows)
+    held.clear()
+    assert len(strings(bytedup._matched(table.filter(pc.equal(table["anchor"], 99))))) == 12
+    assert held == [1, 1]
+    assert bytedup._matched(table.slice(0, 0)).num_rows == 0
+
+
+def test_known_anchors_of_batches_are_apart():
+    """Anchors that several rows of a batch have only pass through: no group gathers those of many batches."""
+    text = "".join(random.Random(6).choices("abcdefgh ", k=400))
+    batches = [pa.RecordBatch.from_pydict({"row_key": [2 * i + 1, 2 * i + 1001], "text": [text, text + "!"]}) for i in range(60)]
+    groups = Counter(g for b in bytedup._anchors(2)(iter(batches)) for g in b.column("group").to_pylist() if g < 0)
+    assert len(groups) == 60
+
+
 def test_run_index_statistics():
     """Longest matches and least documents against a search of all passages."""
     rng = random.Random(3)
