@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import documents, least, member_filter, raw, rolling, saved, slices, text_key, without, workers
+from tablesmith.llm.common import documents, least, member_filter, raw, release_shuffles, rolling, saved, slices, text_key, without, workers
 from tablesmith.llm.runindex import END, WINDOW, RunIndex
 
 GRAM = 20
@@ -100,6 +100,16 @@ def _stretches(data: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nda
     return whole[begin], np.diff(begin, append=len(whole)), mine[begin]
 
 
+def _planes(anchors: np.ndarray) -> bytes:
+    """The anchors' lowest bytes, then their next ones, and so on: of anchors in order, one group's, the upper bytes hardly
+    change, so that a shuffle's compression takes them away."""
+    return anchors.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _of_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
 def _anchors(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Anchors and the row keys that have them, packed by group. Those that several rows of the batch have are in a group
     below 0; their own group has such an anchor once, with row key 0."""
@@ -131,14 +141,15 @@ def _anchors(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             ends = [*begin[1:], len(group)]
             known = -1 - int(keys[0]) % KNOWN_GROUPS
             rows = [(known, found[several], keys[owner[several]])] + [(int(group[a]), dealt[a:b], marked[a:b]) for a, b in zip(begin, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, *_ in rows], pa.int32()), pa.array([x.tobytes() for _, x, _ in rows], pa.binary()), pa.array([x.tobytes() for *_, x in rows], pa.binary())], ["group", "anchors", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, *_ in rows], pa.int32()), pa.array([_planes(x) for _, x, _ in rows], pa.binary()), pa.array([x.tobytes() for *_, x in rows], pa.binary())], ["group", "anchors", "keys"])
 
     return run
 
 
 def _shared(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
     """Of a group: the anchors of more than one row, with their row keys."""
-    anchors, keys = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("anchors", np.uint64), ("keys", np.int64)))
+    anchors = np.concatenate([_of_planes(x) for x in table.column("anchors").to_pylist()])
+    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
     if key[0].as_py() >= 0:
         order = np.argsort(anchors)
         anchors, keys = anchors[order], keys[order]
@@ -272,15 +283,20 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     packed = kept.select("row_key", "text").mapInArrow(_anchors(groups), "group int, anchors binary, keys binary")
     shared = packed.groupBy("group").applyInArrow(_shared, "row_key long, anchor long")
     listed = saved(shared.groupBy("row_key").agg(F.collect_set("anchor").alias("listed")), "shared")
+    release_shuffles(docs.sparkSession)
 
     found = kept.where(member_filter(listed, "row_key")).join(listed, "row_key").select("doc_id", "text_key", "text", "listed")
     found = found.mapInArrow(_passages, "doc_id long, text_key long, begin long, anchor long, content binary")
     found = saved(found, "passages")
+    release_shuffles(docs.sparkSession)
     different = saved(found.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "different")
+    release_shuffles(docs.sparkSession)
     matches = saved(_matches(different), "matches")
+    release_shuffles(docs.sparkSession)
     spans = found.select("doc_id", "text_key", "begin", "anchor", _content_key()).join(matches, ["anchor", "content_key"]).where("source < doc_id")
     spans = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct((F.col("begin") + F.col("offset")).alias("begin"), "n")).alias("found"))
     spans = saved(spans, "spans")
+    release_shuffles(docs.sparkSession)
 
     hit = keyed.where(member_filter(spans, "text_key")).join(spans, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     cut = hit.select("doc_id", "text_key", "text", "found").mapInArrow(_cut, "doc_id long, text_key long, n_removed long, removed array<struct<begin:long,end:long>>, kept_sha256 string")

@@ -59,6 +59,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Spark deletes a shuffle's files when the driver's JVM collects the last plan that refers to it; between stages that
+    meet in saved tables this asks it to collect now, so that the disk does not hold the files of all stages at once."""
+    spark.sparkContext._jvm.System.gc()
+
+
 # -- Arrow slices ------------------------------------------------------------
 
 
