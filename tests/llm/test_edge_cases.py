@@ -1,6 +1,8 @@
 """Nulls, blanks, ties, repeated rows, long texts, empty tables, clashing names."""
 
+import gc
 import hashlib
+import time
 import uuid
 from collections import Counter
 
@@ -309,6 +311,44 @@ def test_fingerprint_index_over_sessions(spark, texts):
     assert not {t.name for t in spark.catalog.listTables()} & live
 
 
+def test_driver_keeps_nothing_of_a_batch(spark, texts):
+    """After each batch the driver has neither its stages' shuffles and broadcasts nor the listings of its tables."""
+    jvm, env = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+
+    def listings():
+        kind = jvm.java.lang.Class.forName("org.apache.spark.sql.execution.datasources.FileStatusCache$")
+        get = lambda of, kind, name: next((f.setAccessible(True), f.get(of))[1] for f in kind.getDeclaredFields() if f.getName().endswith(name))
+        cache = get(get(None, kind, "MODULE$"), kind, "sharedCache")
+        return get(cache, cache.getClass(), "cache").size()
+
+    def settled(most):
+        """Shuffles and KB of storage once they are few, or after some seconds."""
+        for _ in range(20):
+            now = (env.mapOutputTracker().shuffleStatuses().size(), env.blockManager().memoryStore().memoryUsed() >> 10)
+            if now[0] <= most[0] and now[1] <= most[1]:
+                break
+            time.sleep(0.5)
+        return now
+
+    small = spark.createDataFrame(sorted(texts.items())[:40], "doc_id long, text string")
+    small.write.parquet(path := f"{common.shared_dir(spark)}/small-{uuid.uuid4().hex}")
+    small = spark.read.parquet(path)
+    gc.collect()
+    common.release_shuffles(spark)
+    before, known = settled((0, 0)), listings()
+    index = substrings.FingerprintIndex(spark, f"{common.shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    done = index.add(small.where("doc_id < 20"))
+    most = (before[0] + 2, before[1] + 1024)
+    now = settled(most)
+    assert now[0] <= most[0] and now[1] <= most[1]
+    done = done.union(index.add(small.where("doc_id >= 20"), small.where("doc_id < 20")))
+    now = settled(most)
+    assert now[0] <= most[0] and now[1] <= most[1]
+    assert listings() == known
+    assert done.count() == 40
+    index.remove()
+
+
 def test_matches_are_verified_by_words():
     words = [b"w%d" % i for i in range(120)]
     block = lambda k, of: {"begin": 10, "n": 40, "o_at": 30, "block": k, "words": b" ".join(of[k * 64 : (k + 1) * 64])}
